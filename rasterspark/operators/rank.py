@@ -71,7 +71,8 @@ def _score(df: DataFrame, rank) -> Column:
 
 
 def _select(df: DataFrame, keys: list[str]) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "candidate")
+    # Sums of a distributed job have no fixed order, so ties are judged at 12 digits.
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 12)), "candidate")
     return df.withColumn("selected", F.row_number().over(order) == 1)
 
 

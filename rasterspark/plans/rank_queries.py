@@ -211,7 +211,7 @@ def h11(spark, d):
     return rank.select_position(p)
 
 
-@query("h13_leave_one_out", """WITH v AS (SELECT CAST(p_partkey // 25 AS VARCHAR) AS field_id, p_partkey AS cell_id, p_size * 1.5 AS value FROM part),
+@query("h13_leave_one_out", """WITH v AS (SELECT CAST(p_partkey // 25 AS VARCHAR) AS field_id, p_partkey AS cell_id, CAST(p_size AS DOUBLE) * 1.5 AS value FROM part),
 o AS (SELECT a.field_id, a.cell_id, a.value, b.value AS ov FROM v a JOIN v b ON a.field_id = b.field_id AND a.cell_id <> b.cell_id),
 m AS (SELECT field_id, cell_id, value, median(ov) AS median, quantile_cont(ov, .75) - quantile_cont(ov, .25) AS iqr FROM o GROUP BY ALL),
 d AS (SELECT field_id, cell_id, median(abs(ov - median)) AS mad FROM o JOIN m USING (field_id, cell_id) GROUP BY ALL)

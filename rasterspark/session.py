@@ -21,19 +21,25 @@ def local_session(cpus: int = 8, app: str = "rasterspark") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, so the
-    result survives lost executors. Only a local master may fall back to a
-    temporary folder; a cluster without the setting is an error.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    master may fall back to a temporary folder; a cluster without the setting is
+    an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back; survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
