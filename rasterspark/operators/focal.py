@@ -260,20 +260,19 @@ def structural_candidate_pixels(scored: DataFrame, params: StructureParams = Str
 # ------------------------------------------------------------------- distance
 
 
-def _line_sweep(keys: list[str], axis: str, key_axis: str, fixed: list[str], pitch: float, length: str, sides: list[str], names: list[str]):
+def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, side: dict[str, str], names: list[str]):
     """Kernel of one sweep: the best (distance, label) along every line of a block."""
 
     def sweep(key: tuple, t: pa.Table) -> pa.Table:
         # Lowest label is written last, so it wins where seeds coincide.
         t = t.take(np.argsort(-t["_lab"].to_numpy(), kind="stable"))
-        n = t[length][0].as_py()
-        line = t[key_axis].to_numpy()
-        first = int(line.min())
-        rows = int(line.max()) - first + 1
-        d2 = np.full((rows, n), np.inf)
-        lb = np.full((rows, n), np.iinfo(np.int64).max)
-        d2[line - first, t[axis].to_numpy()] = t["_d2"].to_numpy()
-        lb[line - first, t[axis].to_numpy()] = t["_lab"].to_numpy()
+        n = t[side[axis]][0].as_py()
+        codes, row = np.unique(t["_line"].to_numpy(), return_inverse=True)
+        d2 = np.full((len(codes), n), np.inf)
+        lb = np.full((len(codes), n), np.iinfo(np.int64).max)
+        at = t[axis].to_numpy()
+        d2[row, at] = t["_d2"].to_numpy()
+        lb[row, at] = t["_lab"].to_numpy()
         best, who = d2.copy(), lb.copy()
         reach = np.arange(n)
         for k in np.nonzero(np.isfinite(d2).any(axis=0))[0]:
@@ -282,43 +281,51 @@ def _line_sweep(keys: list[str], axis: str, key_axis: str, fixed: list[str], pit
             best = np.where(better, cost, best)
             who = np.where(better, lb[:, k : k + 1], who)
         r, p = np.nonzero(np.isfinite(best))
-        cols = {k: pa.repeat(key[i], len(r)) for i, k in enumerate([*keys, *fixed])}
-        cols.update({s: pa.array(np.full(len(r), t[s][0].as_py(), np.int32)) for s in sides})
-        cols.update({key_axis: pa.array((r + first).astype(np.int32)), axis: pa.array(p.astype(np.int32))})
-        cols.update({"_lab": pa.array(who[r, p]), "_d2": pa.array(best[r, p])})
+        cols = {k: pa.repeat(key[i], len(r)) for i, k in enumerate(keys)}
+        cols.update({s: pa.array(np.full(len(r), t[s][0].as_py(), np.int32)) for s in side.values()})
+        rest = codes[r]
+        for a in others:
+            size = t[side[a]][0].as_py()
+            cols[a] = pa.array((rest % size).astype(np.int32))
+            rest = rest // size
+        cols.update({axis: pa.array(p.astype(np.int32)), "_lab": pa.array(who[r, p]), "_d2": pa.array(best[r, p])})
         return pa.table({c: cols[c] for c in names})
 
     return sweep
 
 
 def nearest_seed(
-    seeds: DataFrame, pitch_um: dict[str, float], keys: list[str] = FIELD, label: str | None = "label_id", block: int = 16,
+    seeds: DataFrame, pitch_um: dict[str, float], keys: list[str] = FIELD, label: str | None = "label_id", block_px: int = 131072,
     max_um: float | None = None,
 ) -> DataFrame:
     """Exact distance from every pixel to the nearest seed, with that seed's label.
 
     ``pitch_um`` maps each axis (``x``, ``y`` and optionally ``z``) to its
     spacing; ``max_um`` drops farther pixels after every sweep. Axes are swept one
-    after the other over blocks of lines, so a task holds one slab of a field,
-    never a whole field. Ties take the lowest label. Seeds need ``height`` and
-    ``width`` (and ``depth`` for 3D). A field without seeds has no rows.
+    after the other over blocks of about ``block_px`` pixels of neighbouring lines,
+    so a task holds one slab of a field, never a whole large field. Ties take the
+    lowest label. Seeds need ``height`` and ``width`` (and ``depth`` for 3D). A
+    field without seeds has no rows.
     """
+    names_of = {"x": "width", "y": "height", "z": "depth"}
     axes = [a for a in ("x", "y", "z") if a in pitch_um]
-    side = {"x": "width", "y": "height", "z": "depth"}
-    sides = [side[a] for a in axes]
+    side = {a: names_of[a] for a in axes}
     types = dict(seeds.dtypes)
     lab = F.col(label).cast("long") if label else F.lit(1).cast("long")
-    current = seeds.select(*keys, *axes, *sides, lab.alias("_lab"), F.lit(0.0).alias("_d2"))
-    names = [*keys, *axes, *sides, "_lab", "_d2"]
+    current = seeds.select(*keys, *axes, *side.values(), lab.alias("_lab"), F.lit(0.0).alias("_d2"))
+    names = [*keys, *axes, *side.values(), "_lab", "_d2"]
     schema = ", ".join(
-        [*(f"`{k}` {types[k]}" for k in keys), *(f"{a} int" for a in axes), *(f"{s} int" for s in sides), "_lab bigint", "_d2 double"]
+        [*(f"`{k}` {types[k]}" for k in keys), *(f"{a} int" for a in axes), *(f"{s} int" for s in side.values()), "_lab bigint", "_d2 double"]
     )
     for axis in axes:
-        # Lines run along ``axis``; one task takes ``block`` neighbouring lines per group.
-        key_axis, *fixed = [a for a in axes if a != axis]
-        sweep = _line_sweep(keys, axis, key_axis, fixed, pitch_um[axis], side[axis], sides, names)
-        blocked = current.withColumn("_blk", F.floor(F.col(key_axis) / block))
-        current = blocked.groupBy(*keys, *fixed, "_blk").applyInArrow(sweep, schema)
+        others = [a for a in axes if a != axis]
+        line = F.col(others[0]).cast("long")
+        if len(others) > 1:
+            line = line + F.col(others[1]).cast("long") * F.col(side[others[0]])
+        per_block = F.greatest(F.lit(1), F.floor(F.lit(block_px) / F.col(side[axis])))
+        blocked = current.withColumn("_line", line).withColumn("_blk", F.floor(F.col("_line") / per_block).cast("long"))
+        sweep = _line_sweep(keys, axis, others, pitch_um[axis], side, names)
+        current = blocked.groupBy(*keys, "_blk").applyInArrow(sweep, schema)
         if max_um is not None:
             current = current.where(F.col("_d2") <= F.lit(max_um * max_um * (1 + 1e-12)))
     out = current.withColumn("distance", F.sqrt("_d2")).drop("_d2")

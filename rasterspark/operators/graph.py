@@ -20,8 +20,8 @@ def label_closure(edges: DataFrame, keys: list[str] = FIELD, a: str = "a", b: st
     """Smallest node id of every connected component: (keys, node, root).
 
     Every round hooks each node to its smallest neighbour (a combinable ``min``),
-    jumps one pointer and contracts the edges, so the edge table shrinks and no
-    neighbour list is ever collected. Only nodes that occur in an edge appear.
+    flattens the hooks and contracts the edges, so the edge table shrinks quickly
+    and no neighbour list is ever collected. Only nodes that occur in an edge appear.
     """
     e = edges.select(*keys, F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b")).distinct()
     nodes = e.select(*keys, F.col("a").alias("node")).union(e.select(*keys, F.col("b").alias("node"))).distinct()
@@ -31,10 +31,15 @@ def label_closure(edges: DataFrame, keys: list[str] = FIELD, a: str = "a", b: st
         if e.isEmpty():
             return roots
         both = e.union(e.select(*keys, "b", "a"))
-        hook = both.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("_m")).withColumn("p", F.least("node", "_m")).drop("_m")
-        hook = cut_lineage(hook)
-        jump = hook.select(*keys, F.col("node").alias("p"), F.col("p").alias("pp"))
-        parent = cut_lineage(hook.join(jump, [*keys, "p"], "left").select(*keys, "node", F.coalesce("pp", "p").alias("p")))
+        hook = both.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("_m"))
+        parent = cut_lineage(hook.select(*keys, "node", F.least("node", "_m").alias("p")))
+        # Pointer doubling flattens the hook forest, so a path of n nodes takes log n jumps.
+        for _ in range(MAX_ROUNDS):
+            up = parent.select(*keys, F.col("node").alias("p"), F.col("p").alias("_pp"))
+            moved = cut_lineage(parent.join(up, [*keys, "p"]).select(*keys, "node", F.col("_pp").alias("p"), (F.col("_pp") != F.col("p")).alias("_c")))
+            parent = moved.drop("_c")
+            if moved.where("_c").isEmpty():
+                break
         roots = cut_lineage(
             roots.join(parent.select(*keys, F.col("node").alias("root"), "p"), [*keys, "root"], "left").select(
                 *keys, "node", F.coalesce("p", "root").alias("root"))
@@ -105,7 +110,9 @@ def components(mask: DataFrame, keys: list[str] = FIELD, conn_full: bool = True,
         return pa.table({n: cols[n] for n in names})
 
     tiles = [F.floor(F.col(a) / side).cast("int").alias(f"_t{a}") for a in axes]
-    labelled = mask.select(*keys, *axes, "height", "width").groupBy(*keys, *tiles).applyInArrow(local, schema)
+    # The labelled pixels are read several times below; writing them once also
+    # keeps nested operators from recomputing their inputs.
+    labelled = cut_lineage(mask.select(*keys, *axes, "height", "width").groupBy(*keys, *tiles).applyInArrow(local, schema))
 
     # Only pixels on a tile face can touch a component of another tile.
     face = None
