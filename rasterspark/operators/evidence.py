@@ -140,13 +140,14 @@ def nucleus_enclosure(
     reach = box_distance(pos, pitch_um, {a: 0.55 for a in pitch_um}, 0.55).select(*OBJ, "z", "y", "x", F.lit(1).alias("_c"))
     surface = outer(objects.select(*OBJ, "z", "y", "x"), ("z", "y", "x"), OBJ).join(reach, [*OBJ, "z", "y", "x"], "left").groupBy(*OBJ).agg(
         (F.count("_c") / F.count(F.lit(1))).alias("surface_coverage"))
+    surface = cut_lineage(surface)
     areas = objects.groupBy(*OBJ, "z").agg(F.count(F.lit(1)).alias("_a")).withColumn("_m", F.max("_a").over(Window.partitionBy(*OBJ)))
     central = areas.where(F.col("_a") >= 0.45 * F.col("_m")).select(*OBJ, "z")
     rim = outer(objects.join(central, [*OBJ, "z"], "left_semi").select(*OBJ, "z", "y", "x"), ("y", "x"), [*OBJ, "z"])
     # In-plane contact: the plane becomes part of the key.
     flat_pos = pos.withColumn("label_id", F.struct("label_id", "z").alias("label_id")).select("field_id", "label_id", "y", "x", "height", "width")
     flat_reach = _plane_reach(flat_pos, pitch_um).withColumn("_c", F.lit(True))
-    cov = rim.join(flat_reach, [*OBJ, "z", "y", "x"], "left").withColumn("covered", F.coalesce("_c", F.lit(False)))
+    cov = cut_lineage(rim.join(flat_reach, [*OBJ, "z", "y", "x"], "left").withColumn("covered", F.coalesce("_c", F.lit(False))))
     per_z = cov.groupBy(*OBJ, "z").agg(F.avg(F.col("covered").cast("double")).alias("_b")).join(angular_coverage(cov, [*OBJ, "z"]), [*OBJ, "z"])
     flags = per_z.withColumn("active", (F.col("_b") >= 0.42) & (F.col("angular_coverage") >= 0.75))
     med = per_z.groupBy(*OBJ).agg(_p("_b", 0.5).alias("boundary_coverage"), _p("angular_coverage", 0.5).alias("angular_coverage"))
