@@ -153,7 +153,7 @@ def e26s(spark, d):
   AND (b.cell_id <> a.cell_id OR b.part = 'soma') WHERE a.part = 'processes' AND a.field_id = (SELECT min(field_id) FROM cells) GROUP BY 1, 2, 3, 4),
 h AS (SELECT *, max(t) OVER (PARTITION BY cell_id) AS mt FROM f),
 s AS (SELECT h.cell_id, sqrt(any_value(mt)) AS max_thickness_um, count(DISTINCT h.y * 32 + h.x) AS hub_px, sqrt(min((h.y - c.y) ** 2 * .25 + (h.x - c.x) ** 2 * .25)) AS hub FROM h JOIN cells c ON c.field_id = h.field_id AND c.cell_id = h.cell_id AND c.part = 'soma' WHERE t >= mt - 1e-9 GROUP BY 1),
-g AS (SELECT field_id, cell_id, count(*) FILTER (WHERE part = 'processes') / count(*) AS process_fraction, count(*) FILTER (WHERE part = 'processes') * .25 AS process_area_um2, bool_or(y IN (0, 31) OR x IN (0, 31)) AS incomplete FROM cells GROUP BY 1, 2)
+g AS (SELECT field_id, cell_id, count(*) FILTER (WHERE part = 'processes') / count(*) AS process_fraction, CAST(count(*) FILTER (WHERE part = 'processes') * .25 AS DOUBLE) AS process_area_um2, bool_or(y IN (0, 31) OR x IN (0, 31)) AS incomplete FROM cells GROUP BY 1, 2)
 SELECT field_id, cell_id, process_fraction, process_area_um2, incomplete, round(hub, 6) + 0.0 AS hub_distance_um, round(max_thickness_um, 6) + 0.0 AS max_thickness_um, hub_px, CASE WHEN process_area_um2 < 15 THEN 'assigned_process_area_below_minimum' ELSE '' END AS reasons FROM g JOIN s USING (cell_id)""")
 def e27(spark, d):
     r = evidence.post_compartment_quality(src.compartments(spark, d), {"y": 0.5, "x": 0.5})

@@ -27,3 +27,28 @@ def resolve_owners(slice_labels: DataFrame, gfap: DataFrame, structure: DataFram
     assoc = evidence.weak_enrichment_fallback(evidence.gfap_association(valid, gfap, structure, pitch_um))
     owners = cut_lineage(assoc.where("associated").select("field_id", "label_id"))
     return match.exclusive_projection(valid.join(owners, ["field_id", "label_id"], "left_semi"), {"y": 1.0, "x": 1.0})
+
+
+def reconcile_identity(regions: DataFrame, nuclei: DataFrame, pixel_um: tuple[float, float]) -> DataFrame:
+    """Unite cells that one nucleus holds together; the covered pixels never change."""
+    cells = regions.select("field_id", "y", "x", F.col("cell_id").alias("label_id"))
+    root = match.merge_same_nucleus(nuclei, cells, pixel_um)
+    j = regions.join(root, ["field_id", "cell_id"], "left")
+    return j.withColumn("cell_id", F.coalesce("root", "cell_id")).drop("root")
+
+
+def finalize_cells(
+    regions: DataFrame, nuclei: DataFrame, extents: DataFrame, cores: DataFrame, foreign: DataFrame, removed: DataFrame,
+    pixel_um: tuple[float, float], truncated: DataFrame | None = None, skeleton: DataFrame | None = None,
+) -> DataFrame:
+    """Fixed order: reconcile, drop truncated cells, prune tips (when a skeleton is given), complete and rejoin somas."""
+    from rasterspark.operators import partition
+
+    r = cut_lineage(reconcile_identity(regions, nuclei, pixel_um))
+    if truncated is not None:
+        r = r.join(truncated.where(F.col("status") != "retained").select("field_id", "cell_id"), ["field_id", "cell_id"], "left_anti")
+    if skeleton is not None:
+        r = cut_lineage(partition.prune_foreign_tips(r, foreign, skeleton)[0])
+    r = cut_lineage(partition.complete_soma_in_whole(r, extents.select("field_id", "y", "x", "cell_id"))[0])
+    r = cut_lineage(partition.complete_soma_to_owner(r, extents, cores, foreign, removed, pixel_um)[0])
+    return partition.rejoin_soma_islands(r, foreign, pixel_um)[0]

@@ -26,7 +26,7 @@ def target_projection(spark, d):
 
 MEASURE_SQL = """target AS (SELECT field_id, y, x, max(value) AS value FROM sparse WHERE channel = 'GFAP' AND z BETWEEN 1 AND 5 GROUP BY 1, 2, 3),
 zone AS (SELECT c.field_id, c.cell_id, c.part, coalesce(t.value, 0) AS value FROM cells c LEFT JOIN target t USING (field_id, y, x)),
-meas AS (SELECT field_id, cell_id, coalesce(part, 'whole') AS compartment, count(*) AS pixels, count(*) * .125 AS area, avg(value) AS mean,
+meas AS (SELECT field_id, cell_id, coalesce(part, 'whole') AS compartment, count(*) AS pixels, CAST(count(*) * .125 AS DOUBLE) AS area, avg(value) AS mean,
   median(value) AS median, min(value) AS min, max(value) AS max, count(*) * .125 * avg(value) AS int_den, sum(value) AS raw_int_den
   FROM zone GROUP BY GROUPING SETS ((field_id, cell_id, part), (field_id, cell_id)))"""
 
@@ -178,7 +178,7 @@ qc AS (SELECT *, q / (mx - mn) AS nonuniformity FROM ag JOIN tq USING (field_id,
 
 
 @query("e10_measurement_window_qc", with_ctes("stack", "wins", extra=_QC) + """SELECT field_id, CAST(position AS INT) AS position, z0, z1, 11 AS expected_slices, observed_slices, CAST(pixel_count AS BIGINT) AS pixel_count,
-  1.0 AS finite_fraction, round(lower_fraction, 6) + 0.0 AS lower_fraction, round(upper_fraction, 6) + 0.0 AS upper_fraction, constant_slices,
+  CAST(1 AS DOUBLE) AS finite_fraction, round(lower_fraction, 6) + 0.0 AS lower_fraction, round(upper_fraction, 6) + 0.0 AS upper_fraction, constant_slices,
   round(sharpness, 6) + 0.0 AS sharpness, round(nonuniformity, 6) + 0.0 AS nonuniformity,
   concat_ws(',', CASE WHEN upper_fraction = 1 THEN 'entire_window_digital_maximum' WHEN upper_fraction >= .05 THEN 'upper_endpoint_saturation' END,
     CASE WHEN constant_slices > 0 THEN 'constant_z_slice' END, CASE WHEN sharpness < .002 AND 1 - lower_fraction >= .05 THEN 'severe_defocus' END,
