@@ -38,7 +38,9 @@ def pairwise_iou(masks: DataFrame, candidates: DataFrame, keys: list[str] = KEYS
 
 
 def symmetric(pairs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return pairs.select(*keys, "a", "b", "iou").unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "iou"))
+    """Both directions of every pair, in one pass over the pairs."""
+    ends = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select(*keys, F.explode(ends).alias("e"), "iou").select(*keys, "e.a", "e.b", "iou")
 
 
 def rank01(value: Column, keys: list[str] = KEYS, higher: bool = True) -> Column:

@@ -25,26 +25,28 @@ AT = ["field_id", "y", "x"]
 def measure_regions(regions: DataFrame, projection: DataFrame, pixel_height_um: float, pixel_width_um: float) -> DataFrame:
     """Raw fluorescence per cell and compartment; the whole cell is both parts together.
 
-    Equal grey values are counted first, so a hot cell is spread over its values
-    and the second pass sees at most the number of digital levels per region.
-    Pixels without a projection value count as zero.
+    Equal grey values are counted first (with map-side combine), so a hot cell is
+    spread over its values and the ordered second pass sees at most the number of
+    digital levels per region. Pixels without a projection value count as zero.
     """
     values = projection.select(*AT, F.col("value").cast("double").alias("value"))
+    region = ["field_id", "cell_id", "compartment"]
     counted = (
         regions.select(*AT, "cell_id", "part").join(values, AT, "left")
-        .groupBy("field_id", "cell_id", "part", F.coalesce("value", F.lit(0.0)).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    g = counted.groupingSets([["field_id", "cell_id", "part"], ["field_id", "cell_id"]], "field_id", "cell_id", "part").agg(
-        F.sum("n").alias("pixels"), F.sum(F.col("value") * F.col("n")).alias("raw_int_den"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.percentile("value", F.lit(0.5), F.col("n")).alias("median"),
+        .select("field_id", "cell_id", F.explode(F.array("part", F.lit("whole"))).alias("compartment"), F.coalesce("value", F.lit(0.0)).alias("value"))
+        .groupBy(*region, "value").agg(F.count(F.lit(1)).alias("n"))
     )
+    w = Window.partitionBy(*region)
+    ranked = counted.withColumns({"_to": F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(w)})
+    # The median is the mean of the values at the two middle ranks (0-based).
+    at = lambda r: F.max(F.when((F.col("_to") - F.col("n") <= r) & (r < F.col("_to")), F.col("value")))
+    g = ranked.groupBy(*region).agg(
+        F.sum("n").alias("pixels"), F.sum(F.col("value") * F.col("n")).alias("raw_int_den"), F.min("value").alias("min"), F.max("value").alias("max"),
+        ((at(F.floor((F.col("_all") - 1) / 2)) + at(F.ceil((F.col("_all") - 1) / 2))) / 2.0).alias("median"))
     area = F.col("pixels") * F.lit(pixel_height_um * pixel_width_um)
     mean = F.col("raw_int_den") / F.col("pixels")
     return g.select(
-        "field_id", "cell_id", F.coalesce("part", F.lit("whole")).alias("compartment"), "pixels", area.alias("area"),
-        mean.alias("mean"), "median", "min", "max", (area * mean).alias("int_den"), "raw_int_den",
-    )
+        *region, "pixels", area.alias("area"), mean.alias("mean"), "median", "min", "max", (area * mean).alias("int_den"), "raw_int_den")
 
 
 def measurement_totals(measured: DataFrame, pixel_area_um2: float) -> DataFrame:
@@ -330,9 +332,13 @@ def plane_stats(planes: DataFrame) -> DataFrame:
                 finite = np.isfinite(a)
                 ok = bool(finite.all())
                 ye, xe = [np.arange(min(4, s) + 1) * s // min(4, s) for s in (h, w)]
-                tiles = [
-                    float(np.percentile(a[p:q, r:s], 20)) for p, q in zip(ye, ye[1:]) for r, s in zip(xe, xe[1:])
-                ] if ok else []
+                if not ok:
+                    tiles = []
+                elif h % 4 == 0 and w % 4 == 0:
+                    blocks = a.reshape(4, h // 4, 4, w // 4).swapaxes(1, 2).reshape(16, -1)
+                    tiles = np.percentile(blocks, 20, axis=1).tolist()
+                else:
+                    tiles = [float(np.percentile(a[p:q, r:s], 20)) for p, q in zip(ye, ye[1:]) for r, s in zip(xe, xe[1:])]
                 record = [
                     *(batch.column(k)[i].as_py() for k in keys), a.size, int(finite.sum()),
                     float(a.min()) if ok else None, float(a.max()) if ok else None,
@@ -364,8 +370,15 @@ def measurement_window_qc(stats: DataFrame, windows: DataFrame, params: QcParams
         F.sum("finite_count").alias("_fin"), F.sum("low_count").alias("_low"), F.sum("high_count").alias("_high"),
         F.count_if(F.col("value_min") == F.col("value_max")).alias("_const"), F.min("value_min").alias("_min"),
         F.max("value_max").alias("_max"), F.sum("adx").alias("_adx"), F.sum("nx").alias("_nx"), F.sum("ady").alias("_ady"), F.sum("ny").alias("_ny"),
+        # At most sixteen tile levels per plane of the window.
+        F.array_sort(F.flatten(F.collect_list("tile_p20"))).alias("_tiles"),
     )
-    tiles = j.select(*keys, F.explode("tile_p20").alias("t")).groupBy(*keys).agg(F.percentile("t", F.array(F.lit(0.1), F.lit(0.9))).alias("_t"))
+
+    def tile_level(q: float) -> Column:
+        pos = (F.size("_tiles") - 1) * F.lit(q)
+        lo, hi = [F.try_element_at("_tiles", (f(pos) + 1).cast("int")) for f in (F.floor, F.ceil)]
+        return lo + (hi - lo) * (pos - F.floor(pos))
+
     # An incomplete window is judged on nothing: none of its planes is used.
     whole = (F.col("observed_slices") == F.col("window_slices")) & (F.col("z1") - F.col("z0") + 1 == F.col("window_slices")) & (F.col("z0") >= 0)
     n = F.when(whole, F.col("pixel_count")).otherwise(0)
@@ -376,7 +389,7 @@ def measurement_window_qc(stats: DataFrame, windows: DataFrame, params: QcParams
     mx, my = safe_div("_adx", "_nx"), safe_div("_ady", "_ny")
     axes = F.when(mx.isNotNull(), 1).otherwise(0) + F.when(my.isNotNull(), 1).otherwise(0)
     sharp = F.when(span > 0, F.when(axes > 0, (F.coalesce(mx, F.lit(0.0)) + F.coalesce(my, F.lit(0.0))) / axes / span).otherwise(0.0))
-    nonuni = F.when(span > 0, F.coalesce((F.col("_t")[1] - F.col("_t")[0]) / span, F.lit(0.0)))
+    nonuni = F.when(span > 0, F.coalesce((tile_level(0.9) - tile_level(0.1)) / span, F.lit(0.0)))
     all_max = F.coalesce(up == 1.0, F.lit(False))
     yes = lambda c: F.coalesce(c, F.lit(False))
     r = reasons(
@@ -389,7 +402,7 @@ def measurement_window_qc(stats: DataFrame, windows: DataFrame, params: QcParams
         ("severe_defocus", yes(sharp < params.min_sharpness) & F.coalesce(1.0 - low >= params.max_endpoint_fraction, F.lit(True))),
         ("severe_background_nonuniformity", yes(nonuni >= params.max_nonuniformity)),
     )
-    return g.join(tiles, keys, "left").select(
+    return g.select(
         *keys, "z0", "z1", F.col("window_slices").alias("expected_slices"),
         F.when(whole, F.col("observed_slices")).otherwise(0).alias("observed_slices"), n.alias("pixel_count"),
         F.when(n > 0, F.col("_fin") / F.col("pixel_count")).otherwise(0.0).alias("finite_fraction"),
