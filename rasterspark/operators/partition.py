@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,11 +247,11 @@ def split_touching(components: DataFrame, anchors: DataFrame, smap: DataFrame, d
     return split.unionByName(rest.select(*k, "y", "x", "height", "width", "label_id")), d
 
 
-def restore_gaps(components: DataFrame, smap: DataFrame, nuclei: DataFrame, pixel_um: tuple[float, float], min_depth_um: float = 0.27, protect_um: float = 2.10, min_area_um2: float = 0.14, major_axis_um: float = 0.90, eccentricity: float = 0.62, rounds: int = 3) -> DataFrame:
+def restore_gaps(components: DataFrame, smap: DataFrame, nuclei: DataFrame, pixel_um: tuple[float, float], min_depth_um: float = 0.27, protect_um: float = 2.10, min_area_um2: float = 0.14, major_axis_um: float = 0.90, eccentricity: float = 0.62) -> DataFrame:
     """Remove dark internal valleys that do not cut their component, largest first.
 
-    Valleys of one component are tried one per round and all components in
-    parallel; a removal that would disconnect its component is undone.
+    Valleys of one component are tried one per round, all components in parallel,
+    until none is left; a removal that would disconnect its component is undone.
     """
     pitch = {"y": pixel_um[0], "x": pixel_um[1]}
     k = ["field_id", "component_id"]
@@ -266,7 +268,7 @@ def restore_gaps(components: DataFrame, smap: DataFrame, nuclei: DataFrame, pixe
     ranked = cut_lineage(shape.select(*k, "label_id", "area").withColumn("_r", F.row_number().over(order)))
     lab = cut_lineage(lab)
     current = cut_lineage(components.select(*k, "y", "x", "height", "width"))
-    for r in range(1, rounds + 1):
+    for r in itertools.count(1):
         hole = lab.join(ranked.where(F.col("_r") == r).select(*k, "label_id"), [*k, "label_id"], "left_semi").select(*k, "y", "x")
         if hole.isEmpty():
             break

@@ -122,7 +122,7 @@ def g10(spark, d):
 @query("g11_restore_gaps")
 def g11(spark, d):
     c = cells(spark, d).withColumnRenamed("cell_id", "component_id")
-    return summary(partition.restore_gaps(c, smap(spark, d), disc(spark, d, 12, 16, 3), UM, 0.25, 1.0, 0.10, 0.5, 0.5), "component_id")
+    return summary(partition.restore_gaps(c, smap(spark, d), disc(spark, d, 12, 16, 3), UM), "component_id")
 
 
 @query("g12_split_touching")
