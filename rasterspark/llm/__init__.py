@@ -3,11 +3,15 @@
 ``QUERIES`` and ``ORACLES`` hold its registered queries and their SQL twins.
 """
 
+from rasterspark.llm.bpe import op2_bpe
 from rasterspark.llm.common import QueryFn
+from rasterspark.llm.quality import op1_quality
 from rasterspark.llm.simhash import op9_simhash_dedup
 from rasterspark.llm.unit_dedup import op10_substring_dedup
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_quality": op1_quality,
+    "op2_bpe": op2_bpe,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
