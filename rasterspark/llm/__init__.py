@@ -5,14 +5,19 @@
 
 from rasterspark.llm.bpe import op2_bpe
 from rasterspark.llm.common import QueryFn
+from rasterspark.llm.gif import op3_gif
 from rasterspark.llm.quality import op1_quality
 from rasterspark.llm.simhash import op9_simhash_dedup
 from rasterspark.llm.unit_dedup import op10_substring_dedup
+from rasterspark.llm.url_templates import ORACLE as _URLS
+from rasterspark.llm.url_templates import op6_url_templates
 
 QUERIES: dict[str, QueryFn] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
+    "op3_gif": op3_gif,
+    "op6_url_templates": op6_url_templates,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_templates": _URLS}
