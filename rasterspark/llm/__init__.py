@@ -6,6 +6,9 @@
 from rasterspark.llm.bpe import op2_bpe
 from rasterspark.llm.common import QueryFn
 from rasterspark.llm.gif import op3_gif
+from rasterspark.llm.merkle import ORACLE as _AUDIT
+from rasterspark.llm.merkle import op4_merkle_audit
+from rasterspark.llm.mixing import op7_pfair_mix
 from rasterspark.llm.quality import op1_quality
 from rasterspark.llm.simhash import op9_simhash_dedup
 from rasterspark.llm.unit_dedup import op10_substring_dedup
@@ -16,8 +19,10 @@ QUERIES: dict[str, QueryFn] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_gif": op3_gif,
+    "op4_merkle_audit": op4_merkle_audit,
     "op6_url_templates": op6_url_templates,
+    "op7_pfair_mix": op7_pfair_mix,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op6_url_templates": _URLS}
+ORACLES: dict[str, str] = {"op4_merkle_audit": _AUDIT, "op6_url_templates": _URLS}
