@@ -11,6 +11,7 @@ from rasterspark.llm.merkle import op4_merkle_audit
 from rasterspark.llm.mixing import op7_pfair_mix
 from rasterspark.llm.quality import op1_quality
 from rasterspark.llm.simhash import op9_simhash_dedup
+from rasterspark.llm.suffix_dedup import op8_suffix_dedup
 from rasterspark.llm.unit_dedup import op10_substring_dedup
 from rasterspark.llm.url_templates import ORACLE as _URLS
 from rasterspark.llm.url_templates import op6_url_templates
@@ -22,6 +23,7 @@ QUERIES: dict[str, QueryFn] = {
     "op4_merkle_audit": op4_merkle_audit,
     "op6_url_templates": op6_url_templates,
     "op7_pfair_mix": op7_pfair_mix,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
