@@ -3,6 +3,7 @@
 ``QUERIES`` and ``ORACLES`` hold its registered queries and their SQL twins.
 """
 
+from rasterspark.llm.ann import op5_ann
 from rasterspark.llm.bpe import op2_bpe
 from rasterspark.llm.common import QueryFn
 from rasterspark.llm.gif import op3_gif
@@ -21,6 +22,7 @@ QUERIES: dict[str, QueryFn] = {
     "op2_bpe": op2_bpe,
     "op3_gif": op3_gif,
     "op4_merkle_audit": op4_merkle_audit,
+    "op5_ann": op5_ann,
     "op6_url_templates": op6_url_templates,
     "op7_pfair_mix": op7_pfair_mix,
     "op8_suffix_dedup": op8_suffix_dedup,
