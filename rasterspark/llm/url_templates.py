@@ -12,15 +12,15 @@ level, below each template:
   differences of shares at most SIMILAR) merge into one branch ``~``.
 
 A template's badness is its share of bad labels, smoothed with PRIOR virtual labels
-that have its host's share, which is smoothed the same way with the share of all
-labels. A template is rejected above REJECT.
+that have its host's share, which is smoothed the same way with the share BASE. A
+template is rejected above REJECT, so never without labels of its host.
 
 All steps work on counts of distinct (host, shape path), so a host with a third of
 all pages is aggregated before any shuffle. Nothing is compared pair by pair.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits
 no rule and is judged like the rest of host ''; repeated rows get equal verdicts;
-without any label nothing is rejected; an empty table gives no rows.
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ RARE_SHARE = 0.02
 RARE_DISTINCT = 8
 SIMILAR = 0.25
 PRIOR = 4.0
+BASE = 0.2
 REJECT = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,9 +114,7 @@ def templates(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
         tree = written(_merged(written(_wildcards(tree, level)), level))
     leaf = tree.groupBy("host", "t").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"))
     by_host = leaf.groupBy("host").agg(F.sum("tl").alias("hl"), F.sum("tb").alias("hb"))
-    world = tree.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
-    share = world["b"] / world["l"] if world["l"] else 0.0
-    known = by_host.select("host", ((F.col("hb") + F.lit(PRIOR * share)) / (F.col("hl") + F.lit(PRIOR))).alias("h"))
+    known = by_host.select("host", ((F.col("hb") + F.lit(PRIOR * BASE)) / (F.col("hl") + F.lit(PRIOR))).alias("h"))
     badness = leaf.join(known, "host").select("host", "t", ((F.col("tb") + F.lit(PRIOR) * F.col("h")) / (F.col("tl") + F.lit(PRIOR))).alias("badness"))
     return tree.select("host", "shape", "t").join(badness, ["host", "t"]).select("host", "shape", F.col("t").alias("template"), "badness")
 
@@ -185,8 +184,7 @@ m0 AS (SELECT host, array_to_string(segs, '/') AS shape, count(*) AS n, count(ac
 {",".join(_level_sql(i) for i in range(LEVELS))},
 leaf AS (SELECT host, t, sum(labelled) AS tl, sum(bad) AS tb FROM m{LEVELS} GROUP BY ALL),
 hosts AS (SELECT host, sum(tl) AS hl, sum(tb) AS hb FROM leaf GROUP BY ALL),
-world AS (SELECT CASE WHEN sum(hl) > 0 THEN sum(hb) / sum(hl) ELSE 0 END AS w FROM hosts),
-known AS (SELECT host, (hb + {PRIOR} * w) / (hl + {PRIOR}) AS h FROM hosts, world),
+known AS (SELECT host, (hb + {PRIOR * BASE}) / (hl + {PRIOR}) AS h FROM hosts),
 judged AS (SELECT l.host, l.t, (l.tb + {PRIOR} * k.h) / (l.tl + {PRIOR}) AS badness FROM leaf l JOIN known k ON l.host = k.host)
 SELECT w.page_id, w.host, w.path, w.rule, coalesce(w.action, CASE WHEN j.badness > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
     m.t AS template, round(j.badness, 9) AS badness
