@@ -39,12 +39,13 @@ def candidate_catalog(windows: DataFrame, snr: DataFrame) -> DataFrame:
     """Eighteen candidate specifications for every depth window.
 
     ``windows``: (field_id, position, z_mode); ``snr``: (field_id, sensitivity).
-    Profiles without own values adapt to the field's contrast.
+    Profiles without own values adapt to the field's contrast; where that is
+    unknown such values stay null and ``reason`` says so.
     """
     names = ("profile", "family", "module", "threshold_scale", "detail", "intensity", "min_area", "major_axis", "eccentricity", "gap")
     kinds = ("string", "string", "string", "double", "double", "double", "int", "double", "double", "int")
     rows = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(p, names, kinds)]) for p in PROFILES])
-    c = windows.join(snr, "field_id", "left").select("field_id", "position", "z_mode", F.coalesce("sensitivity", F.lit(0.5)).alias("s"), F.posexplode(rows).alias("i", "p"))
+    c = windows.join(snr, "field_id", "left").select("field_id", "position", "z_mode", F.col("sensitivity").alias("s"), F.posexplode(rows).alias("i", "p"))
     s = F.col("s")
     mode = F.when(F.col("p.profile").contains("consensus"), "channel_consensus").when(F.col("p.profile").contains("topology"), "topology_continuity").otherwise("union")
     return c.select(
@@ -52,7 +53,8 @@ def candidate_catalog(windows: DataFrame, snr: DataFrame) -> DataFrame:
         F.when(F.col("p.module") == "distributional_threshold", "log1p_gmm").otherwise("profile").alias("method"), mode.alias("evidence_mode"),
         F.coalesce("p.detail", 94.5 - 2.0 * s).alias("detail"), F.coalesce("p.intensity", 73.0 - 3.0 * s).alias("intensity"),
         F.coalesce("p.min_area", F.bround(21.0 - 4.0 * s).cast("int")).alias("min_area"), F.coalesce("p.major_axis", 16.0 - 3.0 * s).alias("major_axis"),
-        F.coalesce("p.eccentricity", 0.70 - 0.05 * s).alias("eccentricity"), F.coalesce("p.gap", F.when(s >= 0.35, 2).otherwise(1)).alias("gap"))
+        F.coalesce("p.eccentricity", 0.70 - 0.05 * s).alias("eccentricity"), F.coalesce("p.gap", F.when(s >= 0.35, 2).when(s < 0.35, 1)).alias("gap"),
+        F.when(s.isNull() & F.col("p.detail").isNull(), "snr_missing").alias("reason"))
 
 
 def check_catalog(catalog: DataFrame, windows: int = 5) -> DataFrame:
@@ -117,16 +119,28 @@ def with_segmenter(planes: DataFrame, predict: Callable, min_side: int = 32) ->
     return planes.select("field_id", "channel", "z", "height", "width", "px").mapInPandas(run, schema)
 
 
+def resize_nearest(labels: DataFrame, scale: float, keys: list[str] = FIELD) -> DataFrame:
+    """Sparse label image at ``scale`` times its size, at least one pixel high and wide.
+
+    A pixel of the result takes the label under its centre, so a stored pixel y
+    fills the rows from ceil(y * scale - 1/2) up to the next pixel's first row.
+    """
+    first = lambda c: F.ceil(c * F.lit(scale) - 0.5).cast("int")
+    side = lambda n: F.greatest(F.lit(1), F.floor(F.col(n) * F.lit(scale) + 0.5)).cast("int")
+    out = labels.withColumns({"_h": side("height"), "_w": side("width")})
+    for axis, end in (("y", "_h"), ("x", "_w")):
+        low, high = first(F.col(axis)), F.least(first(F.col(axis) + 1), F.col(end)) - 1
+        out = out.where(low <= high).withColumn(axis, F.explode(F.sequence(low, high)))
+    return out.select(*keys, "y", "x", "label_id", F.col("_h").alias("height"), F.col("_w").alias("width"))
+
+
 def model_prior(labels: DataFrame, min_px: int = 55, scale: float = 1.0, keys: list[str] = FIELD) -> DataFrame:
     """Mask of any positive model label, resized by nearest pixel and cleaned of small parts.
 
-    ``scale`` is field pixels per model pixel.
+    ``scale`` is field pixels per model pixel, any positive number.
     """
     if scale != 1.0:
-        side = int(round(scale))
-        moves = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in range(side) for j in range(side)]))
-        labels = labels.select(*keys, "y", "x", "height", "width", moves.alias("o")).select(
-            *keys, (F.col("y") * side + F.col("o.dy")).alias("y"), (F.col("x") * side + F.col("o.dx")).alias("x"), (F.col("height") * side).alias("height"), (F.col("width") * side).alias("width"))
+        labels = resize_nearest(labels, scale, keys)
     return graph.remove_small(labels.select(*keys, "y", "x", "height", "width").distinct(), min_px, keys)
 
 

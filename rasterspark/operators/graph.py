@@ -13,8 +13,6 @@ from rasterspark.operators.focal import complement, morphology, neighbour_offset
 from rasterspark.operators.local import FIELD
 from rasterspark.session import cut_lineage
 
-MAX_ROUNDS = 60
-
 
 def label_closure(edges: DataFrame, keys: list[str] = FIELD, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node id of every connected component: (keys, node, root).
@@ -27,14 +25,12 @@ def label_closure(edges: DataFrame, keys: list[str] = FIELD, a: str = "a", b: st
     nodes = e.select(*keys, F.col("a").alias("node")).union(e.select(*keys, F.col("b").alias("node"))).distinct()
     roots = cut_lineage(nodes.withColumn("root", F.col("node")))
     e = cut_lineage(e)
-    for _ in range(MAX_ROUNDS):
-        if e.isEmpty():
-            return roots
+    while not e.isEmpty():
         both = e.union(e.select(*keys, "b", "a"))
         hook = both.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("_m"))
         parent = cut_lineage(hook.select(*keys, "node", F.least("node", "_m").alias("p")))
         # Pointer doubling flattens the hook forest, so a path of n nodes takes log n jumps.
-        for _ in range(MAX_ROUNDS):
+        while True:
             up = parent.select(*keys, F.col("node").alias("p"), F.col("p").alias("_pp"))
             moved = cut_lineage(parent.join(up, [*keys, "p"]).select(*keys, "node", F.col("_pp").alias("p"), (F.col("_pp") != F.col("p")).alias("_c")))
             parent = moved.drop("_c")
@@ -50,7 +46,7 @@ def label_closure(edges: DataFrame, keys: list[str] = FIELD, a: str = "a", b: st
             .select(*keys, F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
             .where(F.col("a") != F.col("b")).distinct()
         )
-    raise RuntimeError("label closure did not converge")
+    return roots
 
 
 def _union(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -234,7 +230,7 @@ def skeleton_topology(skeleton: DataFrame, keys: list[str] = FIELD) -> DataFrame
 # ------------------------------------------------------- seeded assignment
 
 
-def seeded_assign(cost: DataFrame, markers: DataFrame, keys: list[str] = FIELD, tile: int = TILE, max_rounds: int = 200) -> DataFrame:
+def seeded_assign(cost: DataFrame, markers: DataFrame, keys: list[str] = FIELD, tile: int = TILE) -> DataFrame:
     """Assign every domain pixel to a marker along its minimax path.
 
     ``cost``: (keys, y, x, height, width, cost), the domain; ``markers``: (keys,
@@ -298,11 +294,9 @@ def seeded_assign(cost: DataFrame, markers: DataFrame, keys: list[str] = FIELD,
         return {**same, "hops": clean(hops), "lab": clean(lab), "changed": changed}
 
     for kernel in (relax_level, relax_hops):
-        for _ in range(max_rounds):
+        while True:
             state = cut_lineage(tile_map(state.select(*at, "height", "width", *cols), keys, cols, 1, kernel, out, tile=tile))
             if state.where(F.col("changed") > 0).isEmpty():
                 break
-        else:
-            raise RuntimeError("seeded assignment did not converge")
     done = state.where(F.col("lab") < big)
     return done.select(*at, "height", "width", F.col("lab").cast("long").alias("label_id"), "level", F.col("hops").cast("long").alias("hops"))

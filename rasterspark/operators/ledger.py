@@ -211,8 +211,10 @@ def state_hash(rows: DataFrame, columns: list[str], keys: list[str] = FIELD, sha
     Rows are hashed, shards of rows are combined first, and only at most
     ``shard`` shard hashes meet per key.
     """
-    text = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    r = rows.select(*keys, text.alias("h")).withColumn("_b", F.pmod(F.xxhash64("h"), F.lit(shard * 64)))
+    # Each value goes with its length, so no two rows have one text.
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    text = F.sha2(F.concat(*[part(F.col(c).cast("string")) for c in columns]), 256)
+    r = rows.select(*keys, text.alias("h")).withColumn("_b", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % F.lit(shard * 64))
     inner = r.groupBy(*keys, "_b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
     mid = inner.groupBy(*keys, (F.col("_b") % shard).alias("_b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
     return mid.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("state_hash"))
@@ -223,7 +225,7 @@ def transport_identity(results: DataFrame, prior: DataFrame) -> DataFrame:
 
     A known uid keeps its original id, the first child of a split takes its
     parent's, a merge takes the lowest source; everything that would repeat an id
-    takes the next free one in display order. ``results``: (field_id, label_id,
+    takes the next free one in display order, and so does a cell without any origin. ``results``: (field_id, label_id,
     cell_uid, parent_uid, sources ARRAY of uids); ``prior``: (field_id, cell_uid,
     original_id, lineage ARRAY).
     """
@@ -235,10 +237,10 @@ def transport_identity(results: DataFrame, prior: DataFrame) -> DataFrame:
     wish = F.coalesce("_cell_uid_o", "_parent_uid_o", "_m_o")
     lineage = F.coalesce("_cell_uid_l", "_parent_uid_l", "_m_l")
     first = Window.partitionBy("field_id", "_wish").orderBy("label_id")
-    j = j.withColumn("_wish", wish).withColumn("_dup", F.row_number().over(first) > 1)
+    j = j.withColumn("_wish", wish).withColumn("_dup", F.col("_wish").isNull() | (F.row_number().over(first) > 1))
     top = prior.groupBy("field_id").agg(F.max("original_id").alias("_top"))
     fresh = F.sum(F.col("_dup").cast("int")).over(Window.partitionBy("field_id").orderBy("label_id"))
-    j = j.join(top, "field_id").withColumn("original_id", F.when(F.col("_dup"), F.col("_top") + fresh).otherwise(F.col("_wish")))
+    j = j.join(top, "field_id", "left").withColumn("original_id", F.when(F.col("_dup"), F.coalesce("_top", F.lit(0)) + fresh).otherwise(F.col("_wish")))
     return j.select("field_id", "label_id", "original_id", "cell_uid", "parent_uid", lineage.alias("lineage"))
 
 

@@ -95,7 +95,7 @@ def flag_conflicts(edges: DataFrame, ratio: float) -> DataFrame:
     return out.withColumn("conflict", flags[0] | flags[1]).drop("_b0", "_r0", "_s0", "_b1", "_r1", "_s1")
 
 
-def greedy_one_to_one(edges: DataFrame, keys: list[str], left: str, right: str, score: str = "score", max_rounds: int = 100) -> DataFrame:
+def greedy_one_to_one(edges: DataFrame, keys: list[str], left: str, right: str, score: str = "score") -> DataFrame:
     """Greedy matching by (-score, left, right), as rounds of locally best edges.
 
     An edge that is the best of both its ends would also be taken by the
@@ -106,9 +106,7 @@ def greedy_one_to_one(edges: DataFrame, keys: list[str], left: str, right: str,
 
     rest = cut_lineage(edges.select(*keys, left, right, score))
     chosen = None
-    for _ in range(max_rounds):
-        if rest.isEmpty():
-            break
+    while not rest.isEmpty():
         order = [F.desc(score), F.col(left), F.col(right)]
         best = rest.withColumns({
             "_l": F.row_number().over(Window.partitionBy(*keys, left).orderBy(*order)),
@@ -117,8 +115,6 @@ def greedy_one_to_one(edges: DataFrame, keys: list[str], left: str, right: str,
         best = cut_lineage(best)
         chosen = best if chosen is None else chosen.unionByName(best)
         rest = cut_lineage(rest.join(best.select(*keys, left), [*keys, left], "left_anti").join(best.select(*keys, right), [*keys, right], "left_anti"))
-    else:
-        raise RuntimeError("greedy matching did not finish")
     return rest if chosen is None else chosen
 
 
@@ -226,19 +222,30 @@ def owner_map(declared: DataFrame, recorded: DataFrame, soma: DataFrame, whole:
 # ----------------------------------------------------- grouping of 3D records
 
 
-def _grid_pairs(objects: DataFrame, keys: list[str], reach_um: float, pixel_um: tuple[float, float], columns: list[str]) -> DataFrame:
-    """Pairs of objects whose centres may lie within ``reach_um``, by grid cells of that size.
+def _grid_pairs(objects: DataFrame, keys: list[str], factor: float, pixel_um: tuple[float, float], columns: list[str]) -> DataFrame:
+    """Ordered pairs of objects whose centres may lie within ``factor`` times the sum of their radii.
 
-    The right side is copied to the 3 x 3 neighbouring cells, so a pair meets in
-    exactly one cell and far objects of a crowded field never meet.
+    Objects fall into classes by the power of two above their radius. A pair meets
+    on the grid of its larger class, whose cells are as wide as two objects of that
+    class reach: the larger one lies in one cell, the other in the 3 x 3 cells around
+    it. So an object of any size finds its partners, and small objects of a crowded
+    field never meet on a coarse grid unless a large one is there.
     """
-    cy = F.floor(F.col("center_y") * pixel_um[0] / reach_um).cast("long")
-    cx = F.floor(F.col("center_x") * pixel_um[1] / reach_um).cast("long")
+    size = F.ceil(F.log2(F.greatest(sphere_radius("volume_um3"), F.lit(2.0**-20)))).cast("int")
+    sized = objects.withColumn("_k", size)
+    top = sized.groupBy(*keys).agg(F.max("_k").alias("_top"))
+    every = sized.join(top, keys).withColumn("_level", F.explode(F.sequence("_k", "_top"))).drop("_top")
+    cell = F.lit(2.0 * factor) * F.pow(F.lit(2.0), F.col("_level"))
+    every = every.withColumns({
+        "_gy": F.floor(F.col("center_y") * pixel_um[0] / cell).cast("long"), "_gx": F.floor(F.col("center_x") * pixel_um[1] / cell).cast("long")})
     moves = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = objects.select(*keys, cy.alias("_gy"), cx.alias("_gx"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = objects.select(*keys, cy.alias("_cy"), cx.alias("_cx"), *[F.col(c).alias(f"b_{c}") for c in columns], moves.alias("_m"))
-    right = right.withColumns({"_gy": F.col("_cy") + F.col("_m.dy"), "_gx": F.col("_cx") + F.col("_m.dx")}).drop("_cy", "_cx", "_m")
-    return left.join(right, [*keys, "_gy", "_gx"]).drop("_gy", "_gx")
+    around = every.withColumn("_m", moves).withColumns({"_gy": F.col("_gy") + F.col("_m.dy"), "_gx": F.col("_gx") + F.col("_m.dx")})
+    at = [*keys, "_level", "_gy", "_gx"]
+    named = lambda df, side: df.select(*at, *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    large = F.col("_k") == F.col("_level")
+    first = named(every.where(large), "a").join(named(around, "b"), at)
+    second = named(around.where(~large), "a").join(named(every.where(large), "b"), at)
+    return first.unionByName(second).drop("_level", "_gy", "_gx")
 
 
 def _pair_distance(pixel_um: tuple[float, float], depth_um: float):
@@ -249,21 +256,17 @@ def _pair_distance(pixel_um: tuple[float, float], depth_um: float):
 _RECORD = ["object_id", "z_min", "z_max", "center_z", "center_y", "center_x", "volume_um3"]
 
 
-def fragment_pairs(objects: DataFrame, pixel_um: tuple[float, float], depth_um: float, max_radius_um: float, params: OwnershipParams = OwnershipParams()) -> DataFrame:
-    """Fragments of one nucleus: same 2D component, overlapping depth, centres within the radius sum.
-
-    ``max_radius_um`` bounds every object's sphere radius and sets the grid.
-    """
-    reach = params.radius_factor * 2.0 * max_radius_um
-    p = _grid_pairs(objects, ["field_id", "component_2d"], reach, pixel_um, _RECORD).where(F.col("a_object_id") < F.col("b_object_id"))
+def fragment_pairs(objects: DataFrame, pixel_um: tuple[float, float], depth_um: float, params: OwnershipParams = OwnershipParams()) -> DataFrame:
+    """Fragments of one nucleus: same 2D component, overlapping depth, centres within the radius sum."""
+    p = _grid_pairs(objects, ["field_id", "component_2d"], params.radius_factor, pixel_um, _RECORD).where(F.col("a_object_id") < F.col("b_object_id"))
     touch = (F.col("a_z_min") <= F.col("b_z_max")) & (F.col("b_z_min") <= F.col("a_z_max"))
     limit = params.radius_factor * (sphere_radius("a_volume_um3") + sphere_radius("b_volume_um3"))
     return p.where(touch & (_pair_distance(pixel_um, depth_um) <= limit)).select("field_id", F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"))
 
 
-def group_fragments(objects: DataFrame, pixel_um: tuple[float, float], depth_um: float, max_radius_um: float, params: OwnershipParams = OwnershipParams()) -> DataFrame:
+def group_fragments(objects: DataFrame, pixel_um: tuple[float, float], depth_um: float, params: OwnershipParams = OwnershipParams()) -> DataFrame:
     """Union of fragments into nucleus groups with volume-weighted centres."""
-    root = label_closure(fragment_pairs(objects, pixel_um, depth_um, max_radius_um, params)).withColumnRenamed("node", "object_id")
+    root = label_closure(fragment_pairs(objects, pixel_um, depth_um, params)).withColumnRenamed("node", "object_id")
     o = objects.join(root, ["field_id", "object_id"], "left").withColumn("group_id", F.coalesce("root", "object_id"))
     v = F.col("volume_um3")
     weighted = lambda c: (F.sum(F.col(c) * v) / F.sum(v)).alias(c)
@@ -274,11 +277,10 @@ def group_fragments(objects: DataFrame, pixel_um: tuple[float, float], depth_um:
     return g.withColumn("accepted", F.col("_any") & (F.col("volume_um3") >= params.accepted_min_volume_um3)).drop("_any")
 
 
-def collapse_satellites(groups: DataFrame, pixel_um: tuple[float, float], depth_um: float, max_radius_um: float, params: IdentityParams = IdentityParams()) -> DataFrame:
+def collapse_satellites(groups: DataFrame, pixel_um: tuple[float, float], depth_um: float, params: IdentityParams = IdentityParams()) -> DataFrame:
     """Alias of each satellite record to the root record that contains its sources."""
     cols = ["group_id", "source_ids", "z_min", "z_max", "center_z", "center_y", "center_x", "volume_um3"]
-    reach = params.satellite_radius_factor * 2.0 * max_radius_um
-    p = _grid_pairs(groups, ["field_id"], reach, pixel_um, cols)
+    p = _grid_pairs(groups, ["field_id"], params.satellite_radius_factor, pixel_um, cols)
     small, big = F.col("a_source_ids"), F.col("b_source_ids")
     overlap = F.least("a_z_max", "b_z_max") - F.greatest("a_z_min", "b_z_min") + 1
     span = F.col("a_z_max") - F.col("a_z_min") + 1
@@ -291,18 +293,17 @@ def collapse_satellites(groups: DataFrame, pixel_um: tuple[float, float], depth_
     return follow_alias(groups.select("field_id", "group_id"), alias, "group_id", "host")
 
 
-def follow_alias(nodes: DataFrame, alias: DataFrame, node: str, target: str, max_jumps: int = 20) -> DataFrame:
+def follow_alias(nodes: DataFrame, alias: DataFrame, node: str, target: str) -> DataFrame:
     """Follow alias chains to their end by pointer doubling: (field_id, node, root)."""
     from rasterspark.session import cut_lineage
 
     cur = cut_lineage(nodes.join(alias, ["field_id", node], "left").withColumn("root", F.coalesce(target, node)).select("field_id", node, "root"))
-    for _ in range(max_jumps):
+    while True:
         hop = cur.select("field_id", F.col(node).alias("root"), F.col("root").alias("_n"))
         nxt = cut_lineage(cur.join(hop, ["field_id", "root"], "left").select("field_id", node, F.coalesce("_n", "root").alias("root"), (F.coalesce("_n", "root") != F.col("root")).alias("_c")))
         cur = nxt.drop("_c")
         if nxt.where("_c").isEmpty():
             return cur
-    raise RuntimeError("alias chain did not end")
 
 
 def merge_same_nucleus(nuclei: DataFrame, cells: DataFrame, pixel_um: tuple[float, float], params: IdentityParams = IdentityParams()) -> DataFrame:

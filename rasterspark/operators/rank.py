@@ -15,17 +15,15 @@ LOWER = ("unsupported", "unanchored", "edge", "border_removed", "border_preserve
 
 
 def pairwise_iou(masks: DataFrame, candidates: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """IoU of every candidate pair of a window (at most 62 candidates, numbered from 1).
+    """IoU of every candidate pair of a window.
 
-    Pixels are reduced to a membership bit set and equal bit sets are counted
-    before any pair is formed, so pairs cost one row per distinct pattern rather
-    than one per pixel. Two empty masks have IoU 1.
+    Pixels are reduced to the set of candidates that have them and equal sets are
+    counted before any pair is formed, so pairs cost one row per distinct pattern
+    rather than one per pixel. A set is at most as long as the window's catalog.
+    Two empty masks have IoU 1.
     """
-    bit = F.expr("shiftleft(1L, cast(candidate as int))")
-    patterns = (
-        masks.groupBy(*keys, "y", "x").agg(F.bit_or(bit).alias("bits")).groupBy(*keys, "bits").agg(F.count(F.lit(1)).alias("n"))
-    )
-    members = patterns.withColumn("m", F.expr("filter(sequence(1, 62), i -> (shiftright(bits, i) & 1L) = 1L)")).drop("bits")
+    own = F.array_sort(F.collect_set(F.col("candidate").cast("int")))
+    members = masks.groupBy(*keys, "y", "x").agg(own.alias("m")).groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("n"))
     pairs = members.select(*keys, "n", F.explode("m").alias("a"), "m").select(*keys, "n", "a", F.explode("m").alias("b")).where(F.col("a") <= F.col("b"))
     both = pairs.groupBy(*keys, "a", "b").agg(F.sum("n").alias("inter"))
     area = both.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("candidate"), F.col("inter").alias("area"))

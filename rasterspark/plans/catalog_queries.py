@@ -143,7 +143,7 @@ def a11(spark, d):
     return catalog.check_roi_archive(b, a)
 
 
-@query("a12_fingerprint_files", """SELECT CAST(o_orderkey AS VARCHAR) AS path, CAST(length(o_orderpriority) AS BIGINT) AS length, 'full' AS mode, sha256(o_orderpriority) AS fingerprint FROM orders""")
+@query("a12_fingerprint_files", """SELECT CAST(o_orderkey AS VARCHAR) AS path, CAST(length(o_orderpriority) AS BIGINT) AS length, sha256(o_orderpriority) AS fingerprint FROM orders""")
 def a12(spark, d):
     o = src.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.encode("o_orderpriority", "UTF-8").alias("content"))
     return catalog.fingerprint_files(o.withColumn("length", F.octet_length("content").cast("long")))
@@ -199,6 +199,24 @@ def k02(spark, d):
     return specs.model_prior(px, 20, 2.0).select(*AT)
 
 
+def _resize_sql(scale: float) -> str:
+    return with_ctes("dense") + f""", big AS (SELECT DISTINCT field_id, greatest(1, CAST(floor(height * {scale} + .5) AS INT)) AS h, greatest(1, CAST(floor(width * {scale} + .5) AS INT)) AS w FROM dense)
+SELECT g.field_id, CAST(r.y AS INTEGER) AS y, CAST(q.x AS INTEGER) AS x FROM big g, range(0, 130) r(y), range(0, 130) q(x), dense d
+WHERE r.y < h AND q.x < w AND d.field_id = g.field_id AND d.y = CAST(floor((r.y + .5) / {scale}) AS INT) AND d.x = CAST(floor((q.x + .5) / {scale}) AS INT) AND d.value > 0.05"""
+
+
+def _resize(scale: float):
+    def run(spark, d):
+        px = src.dense_plane(spark, d).where(F.col("value") > 0.05).withColumn("label_id", F.lit(1))
+        return specs.resize_nearest(px, scale).select(*AT)
+
+    return run
+
+
+for _name, _scale in (("half", 0.5), ("odd", 1.4), ("double", 2.0)):
+    query(f"k02_resize_{_name}", _resize_sql(_scale))(_resize(_scale))
+
+
 @query("k05_stroke_pixels", with_ctes("ledger") + """, s AS (SELECT field_id, sequence, target_id // 8 AS y0, target_id % 8 AS x0, target_id // 8 + event_id % 3 AS y1, target_id % 8 + event_id % 4 AS x1 FROM ledger)
 SELECT field_id, count(*) AS pixels FROM s, range(0, 12) r(y), range(0, 12) q(x) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY 1""")
 def k05(spark, d):

@@ -71,12 +71,12 @@ def i03(spark, d):
 
 
 def _requests(spark, d):
-    """Delete requests from the event ledger, folded onto the sixteen cells of supplier fields."""
-    e = src.edits(spark, d).where(F.col("event_type") == "click")
-    return e.select(F.col("field_id"), (F.col("target_id") % 16 + 1).alias("cell_id")).distinct()
+    """Delete requests from all events, folded onto the sixteen cells of supplier fields; only clicks choose a cell."""
+    cell = F.when(F.col("event_type") == "click", F.col("target_id") % 16 + 1).otherwise(1)
+    return src.edits(spark, d).select("field_id", cell.alias("cell_id")).distinct()
 
 
-@query("i04_edit_delete", with_ctes("cells", "ledger") + """, rq AS (SELECT DISTINCT field_id, target_id % 16 + 1 AS cell_id FROM ledger WHERE event_type = 'click'),
+@query("i04_edit_delete", with_ctes("cells", "ledger") + """, rq AS (SELECT DISTINCT field_id, CASE WHEN event_type = 'click' THEN target_id % 16 + 1 ELSE 1 END AS cell_id FROM ledger),
 n AS (SELECT c.field_id, count(*) AS cells, count(rq.cell_id) AS requested FROM (SELECT DISTINCT field_id, cell_id FROM cells) c LEFT JOIN rq USING (field_id, cell_id) GROUP BY 1)
 SELECT c.field_id, c.cell_id, count(*) AS pixels FROM cells c LEFT JOIN rq USING (field_id, cell_id) JOIN n ON n.field_id = c.field_id WHERE rq.cell_id IS NULL OR requested = cells GROUP BY 1, 2""")
 def i04(spark, d):
@@ -85,11 +85,11 @@ def i04(spark, d):
 
 
 @query("i05_edit_merge", with_ctes("cells", "ledger") + """, mg AS (SELECT DISTINCT field_id, target_id % 4 AS merge_id, CAST(CASE WHEN target_id % 4 = 3 THEN 12 + event_id % 3 * 2 ELSE target_id % 4 * 4 + event_id % 2 + 1 END AS BIGINT) AS cell_id
-  FROM ledger WHERE event_type = 'view' AND field_id IN (SELECT field_id FROM cells)),
+  FROM ledger WHERE field_id IN (SELECT field_id FROM cells)),
 g AS (SELECT field_id, merge_id, count(*) AS n, min(cell_id) AS result_id, array_to_string(list_sort(list(cell_id)), ',') AS source_ids FROM mg GROUP BY 1, 2)
 SELECT field_id, merge_id, result_id, source_ids, CASE WHEN n < 2 THEN 'too_few_cells' WHEN merge_id = 3 AND source_ids <> '12,16' THEN 'somas_not_connected' ELSE 'applied' END AS status FROM g""")
 def i05(spark, d):
-    e = src.edits(spark, d).where(F.col("event_type") == "view")
+    e = src.edits(spark, d)
     far = F.col("target_id") % 4 == 3
     cell = F.when(far, 12 + F.col("event_id") % 3 * 2).otherwise(F.col("target_id") % 4 * 4 + F.col("event_id") % 2 + 1)
     m = e.select("field_id", (F.col("target_id") % 4).alias("merge_id"), cell.cast("long").alias("cell_id")).distinct()
@@ -99,10 +99,10 @@ def i05(spark, d):
     return joined(ledger.edit_merge(regions, m, (0.2, 0.2))[1], "source_ids").select("field_id", "merge_id", "result_id", "source_ids", "status")
 
 
-@query("i06_edit_trim", with_ctes("cells", "ledger") + """, st AS (SELECT DISTINCT field_id, CAST(target_id // 2 AS INT) AS y, CAST(event_id % 32 AS INT) AS x FROM ledger WHERE event_type = 'signup')
+@query("i06_edit_trim", with_ctes("cells", "ledger") + """, st AS (SELECT DISTINCT field_id, CAST(target_id // 2 AS INT) AS y, CAST(event_id % 32 AS INT) AS x FROM ledger)
 SELECT field_id, cell_id, count(*) AS deleted_px FROM cells JOIN st USING (field_id, y, x) WHERE part = 'processes' GROUP BY 1, 2""")
 def i06(spark, d):
-    e = src.edits(spark, d).where(F.col("event_type") == "signup")
+    e = src.edits(spark, d)
     s = e.select("field_id", F.floor(F.col("target_id") / 2).cast("int").alias("y"), (F.col("event_id") % 32).cast("int").alias("x"))
     return ledger.edit_trim(src.compartments(spark, d), s)[1].select("field_id", "cell_id", "deleted_px")
 
@@ -170,7 +170,11 @@ def i12(spark, d):
     return joined(ledger.lineage_maps(ident, o), "final_ids").withColumn("final_ids", F.nullif(F.coalesce("final_ids", F.lit("")), F.lit("")))
 
 
-@query("i15_state_hash")
+@query("i15_state_hash", with_ctes("cells") + """, r AS (SELECT field_id, sha256(length(CAST(y AS VARCHAR)) || ':' || y || length(CAST(x AS VARCHAR)) || ':' || x || length(CAST(cell_id AS VARCHAR)) || ':' || cell_id || length(part) || ':' || part) AS h FROM cells),
+b AS (SELECT field_id, h, CAST('0x' || substr(h, 1, 4) AS INT) % 16384 AS b FROM r),
+i AS (SELECT field_id, b, sha256(array_to_string(list_sort(list(h)), ',')) AS h FROM b GROUP BY 1, 2),
+m AS (SELECT field_id, b % 256 AS b, sha256(array_to_string(list_sort(list(h)), ',')) AS h FROM i GROUP BY 1, 2)
+SELECT field_id, sha256(array_to_string(list_sort(list(h)), ',')) AS state_hash FROM m GROUP BY 1""")
 def i15(spark, d):
     return ledger.state_hash(src.compartments(spark, d), ["y", "x", "cell_id", "part"])
 

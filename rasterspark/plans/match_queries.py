@@ -131,14 +131,14 @@ cl(field_id, node, root) USING KEY (field_id, node) AS (SELECT field_id, object_
 
 @query("f08_fragment_pairs", with_ctes("objects", extra=_FP) + "SELECT field_id, a, b FROM fp")
 def f08p(spark, d):
-    return match.fragment_pairs(src.nuclei_objects(spark, d), (0.25, 0.25), 0.5, 2.5)
+    return match.fragment_pairs(src.nuclei_objects(spark, d), (0.25, 0.25), 0.5)
 
 
 @query("f08_group_fragments", with_ctes("objects", extra=_GR) + """SELECT o.field_id, root AS group_id, array_to_string(list_sort(list(object_id)), ',') AS source_ids, sum(volume_um3) AS volume_um3, min(z_min) AS z_min, max(z_max) AS z_max,
   round(sum(center_z * volume_um3) / sum(volume_um3), 6) + 0.0 AS center_z, round(sum(center_y * volume_um3) / sum(volume_um3), 6) + 0.0 AS center_y, round(sum(center_x * volume_um3) / sum(volume_um3), 6) + 0.0 AS center_x,
   max(enclosure) AS enclosure, bool_or(accepted) AND sum(volume_um3) >= 4 AS accepted FROM objects o JOIN cl ON cl.field_id = o.field_id AND cl.node = o.object_id GROUP BY 1, 2""")
 def f08(spark, d):
-    g = match.group_fragments(src.nuclei_objects(spark, d), (0.25, 0.25), 0.5, 2.5)
+    g = match.group_fragments(src.nuclei_objects(spark, d), (0.25, 0.25), 0.5)
     return joined(rounded(g, "center_z", "center_y", "center_x"), "source_ids")
 
 
@@ -148,7 +148,7 @@ def f09(spark, d):
     first = F.when(F.col("object_id") % 2 == 0, F.array("object_id")).otherwise(F.array("object_id", F.col("object_id") - 1))
     g = o.select("field_id", F.col("object_id").alias("group_id"), first.alias("source_ids"), F.lit(0).alias("z_min"), F.lit(9).alias("z_max"), "center_z",
                  (F.floor(F.col("object_id") / 2) % 25).cast("double").alias("center_y"), (F.floor(F.col("object_id") / 2) * 3 % 40).cast("double").alias("center_x"), "volume_um3")
-    return match.collapse_satellites(g, (0.25, 0.25), 0.05, 2.5)
+    return match.collapse_satellites(g, (0.25, 0.25), 0.05)
 
 
 @query("f10_merge_same_nucleus", with_ctes("dense", extra=_AB + """, sz AS (SELECT field_id, l, count(*) AS n FROM a GROUP BY 1, 2),

@@ -207,21 +207,9 @@ def route_fields(scanned: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- fingerprints
 
 
-def fingerprint_files(files: DataFrame, full_limit: int = 64 << 20, sample: int = 1 << 20) -> DataFrame:
-    """SHA-256 of whole contents up to a size, else of first, middle and last samples.
-
-    ``files`` are binaryFile rows (path, length, content).
-    """
-    middle = F.greatest(F.lit(0), F.floor(F.col("length") / 2) - sample // 2).cast("int")
-    sampled = F.concat(
-        F.substring(F.col("content"), 1, sample), F.substring(F.col("content"), middle + 1, F.lit(sample)),
-        F.substring(F.col("content"), F.greatest(F.lit(1), F.col("length") - sample + 1).cast("int"), F.lit(sample)),
-    )
-    full = F.col("length") <= full_limit
-    return files.select(
-        "path", "length", F.when(full, "full").otherwise("sampled").alias("mode"),
-        F.when(full, F.sha2("content", 256)).otherwise(F.sha2(sampled, 256)).alias("fingerprint"),
-    )
+def fingerprint_files(files: DataFrame) -> DataFrame:
+    """SHA-256 of the whole content of every file; ``files`` are binaryFile rows (path, length, content)."""
+    return files.select("path", "length", F.sha2("content", 256).alias("fingerprint"))
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from brute import anchors
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from rasterspark.operators import depth, evidence, ledger, partition, rank, zonal
+from rasterspark.operators import depth, evidence, ledger, match, partition, rank, zonal
 from rasterspark.params import WorkloadLimits
 from rasterspark.plans import ORACLES, QUERIES
 from rasterspark.streaming import events as ev
@@ -75,6 +75,39 @@ def test_pairwise_iou_empty_masks(spark):
     assert got == {(1, 2): 0.5, (1, 3): 0.0, (1, 4): 0.0, (2, 3): 0.0, (2, 4): 0.0, (3, 4): 1.0}
 
 
+def test_pairwise_iou_of_many_candidates(spark):
+    rng = np.random.default_rng(3)
+    inside = rng.random((130, 40)) < 0.3
+    rows = [("f", 1, int(i) + 1, int(x) // 8, int(x) % 8) for i, x in zip(*np.nonzero(inside))]
+    m = spark.createDataFrame(rows, "field_id string, position int, candidate int, y int, x int")
+    c = spark.createDataFrame([("f", 1, i + 1) for i in range(130)], "field_id string, position int, candidate int")
+    got = {(r.a, r.b): r.iou for r in rank.pairwise_iou(m, c).collect()}
+    assert len(got) == 130 * 129 // 2
+    for (a, b), iou in got.items():
+        either = (inside[a - 1] | inside[b - 1]).sum()
+        assert iou == pytest.approx((inside[a - 1] & inside[b - 1]).sum() / either if either else 1.0)
+
+
+def test_fragments_of_any_size_meet(spark):
+    rng = np.random.default_rng(4)
+    volume = 10.0 ** rng.uniform(-1, 5, 120)
+    place = rng.uniform(0, 400, (120, 2))
+    rows = [("f", i, 0, 0, 3, 1.0, float(y), float(x), float(v)) for i, ((y, x), v) in enumerate(zip(place, volume))]
+    cols = "field_id string, object_id long, component_2d long, z_min int, z_max int, center_z double, center_y double, center_x double, volume_um3 double"
+    got = {(r.a, r.b) for r in match.fragment_pairs(spark.createDataFrame(rows, cols), (1.0, 1.0), 1.0).collect()}
+    radius = (3 * volume / (4 * np.pi)) ** (1 / 3)
+    limit = match.OwnershipParams().radius_factor * (radius[:, None] + radius)
+    near = np.hypot(*(place[:, None] - place).transpose(2, 0, 1)) <= limit
+    assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if near[i, j]}
+
+
+def test_ids_of_cells_without_origin(spark):
+    none = "cast(array() as array<string>)"
+    res = spark.sql(f"SELECT 'f' AS field_id, label_id, uid AS cell_uid, cast(null as string) AS parent_uid, {none} AS sources FROM VALUES (1L, 'a'), (2L, 'x'), (3L, 'b'), (4L, 'y') AS t(label_id, uid)")
+    prior = spark.createDataFrame([("f", "a", 4, [4]), ("f", "b", 5, [5])], "field_id string, cell_uid string, original_id long, lineage array<long>")
+    assert {r.label_id: r.original_id for r in ledger.transport_identity(res, prior).collect()} == {1: 4, 2: 6, 3: 5, 4: 7}
+
+
 def test_guard_fails_closed_on_errors(spark):
     fam = [*rank.SelectionParams().baseline_families * 2, *["distributional_threshold"] * 6]
     base = dict(field_id="f", position=1, coverage=0.5, precision=0.5, unsupported=0.1, soma_count=3, unanchored=0.1, edge=0.1, border_removed=0.0, border_preserved=0.0, incomplete_border=0)
