@@ -24,9 +24,8 @@ def partition_compartments(whole: DataFrame, soma: DataFrame) -> DataFrame:
     are left out here and reported by :func:`check_partition`.
     """
     k = [*AT, "cell_id"]
-    inside = soma.select(*k).join(whole.select(*k), k, "left_semi").withColumn("part", F.lit("soma"))
-    rest = whole.select(*k).join(soma.select(*k), k, "left_anti").withColumn("part", F.lit("processes"))
-    return inside.unionByName(rest)
+    inner = soma.select(*k).distinct().withColumn("_in", F.lit(True))
+    return whole.select(*k).join(inner, k, "left").select(*k, F.when(F.col("_in"), "soma").otherwise("processes").alias("part"))
 
 
 def check_partition(whole: DataFrame, soma: DataFrame, processes: DataFrame) -> DataFrame:

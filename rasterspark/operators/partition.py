@@ -388,7 +388,8 @@ def rejoin_soma_islands(regions: DataFrame, foreign: DataFrame, pixel_um: tuple[
     """Join detached soma islands through the cell's own processes across small gaps.
 
     The bridge is the set of process pixels whose distances to the two parts add up
-    to at most the gap; nearest islands of all cells are handled in one pass.
+    to at most the gap; all islands of a cell are handled in one pass, and joined only
+    if soma and bridge are one connected piece.
     """
     pitch = {"y": pixel_um[0], "x": pixel_um[1]}
     soma = cut_lineage(regions.where(F.col("part") == "soma").select(*PX, "cell_id"))
@@ -405,10 +406,12 @@ def rejoin_soma_islands(regions: DataFrame, foreign: DataFrame, pixel_um: tuple[
     bridge = cut_lineage(b.where(F.col("_a") + F.col("_b") <= max_gap_um + max(pixel_um)).select(*PX, "cell_id"))
     count = regions.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_w"), F.count_if(F.col("part") == "processes").alias("_p"), F.count_if(F.col("part") == "soma").alias("_s"))
     added = bridge.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_k"))
+    united = soma.select(*CELL, "y", "x", "height", "width").unionByName(bridge.select(*CELL, "y", "x", "height", "width")).distinct()
+    pieces = graph.components(united, CELL, dense=False).groupBy(*CELL).agg(F.countDistinct("label_id").alias("_c"))
     isl = islands.select(*k).distinct().groupBy(*CELL).agg(F.count(F.lit(1)).alias("islands"))
-    j = isl.join(count, CELL).join(added, CELL, "left")
+    j = isl.join(count, CELL).join(added, CELL, "left").join(pieces, CELL, "left")
     why = first_reason(
-        ("no_path_within_gap", F.col("_k").isNull()), ("process_fraction_too_low", (F.col("_p") - F.col("_k")) / F.col("_w") < min_process), ("too_many_added", F.col("_k") > max_added * F.col("_s")), default="joined")
+        ("no_path_within_gap", F.col("_k").isNull() | (F.col("_c") > 1)), ("process_fraction_too_low", (F.col("_p") - F.col("_k")) / F.col("_w") < min_process), ("too_many_added", F.col("_k") > max_added * F.col("_s")), default="joined")
     d = j.withColumn("status", why).select(*CELL, "islands", "status")
     ok = bridge.join(d.where(F.col("status") == "joined").select(*CELL), CELL, "left_semi").select(*AT, "cell_id", F.lit(1).alias("_a"))
     return regions.join(ok, [*AT, "cell_id"], "left").withColumn("part", F.when(F.col("_a") == 1, "soma").otherwise(F.col("part"))).drop("_a"), d
@@ -438,7 +441,7 @@ def prune_foreign_tips(regions: DataFrame, foreign: DataFrame, skeleton: DataFra
 # ------------------------------------------------------------ requested edits
 
 
-def edit_enlarge(regions: DataFrame, requests: DataFrame, nuclei: DataFrame, foreign: DataFrame, smap: DataFrame, pixel_um: tuple[float, float], shell_um: float = 0.75, max_um: float = 1.25) -> tuple[DataFrame, DataFrame]:
+def edit_enlarge(regions: DataFrame, requests: DataFrame, nuclei: DataFrame, foreign: DataFrame, smap: DataFrame, pixel_um: tuple[float, float], shell_um: float = 0.75, max_um: float = 1.25, clearance_um: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """Enlarge requested somas into their nuclear shell and supported surroundings, or refuse.
 
     ``requests``: (field_id, cell_id); ``nuclei``: (PX, cell_id) owner nuclei;
@@ -449,11 +452,15 @@ def edit_enlarge(regions: DataFrame, requests: DataFrame, nuclei: DataFrame, for
     near = focal.nearest_seed(mine, pitch, max_um=max_um).withColumnRenamed("label_id", "cell_id")
     blocked = focal.distance_to(foreign, pitch, 0.45).select(*AT)
     others = regions.select(*PX, F.col("cell_id").alias("label_id"))
-    halo = others.select(*AT, F.col("label_id").alias("_o"))
+    # Pixels of other cells and those within the clearance around them.
+    moves = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i, j in disk_offsets(clearance_um, *pixel_um)]))
+    halo = others.select("field_id", "y", "x", F.col("label_id").alias("_o"), moves.alias("_m")).select(
+        "field_id", (F.col("y") + F.col("_m.dy")).alias("y"), (F.col("x") + F.col("_m.dx")).alias("x"), "_o").distinct()
     cut = exact_quantiles(smap, FIELD, "s", {"_c": 0.45})
     dom = _anti(near, blocked).join(smap.select(*AT, "s"), AT, "left").join(cut, FIELD, "left")
     dom = dom.where((F.col("distance") <= shell_um) | (F.coalesce("s", F.lit(0.0)) >= F.col("_c")))
-    dom = dom.join(halo, AT, "left").where(F.col("_o").isNull() | (F.col("_o") == F.col("cell_id"))).select(*PX, "cell_id")
+    close = dom.select(*AT, "cell_id").join(halo, AT).where(F.col("_o") != F.col("cell_id")).select(*AT, "cell_id").distinct()
+    dom = dom.join(close, [*AT, "cell_id"], "left_anti").select(*PX, "cell_id")
     soma = regions.where(F.col("part") == "soma").select(*PX, "cell_id").join(requests.select(*CELL), CELL, "left_semi")
     closed = focal.morphology(dom.unionByName(soma).distinct(), "close", disk_offsets(0.30, *pixel_um), CELL)
     allowed = closed.join(dom.select(*AT, "cell_id").unionByName(regions.select(*AT, "cell_id")).distinct(), [*AT, "cell_id"], "left_semi")

@@ -25,16 +25,19 @@ AT = ["field_id", "y", "x"]
 def measure_regions(regions: DataFrame, projection: DataFrame, pixel_height_um: float, pixel_width_um: float) -> DataFrame:
     """Raw fluorescence per cell and compartment; the whole cell is both parts together.
 
-    Equal grey values are counted first (with map-side combine), so a hot cell is
-    spread over its values and the ordered second pass sees at most the number of
-    digital levels per region. Pixels without a projection value count as zero.
+    Equal grey values of a part are counted first (with map-side combine), so a hot
+    cell is spread over its values and the whole is rolled up from counted rows. The
+    ordered second pass sees the distinct values of a region. Stored rasters leave
+    zeros out, so a region pixel without a projection value counts as zero; a plane
+    that is missing is the business of the input gates.
     """
     values = projection.select(*AT, F.col("value").cast("double").alias("value"))
     region = ["field_id", "cell_id", "compartment"]
     counted = (
         regions.select(*AT, "cell_id", "part").join(values, AT, "left")
-        .select("field_id", "cell_id", F.explode(F.array("part", F.lit("whole"))).alias("compartment"), F.coalesce("value", F.lit(0.0)).alias("value"))
-        .groupBy(*region, "value").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("field_id", "cell_id", "part", F.coalesce("value", F.lit(0.0)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        .select("field_id", "cell_id", F.explode(F.array("part", F.lit("whole"))).alias("compartment"), "value", "n")
+        .groupBy(*region, "value").agg(F.sum("n").alias("n"))
     )
     w = Window.partitionBy(*region)
     ranked = counted.withColumns({"_to": F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(w)})

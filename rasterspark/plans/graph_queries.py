@@ -103,14 +103,6 @@ def g04(spark, d):
     return graph.label_closure(e)
 
 
-@query("g05_seeded_assign")
-def g05(spark, d):
-    px = src.dense_plane(spark, d)
-    cost = px.withColumn("cost", F.round(F.abs("value"), 2))
-    marks = px.where(F.col("value") > 0.3).select(*AT, (F.col("y") * 64 + F.col("x")).cast("long").alias("label_id"))
-    return rounded(graph.seeded_assign(cost, marks), "level").drop("height", "width")
-
-
 @query("h12_keep_largest", with_ctes("dense", extra=MASK + "," + comp_sql("cc", "mask")) + """, n AS (SELECT field_id, label_id, count(*) AS n FROM cc GROUP BY 1, 2),
 t AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY n DESC, label_id) AS r FROM n)
 SELECT field_id, y, x, label_id FROM cc SEMI JOIN (SELECT * FROM t WHERE r <= 12) k USING (field_id, label_id)""")

@@ -45,6 +45,8 @@ CTE = {
     "dense": """dense AS (SELECT CAST(vec_id // 50 AS VARCHAR) AS field_id, CAST(vec_id % 50 AS INTEGER) AS y,
   CAST(i AS INTEGER) AS x, CAST(embedding[i+1] AS DOUBLE) AS value, 50 AS height, 64 AS width
   FROM embeddings, (SELECT unnest(range(64)) AS i))""",
+    "mosaic": """mosaic AS (SELECT 'all' AS field_id, CAST(vec_id AS INTEGER) AS y, CAST(i AS INTEGER) AS x,
+  CAST(embedding[i+1] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(64)) AS i))""",
     "dense2": """dense2 AS (SELECT field_id, 'eGFP' AS channel, y, x, value, height, width FROM dense
   UNION ALL SELECT field_id, 'GFAP', y, 63 - x, value, height, width FROM dense)""",
     "stack": """stack AS (SELECT CAST(vec_id // 25 AS VARCHAR) AS field_id, 'target' AS channel, CAST(vec_id % 25 AS INTEGER) AS z,

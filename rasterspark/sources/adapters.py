@@ -24,6 +24,15 @@ def dense_plane(spark: SparkSession, folder: str) -> DataFrame:
     ).select("field_id", "y", "x", F.col("value").cast("double"), F.lit(50).alias("height"), F.lit(64).alias("width"))
 
 
+def mosaic(spark: SparkSession, folder: str) -> DataFrame:
+    """All embedding vectors as rows of one tall image, so that tiles have borders inside a field."""
+    e = table(spark, folder, "embeddings")
+    tall = e.agg((F.max("vec_id") + 1).cast("int").alias("n")).first()["n"]
+    return e.select(
+        F.lit("all").alias("field_id"), F.col("vec_id").cast("int").alias("y"), F.posexplode("embedding").alias("x", "value"),
+    ).select("field_id", "y", "x", F.col("value").cast("double"), F.lit(tall).alias("height"), F.lit(64).alias("width"))
+
+
 def dense_channels(spark: SparkSession, folder: str) -> DataFrame:
     """Two structural channels: the raster and its mirror image."""
     d = dense_plane(spark, folder)

@@ -95,7 +95,13 @@ def explode_planes(planes: DataFrame) -> DataFrame:
 
 
 def scan_z_range(planes: DataFrame, windows: DataFrame, channel: str) -> DataFrame:
-    """Only the selected planes of one channel (the filter prunes row groups before pixels are exploded)."""
+    """Only the selected planes of one channel.
+
+    The widest window is a literal bound on z, so that the scan skips row groups;
+    the exact planes follow by a join, before pixels are exploded.
+    """
+    bound = windows.agg(F.min("z0").alias("lo"), F.max("z1").alias("hi")).first()
+    planes = planes.where(F.col("z").between(bound["lo"], bound["hi"]))
     wanted = windows.select("field_id", F.explode(F.sequence(F.col("z0").cast("int"), F.col("z1").cast("int"))).alias("z")).distinct()
     return explode_planes(planes.where(F.col("channel") == channel).join(wanted, ["field_id", "z"], "left_semi"))
 
