@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterspark.operators import catalog as specs
 from rasterspark.plans.depth_queries import windows
+from rasterspark.plans.graph_queries import comp_sql
 from rasterspark.plans.registry import joined, query, rounded, with_ctes
 from rasterspark.plans.zonal_queries import MEASURE_SQL, measured
 from rasterspark.session import ensure_checkpoint_dir
@@ -193,7 +194,8 @@ def k01(spark, d):
     return out.select("field_id", "z", "y", "x", "label_id")
 
 
-@query("k02_model_prior")
+@query("k02_model_prior", with_ctes("dense", extra="""big AS (SELECT field_id, y * 2 + dy AS y, x * 2 + dx AS x FROM dense, (SELECT unnest(range(2)) AS dy), (SELECT unnest(range(2)) AS dx) WHERE value > .05),"""
+    + comp_sql("cc", "big", False, 128)) + "SELECT field_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM (SELECT *, count(*) OVER (PARTITION BY field_id, label_id) AS n FROM cc) WHERE n >= 20")
 def k02(spark, d):
     px = src.dense_plane(spark, d).where(F.col("value") > 0.05).withColumn("label_id", F.lit(1))
     return specs.model_prior(px, 20, 2.0).select(*AT)

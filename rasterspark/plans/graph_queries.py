@@ -13,13 +13,13 @@ from rasterspark.sources import adapters as src
 AT = ["field_id", "y", "x"]
 
 
-def comp_sql(name, mask, full=True):
+def comp_sql(name, mask, full=True, wide=64):
     """Components by growing each pixel's minimum linear index over its neighbours."""
     near = "abs(n.y - c.y) <= 1 AND abs(n.x - c.x) <= 1" if full else "abs(n.y - c.y) + abs(n.x - c.x) <= 1"
     steps = "(SELECT dy, dx FROM (SELECT unnest(range(3)) - 1 AS dy), (SELECT unnest(range(3)) - 1 AS dx) WHERE dy <> 0 OR dx <> 0)" if full else (
         "(SELECT unnest([-1, 1, 0, 0]) AS dy, unnest([0, 0, -1, 1]) AS dx)")
     return f"""{name}_r(field_id, y, x, gid) USING KEY (field_id, y, x) AS (
-  SELECT field_id, y, x, y * 64 + x FROM {mask}
+  SELECT field_id, y, x, y * {wide} + x FROM {mask}
   UNION SELECT m.field_id, m.y, m.x, min(c.gid) FROM {name}_r c CROSS JOIN {steps} o
     JOIN {mask} m ON m.field_id = c.field_id AND m.y = c.y + o.dy AND m.x = c.x + o.dx
     JOIN recurring.{name}_r k ON k.field_id = m.field_id AND k.y = m.y AND k.x = m.x
@@ -37,7 +37,15 @@ def g01w(spark, d):
     return graph.components(wide_mask(spark, d), conn_full=False).select(*AT, "label_id")
 
 
-@query("g01_components_3d")
+@query("g01_components_3d", with_ctes("stack") + """, m AS (SELECT field_id, z, y, x FROM stack WHERE value > .1),
+o AS (SELECT dz, dy, dx FROM (SELECT unnest(range(3)) - 1 AS dz), (SELECT unnest(range(3)) - 1 AS dy), (SELECT unnest(range(3)) - 1 AS dx) WHERE dz <> 0 OR dy <> 0 OR dx <> 0),
+r(field_id, z, y, x, gid) USING KEY (field_id, z, y, x) AS (
+  SELECT field_id, z, y, x, z * 64 + y * 8 + x FROM m
+  UNION SELECT n.field_id, n.z, n.y, n.x, min(c.gid) FROM r c CROSS JOIN o
+    JOIN m n ON n.field_id = c.field_id AND n.z = c.z + dz AND n.y = c.y + dy AND n.x = c.x + dx
+    JOIN recurring.r k ON k.field_id = n.field_id AND k.z = n.z AND k.y = n.y AND k.x = n.x
+    WHERE c.gid < k.gid GROUP BY 1, 2, 3, 4)
+SELECT field_id, z, y, x, CAST(dense_rank() OVER (PARTITION BY field_id ORDER BY gid) AS BIGINT) AS label_id FROM r""")
 def g013(spark, d):
     px = src.dense_stack(spark, d).where(F.col("value") > 0.1)
     return graph.components(px).select("field_id", "z", "y", "x", "label_id")

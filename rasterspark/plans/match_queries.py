@@ -142,7 +142,13 @@ def f08(spark, d):
     return joined(rounded(g, "center_z", "center_y", "center_x"), "source_ids")
 
 
-@query("f09_collapse_satellites")
+@query("f09_collapse_satellites", with_ctes("objects") + """, g AS (SELECT field_id, object_id AS id, CASE WHEN object_id % 2 = 0 THEN [object_id] ELSE [object_id, object_id - 1] END AS src, center_z,
+  CAST(object_id // 2 % 25 AS DOUBLE) AS cy, CAST(object_id // 2 * 3 % 40 AS DOUBLE) AS cx, volume_um3 AS v FROM objects),
+h AS (SELECT a.field_id, a.id, b.id AS host, row_number() OVER (PARTITION BY a.field_id, a.id ORDER BY b.v DESC, b.id) AS rn FROM g a JOIN g b ON a.field_id = b.field_id AND a.id <> b.id
+  AND list_has_all(b.src, a.src) AND len(a.src) < len(b.src) AND a.v <= .38 * b.v
+  AND sqrt(((a.center_z - b.center_z) * .05) ** 2 + ((a.cy - b.cy) * .25) ** 2 + ((a.cx - b.cx) * .25) ** 2) <= 1.2 * (cbrt(a.v * .75 / pi()) + cbrt(b.v * .75 / pi()))),
+up(field_id, group_id, root) AS (SELECT field_id, id, id FROM g UNION ALL SELECT u.field_id, u.group_id, h.host FROM up u JOIN h ON h.field_id = u.field_id AND h.id = u.root AND h.rn = 1)
+SELECT field_id, group_id, root FROM up u WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.field_id = u.field_id AND h.id = u.root)""")
 def f09(spark, d):
     o = src.nuclei_objects(spark, d)
     first = F.when(F.col("object_id") % 2 == 0, F.array("object_id")).otherwise(F.array("object_id", F.col("object_id") - 1))
