@@ -97,7 +97,13 @@ def b07(spark, d):
     return rounded(local.threshold_yen(src.dense_plane(spark, d)), "yen")
 
 
-@query("b08_threshold_li")
+@query("b08_threshold_li", with_ctes("dense", extra=hist_sql(4096)) + """, t AS (SELECT field_id, center - lo AS c, n, (hi - lo) / 8192.0 AS tol, lo FROM hc),
+it(field_id, i, cut, done) AS (SELECT field_id, 0, sum(c * n) / sum(n), false FROM t GROUP BY 1
+  UNION ALL SELECT field_id, i + 1, CASE WHEN stop THEN cut ELSE nw END, stop OR abs(nw - cut) <= tol FROM (
+    SELECT it.field_id, i, cut, max(tol) AS tol, sum(c * n) FILTER (c > cut) / sum(n) FILTER (c > cut) AS mf, sum(c * n) FILTER (c <= cut) / sum(n) FILTER (c <= cut) AS mb,
+      coalesce(mb <= 0 OR mf = mb, true) AS stop, CASE WHEN NOT stop THEN (mb - mf) / (ln(mb) - ln(mf)) END AS nw
+    FROM it JOIN t ON it.field_id = t.field_id WHERE NOT done AND i < 200 GROUP BY 1, 2, 3))
+SELECT field_id, round(arg_max(cut, i) + any_value(lo), 6) + 0.0 AS li, CAST(max(CASE WHEN i > 0 THEN i ELSE 0 END) AS INTEGER) AS steps FROM it JOIN lim USING (field_id) GROUP BY 1""")
 def b08(spark, d):
     return rounded(local.threshold_li(src.dense_plane(spark, d)), "li")
 

@@ -67,7 +67,13 @@ def e03(spark, d):
     return rounded(p, "major_axis", "minor_axis", "eccentricity", digits=4)
 
 
-@query("e04_solidity")
+@query("e04_solidity", with_ctes("dense", extra=_MID + "," + comp_sql("cc", "mid")) + """, pt AS (SELECT DISTINCT field_id, label_id, y + dy AS y, x + dx AS x FROM
+  (SELECT field_id, label_id, y, unnest([min(x), max(x)]) AS x, unnest([0, 1]) AS dx FROM cc GROUP BY 1, 2, 3), (SELECT unnest(range(2)) AS dy)),
+ed AS (SELECT p.field_id, p.label_id, p.y AS y1, p.x AS x1, q.y AS y2, q.x AS x2 FROM pt p JOIN pt q ON p.field_id = q.field_id AND p.label_id = q.label_id AND (p.y <> q.y OR p.x <> q.x)
+  WHERE NOT EXISTS (SELECT 1 FROM pt r WHERE r.field_id = p.field_id AND r.label_id = p.label_id AND ((q.y - p.y) * (r.x - p.x) - (q.x - p.x) * (r.y - p.y) < 0
+    OR (q.y - p.y) * (r.x - p.x) = (q.x - p.x) * (r.y - p.y) AND (r.y - p.y) * (r.y - q.y) + (r.x - p.x) * (r.x - q.x) > 0))),
+ha AS (SELECT field_id, label_id, sum(y1 * x2 - x1 * y2) / 2.0 AS hull_area FROM ed GROUP BY 1, 2)
+SELECT field_id, label_id, count(*) AS area, round(any_value(hull_area), 6) + 0.0 AS hull_area, round(count(*) / any_value(hull_area), 6) + 0.0 AS solidity FROM cc JOIN ha USING (field_id, label_id) GROUP BY 1, 2""")
 def e04(spark, d):
     return rounded(zonal.solidity(graph.components(top_mask(spark, d, 0.05))), "hull_area", "solidity")
 
