@@ -94,23 +94,24 @@ class _Ledger(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         version = self.version.get()[0] if self.version.exists() else 0
         stack = [r[0] for r in self.stack.get()] if self.stack.exists() else []
-        for pdf in rows:
-            out = []
-            for seq, action, base in pdf.sort_values("sequence")[["sequence", "action", "base_version"]].itertuples(index=False):
-                undone = None
-                if not pd.isna(base) and int(base) != version:
-                    status = "stale_version"
-                elif action == "revert" and not stack:
-                    status = "nothing_to_revert"
+        # A field's edits of one micro-batch may come in several chunks; their order counts as a whole.
+        edits = pd.concat([pdf[["sequence", "action", "base_version"]] for pdf in rows]).sort_values("sequence", kind="stable")
+        out = []
+        for seq, action, base in edits.itertuples(index=False):
+            undone = None
+            if not pd.isna(base) and int(base) != version:
+                status = "stale_version"
+            elif action == "revert" and not stack:
+                status = "nothing_to_revert"
+            else:
+                status, version = "accepted", version + 1
+                if action == "revert":
+                    undone = stack.pop()
                 else:
-                    status, version = "accepted", version + 1
-                    if action == "revert":
-                        undone = stack.pop()
-                    else:
-                        stack.append(int(seq))
-                out.append((key[0], int(seq), action, status, version, undone))
-            cols = ["field_id", "sequence", "action", "status", "version", "reverts_sequence"]
-            yield pd.DataFrame(out, columns=cols).astype({"reverts_sequence": "Int64"})
+                    stack.append(int(seq))
+            out.append((key[0], int(seq), action, status, version, undone))
+        cols = ["field_id", "sequence", "action", "status", "version", "reverts_sequence"]
+        yield pd.DataFrame(out, columns=cols).astype({"reverts_sequence": "Int64"})
         self.version.update((version,))
         if stack:
             self.stack.put([(s,) for s in stack])
@@ -122,7 +123,11 @@ class _Ledger(StatefulProcessor):
 
 
 def stream_edits(edits: DataFrame) -> DataFrame:
-    """Streamed ledger: status of each edit and the commit that a revert undoes."""
+    """Streamed ledger: status of each edit and the commit that a revert undoes.
+
+    Within a micro-batch edits are taken in sequence order; a field's files must
+    land in that order.
+    """
     _keyed_state(edits.sparkSession)
     return edits.select("field_id", "sequence", "action", "base_version").groupBy("field_id").transformWithStateInPandas(
         _Ledger(), "field_id string, sequence bigint, action string, status string, version bigint, reverts_sequence bigint", "append", "none")
