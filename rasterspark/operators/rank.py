@@ -204,28 +204,53 @@ def select_position(scores: DataFrame) -> DataFrame:
     return g.select("field_id", status.alias("status"), F.when(status == "selected", F.col("_p")).alias("position"), "best_score")
 
 
+def _without(rank: Column, n: Column, q: float) -> tuple[Column, Column, Column]:
+    """Full-list ranks (from 0) of the two neighbours of quantile ``q`` once the item at ``rank`` is gone, and the weight of the upper one."""
+    pos = (n - 2) * F.lit(q)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    skip = lambda i: F.when(i < rank, i).otherwise(i + 1)
+    return skip(lo), skip(hi), pos - lo
+
+
+def _at_ranks(ranked: DataFrame, keys: list[str], value: str, rank: str, n: str, qs: dict[str, float]) -> DataFrame:
+    """Per group the values around each quantile: columns <name>0, <name>1 and <name>2 from rank floor(pos) on."""
+    cols = []
+    for name, q in qs.items():
+        lo = F.floor((F.col(n) - 2) * F.lit(q))
+        cols += [F.max(F.when(F.col(rank) == lo + i, F.col(value))).alias(f"{name}{i}") for i in range(3)]
+    return ranked.groupBy(*keys).agg(*cols)
+
+
+def _pick(name: str, rank: Column, n: Column, q: float) -> Column:
+    """The quantile without the item, from the columns of :func:`_at_ranks`."""
+    lo, hi, weight = _without(rank, n, q)
+    base = F.floor((n - 2) * F.lit(q))
+    at = lambda i: F.when(i == base, F.col(f"{name}0")).when(i == base + 1, F.col(f"{name}1")).otherwise(F.col(f"{name}2"))
+    return at(lo) + (at(hi) - at(lo)) * weight
+
+
 def leave_one_out(values: DataFrame, keys: list[str] = ["field_id"], item: str = "cell_id", value: str = "value") -> DataFrame:
     """Median and robust scale of all other items of the group.
 
-    Dropping one item from a sorted list shifts later ranks by one, so order
-    statistics are read from the group's ranks instead of joining all pairs.
-    The absolute deviations need the per-item median and use the sorted array of
-    the group (cells of one field).
+    Dropping one item from a sorted list shifts later ranks by one, so every order
+    statistic is one of three neighbours in the group's ranking. At most three
+    medians occur in a group, so absolute deviations are ranked at most three times.
+    Rows stay flat: no list of a group is gathered.
     """
-    finite = values.where(F.col(value).isNotNull() & ~F.isnan(value))
-    g = finite.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_all"))
-    j = finite.join(g, keys)
-    at = F.array_position("_all", F.col(value)).cast("int")
-    others = F.concat(F.slice("_all", F.lit(1), at - 1), F.slice("_all", at + 1, F.size("_all")))
-
-    def quantile(arr: Column, q: float) -> Column:
-        pos = (F.size(arr) - 1) * F.lit(q)
-        lo, hi = F.try_element_at(arr, (F.floor(pos) + 1).cast("int")), F.try_element_at(arr, (F.ceil(pos) + 1).cast("int"))
-        return lo + (hi - lo) * (pos - F.floor(pos))
-
-    j = j.withColumn("_o", others).withColumn("_med", quantile(F.col("_o"), 0.5))
-    dev = F.array_sort(F.transform("_o", lambda v: F.abs(v - F.col("_med"))))
-    j = j.withColumn("_dev", dev).withColumns({"_mad": quantile(F.col("_dev"), 0.5), "_iqr": quantile(F.col("_o"), 0.75) - quantile(F.col("_o"), 0.25)})
-    alone = F.size("_o") == 0
+    g = Window.partitionBy(*keys)
+    rows = values.where(F.col(value).isNotNull() & ~F.isnan(value))
+    rows = rows.withColumns({"_r": F.row_number().over(g.orderBy(value, item)) - 1, "_n": F.count(F.lit(1)).over(g)})
+    qs = {"_m": 0.5, "_a": 0.25, "_b": 0.75}
+    j = rows.join(_at_ranks(rows, keys, value, "_r", "_n", qs), keys)
+    r, n = F.col("_r"), F.col("_n")
+    j = j.withColumns({"_med": _pick("_m", r, n, 0.5), "_iqr": _pick("_b", r, n, 0.75) - _pick("_a", r, n, 0.25)})
+    j = j.select(*keys, item, value, "_n", "_med", "_iqr")
+    medians = j.where(F.col("_n") > 1).select(*keys, "_med").distinct()
+    dev = rows.select(*keys, item, value, "_n").join(medians, keys).withColumn("_d", F.abs(F.col(value) - F.col("_med")))
+    dev = dev.withColumn("_dr", F.row_number().over(Window.partitionBy(*keys, "_med").orderBy("_d", item)) - 1)
+    dev = dev.join(_at_ranks(dev, [*keys, "_med"], "_d", "_dr", "_n", {"_v": 0.5}), [*keys, "_med"])
+    mad = dev.select(*keys, "_med", item, _pick("_v", F.col("_dr"), n, 0.5).alias("_mad"))
+    j = j.join(mad, [*keys, "_med", item], "left")
+    alone = n == 1
     scale = F.greatest(1.4826 * F.col("_mad"), F.col("_iqr") / 1.349, F.lit(1e-6))
     return j.select(*keys, item, value, F.when(alone, 0.0).otherwise(F.col("_med")).alias("median"), F.when(alone, 1.0).otherwise(scale).alias("scale"))
