@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 
+# Start quantiles here; below the weights 0.70 and 0.30, the floors, tolerances,
+# the width factor 2.354820045 and the names of the reasons.
 _STARTS = np.array([(0.20, 0.75), (0.35, 0.85), (0.10, 0.65)])
 _EMPTY = {
     "threshold": None, "threshold_log": None, "peak": None, "sigma": None, "mean0": None, "mean1": None, "var0": None,

@@ -253,6 +253,7 @@ def gfap_association(
 
 
 def association_reasons() -> Column:
+    # Reason names and limits.
     return reasons(
         ("weak_perinuclear_gfap_enrichment", F.col("shell_enrichment") < 4.5), ("local_reference_annulus_image_truncated", F.col("truncated")),
         ("gfap_support_not_repeated_across_z", F.col("supported_z") < 2), ("gfap_support_lacks_z_continuity", F.col("supported_z_fraction") < 0.25),
@@ -343,6 +344,7 @@ def morphology_outliers(cells: DataFrame, robust_z: float = 3.5, min_reference:
     j = cells.join(z, ["field_id", "cell_id"]).join(f, "field_id")
     c = F.col
     few = lambda share: F.greatest(F.lit(1), F.floor(share * c("_br")))
+    # Reason names and limits of votes and cues.
     votes = reasons(
         ("small_area", (c("z_log_area") <= -robust_z) & (c("area_um2") <= 0.45 * c("_area"))), ("thin_core", (c("z_log_core") <= -robust_z) & (c("core_um") <= 0.65 * c("_core"))),
         ("short_skeleton", (c("z_log_skeleton") <= -robust_z) & (c("skeleton_um") <= 0.45 * c("_skel"))), ("few_branches", (c("z_branchpoints") <= -robust_z) & (c("branchpoints") <= few(0.25))),
@@ -507,6 +509,7 @@ def anchor_groups(nuclei: DataFrame, separation_um: float = 6.0, max_groups: int
     c = F.col
     w = Window.partitionBy(*k).orderBy(F.desc("score"), "nucleus_id")
     n = nuclei.withColumns({"rank": F.row_number().over(w), "_top": F.max("score").over(Window.partitionBy(*k))})
+    # Score limits of the first and of further anchors.
     primary = (c("score") >= 0.62) & (c("thickness") >= 0.60) & (c("structure") >= 0.34) & ((c("overlap") >= 0.35) | (c("model") >= 0.55))
     second = (c("score") >= 0.60) & (c("score") >= c("_top") - 0.16) & (c("thickness") >= 0.65) & (c("structure") >= 0.35) & ((c("overlap") >= 0.55) | (c("model") >= 0.60))
     n = cut_lineage(n.withColumns({"_ok": F.when(c("rank") == 1, primary).otherwise(second), "_near": F.lit(float("inf")), "anchor_id": F.lit(None).cast("bigint")}).drop("_top"))

@@ -200,10 +200,6 @@ def lineage_maps(identities: DataFrame, originals: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("final_ids").isNull(), "deleted").when(F.size("final_ids") > 1, "split").otherwise("kept"))
 
 
-def original_to_final(identities: DataFrame) -> DataFrame:
-    return identities.select("field_id", "original_id", F.col("label_id").alias("final_id"))
-
-
 def state_hash(rows: DataFrame, columns: list[str], keys: list[str] = FIELD, shard: int = 256) -> DataFrame:
     """Order-free content hash of a table per key.
 
@@ -290,9 +286,5 @@ def apply_ledger(edits: DataFrame) -> DataFrame:
     return j.withColumn("reverted", reverted).drop("_low")
 
 
-def surviving_edits(audit: DataFrame) -> DataFrame:
-    return audit.where(F.col("accepted") & (F.col("action") != "revert") & ~F.col("reverted"))
-
-
 def trim_reasons(process_px: Column, lost_px: Column) -> Column:
     return reasons(("empty_processes", process_px == 0), ("new_disconnection", lost_px > 0))

@@ -472,11 +472,6 @@ def merge_split_candidates(canonical: DataFrame, proposals: DataFrame) -> DataFr
 RECOVERABLE_REFUSALS = ("too_far_from_cell", "insufficient_overlap", "not_separated_from_owner", "no_candidate")
 
 
-def needs_retry(choices: DataFrame) -> DataFrame:
-    """Cells whose refusal may change once model proposals are added."""
-    return choices.where(F.col("refusal").isin(*RECOVERABLE_REFUSALS)).select("field_id", "cell_id", "refusal")
-
-
 def nucleus_records(ids: DataFrame, records: DataFrame, z_shift: DataFrame | None = None) -> DataFrame:
     """One record per 2D nucleus: 3D records when complete for the field, else projection-only rows.
 

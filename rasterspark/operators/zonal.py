@@ -607,7 +607,3 @@ def nucleus_rms(runs: DataFrame, step_um: float) -> DataFrame:
     return runs.groupBy("field_id", "position").agg(
         F.sqrt(F.avg(off * off)).alias("rms_um"), (F.max(F.col("z1") - F.col("z0")) * step_um / 2.0).alias("half_span_um"),
         F.avg((F.least("z1", "run_end") - F.greatest("z0", "run_start") + 1) / (F.col("run_end") - F.col("run_start") + 1)).alias("retention"))
-
-
-def equivalent_radius(volume: Column) -> Column:
-    return F.cbrt(volume * F.lit(3.0 / (4.0 * math.pi)))
