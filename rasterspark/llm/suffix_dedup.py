@@ -38,8 +38,8 @@ from rasterspark.llm.common import map_rows, table, text_key, text_or_empty, wri
 
 LENGTH = 400
 GRAM = 64
-#: Most different contexts of one anchor that go into a bucket together.
-CLASSES = 256
+#: Most different contexts of one anchor that go into a bucket together; a context has at most 2 * LENGTH bytes.
+CLASSES = 4096
 BUCKET_BYTES = 1 << 20
 BUCKETS = 256  # at least
 
@@ -188,7 +188,8 @@ def maximal_repeats(texts: list[bytes], least: int) -> dict[str, np.ndarray]:
 
     One row for each occurrence and the longest repeat that begins there: group,
     parent (the repeat that this one extends to the right, or -1), length, text,
-    start. A group's occurrences are its own rows and those of its descendants.
+    start. A group's occurrences are its own rows and those of its descendants; a
+    group whose occurrences all begin longer repeats has a row for one of them.
     """
     esa = EnhancedSuffixArray(texts, least)
     lcp, before = esa.lcp, esa.before()
@@ -206,7 +207,8 @@ def maximal_repeats(texts: list[bytes], least: int) -> dict[str, np.ndarray]:
         member[first : last + 1] = number
     rows = np.flatnonzero(member >= 0)
     table_ = np.array(groups, np.int64).reshape(-1, 4)
-    at, group = esa.order[rows], member[rows]
+    bare = np.setdiff1d(np.arange(len(groups)), member[rows])
+    at, group = esa.order[np.concatenate([rows, table_[bare, 1]])], np.concatenate([member[rows], bare])
     return {"group": group, "parent": table_[group, 3], "length": table_[group, 0], "text": esa.owner[at], "start": at - esa.begin[esa.owner[at]]}
 
 
