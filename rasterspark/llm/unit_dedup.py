@@ -1,6 +1,6 @@
 """Substring dedup by unit hashing (operator 10).
 
-A text is cut into lines, and each line into sentences. Both kinds of unit are
+A text is cut into lines, and once more into sentences. Both kinds of unit are
 normalised (lower case, white space collapsed) and hashed to 128 bits. Digests
 are grouped over the whole corpus; the earliest occurrence in the order
 (doc_id, offset) stays, every other one is cut out, and its original offsets
@@ -24,32 +24,37 @@ from pyspark.sql import functions as F
 
 from rasterspark.llm.common import map_rows, table, text_key, text_or_empty
 
-#: Words that a repeated line, or a repeated sentence inside a line, needs before it is cut.
+#: Words that a repeated line, or a repeated unit of sentences, needs before it is cut.
 LINE_WORDS = 4
 SENTENCE_WORDS = 6
 
-_LINE = re.compile(r"[^\n]+\n?|\n")
-_SENTENCE = re.compile(r".*?[.!?]+(?:\s+|$)|.+?$", re.S)
+_LINE = re.compile(r"[^\n]+\n?")
+_SENTENCE = re.compile(r"[^\n]*?[.!?]+\s+|[^\n]*\n\s*|[^\n]+")
+
+
+def _digest(kind: bytes, words: list[str]) -> bytes:
+    return hashlib.blake2b(kind + " ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def units_of(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) of every unit that is long enough; offsets are characters."""
+    """(digest, start, end) of every unit that is long enough; offsets are characters.
+
+    Short sentences go together with those after them until the unit is long
+    enough, so that none inside a shared passage is left over.
+    """
     out = []
     for line in _LINE.finditer(text):
         words = line.group().lower().split()
-        if len(words) < min(line_words, sentence_words):
-            continue
-        whole = len(words) >= line_words
-        if whole:
-            out.append((hashlib.blake2b(b"l" + " ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), line.start(), line.end()))
-        if len(words) < sentence_words:
-            continue
-        parts = list(_SENTENCE.finditer(line.group()))
-        for part in parts:
-            words = part.group().lower().split()
-            if len(words) >= sentence_words:
-                at = line.start() + part.start()
-                out.append((hashlib.blake2b(b"s" + " ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), at, at + len(part.group())))
+        if len(words) >= line_words:
+            out.append((_digest(b"l", words), line.start(), line.end()))
+    start, held = 0, []
+    for part in _SENTENCE.finditer(text):
+        held += part.group().lower().split()
+        if not held:
+            start = part.end()
+        elif len(held) >= sentence_words:
+            out.append((_digest(b"s", held), start, part.end()))
+            start, held = part.end(), []
     return out
 
 

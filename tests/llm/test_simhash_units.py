@@ -103,13 +103,15 @@ def plain_units(rows):
 
 
 def test_units_by_hand():
-    text = "One two three four five six. Seven eight nine ten eleven twelve!\nshort line\n  One  TWO three four five six.\n"
+    text = "One two three four five six. Seven eight nine ten eleven twelve!\nshort line\n  One  TWO three four five six.\nEnd. Of it all."
     units = unit_dedup.units_of(text)
     assert [text[s:e] for _, s, e in units] == [
-        text.split("\n")[0] + "\n", "One two three four five six. ", "Seven eight nine ten eleven twelve!\n",
-        "  One  TWO three four five six.\n", "  One  TWO three four five six.\n",
+        "One two three four five six. Seven eight nine ten eleven twelve!\n", "  One  TWO three four five six.\n", "End. Of it all.",
+        "One two three four five six. ", "Seven eight nine ten eleven twelve!\n", "short line\n  One  TWO three four five six.\n",
     ]
-    assert units[1][0] == units[4][0]  # case and spaces do not matter
+    again = unit_dedup.units_of("x y z a b c d.  one TWO\tthree four five six.")
+    assert again[-1][0] == units[3][0]  # case and spaces do not matter
+    assert unit_dedup.units_of("") == unit_dedup.units_of(" \n\n ") == []
 
 
 def test_units_query(spark, folder, rows, empty):
