@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -29,6 +28,7 @@ from itertools import chain, islice
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from rasterspark.llm.common import table, text_or_empty
 
 #: Most words whose ids a worker remembers, and the longest word it remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 CACHE_LENGTH = 64
+#: Texts that are encoded together.
+SLICE = 2000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -86,25 +88,38 @@ class Encoder:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        by_rank = [b""] * (max(ranks.values()) + 1)
         pairs = {}
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+            by_rank[rank] = token
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 18 | right] = rank
-        self.pairs = pairs
+        self.token_bytes = np.frombuffer(b"".join(by_rank), np.uint8)
+        self.token_sizes = np.array([len(t) for t in by_rank])
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         keys = np.array(sorted(pairs), np.int64)
         self.pair_keys = np.append(keys, 2**62)
         self.pair_ranks = np.array([pairs[k] for k in keys.tolist()] + [0], np.int32)
         self._forget()
 
+    def _token(self, rank: int) -> bytes:
+        at = int(self.token_starts[rank])
+        return self.token_bytes[at : at + int(self.token_sizes[rank])].tobytes()
+
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 18 | right
         at = np.searchsorted(self.pair_keys, key)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE)
 
+    def decode_ids(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of several id lists that follow each other, and where each ends (0 first)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.token_sizes) or not self.token_sizes[ids].all()):
+            raise ValueError("an id without a token")
+        ends = np.concatenate([[0], np.cumsum(self.token_sizes[ids])])
+        return _rows(self.token_bytes, self.token_sizes, ids, self.token_starts), ends[np.concatenate([[0], np.cumsum(counts)])]
+
     def encode_one(self, piece: bytes) -> list[int]:
         """One pre-token, one position at a time: the leftmost pair of the lowest rank."""
         if piece in self.ranks:
@@ -116,7 +131,7 @@ class Encoder:
 
         def see(p: int) -> None:
             q = after[p]
-            pair[p] = self.pairs.get(token[p] << 18 | token[q], -1) if q < n else -1
+            pair[p] = self.ranks.get(self._token(token[p]) + self._token(token[q]), -1) if q < n else -1
             if pair[p] >= 0:
                 queue.add(pair[p], p)
 
@@ -143,12 +158,13 @@ class Encoder:
                     break
         return [t for t in token if t >= 0]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of every pre-token."""
-        out: list[list[int] | None] = [[self.ranks[p]] if p in self.ranks else ([] if not p else None) for p in pieces]
-        todo = [i for i, ids in enumerate(out) if ids is None]
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens in one array, and the number of ids of each."""
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        sizes = np.fromiter((len(p) > 0 for p in pieces), np.int64, len(pieces))
+        todo = np.flatnonzero((whole < 0) & (sizes > 0)).tolist()
         if not todo:
-            return out
+            return whole[sizes > 0].astype(np.int32), sizes
         data = np.frombuffer(b"".join(pieces[i] for i in todo), np.uint8)
         n = len(data)
         ends = np.cumsum([len(pieces[i]) for i in todo])
@@ -210,97 +226,105 @@ class Encoder:
                 odd.update(np.searchsorted(ends, new[lower], side="right").tolist())
             push(new)
         counts = np.add.reduceat(alive, starts)
-        flat = token[:n][alive].tolist()
-        at = 0
-        for k, (i, count) in enumerate(zip(todo, counts.tolist())):
-            out[i] = flat[at : at + count]
-            at += count
-            if k in odd:
-                out[i] = self.encode_one(pieces[i])
-        return out
+        flat = token[:n][alive]
+        for k in sorted(odd, reverse=True):
+            ids = self.encode_one(pieces[todo[k]])
+            at = int(counts[:k].sum())
+            flat = np.concatenate([flat[:at], ids, flat[at + int(counts[k]) :]])
+            counts[k] = len(ids)
+        sizes[todo] = counts
+        owner = np.repeat(whole, sizes)
+        owner[owner < 0] = flat
+        return owner.astype(np.int32), sizes
 
     def _encode_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a sequence of pre-tokens that may repeat, and how many each has."""
         number = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
-        ids = self.encode_pieces([p.encode() for p in number])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        flat, sizes = self.encode_pieces([p.encode() for p in number])
         order = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
         return _rows(flat, sizes, order), sizes[order]
 
-    def _forget(self) -> None:
-        """No known words. Word 0 stands for all that a cut must not follow."""
-        self.words: dict[str, int] = {}
-        self.word_ids, self.word_sizes = np.empty(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words that follow a space; the space belongs to the word."""
-        good = []
-        for word in words:
-            if word[-1].isspace():
-                self.words[word] = 0
-            else:
-                good.append(word)
-        if not good:
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Keep only the words with these numbers."""
+        if keep is None:
+            self.words = _Numbers()
+            self.word_ids, self.word_sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+            self.word_bad, self.word_uses = np.empty(0, bool), np.empty(0, np.int64)
             return
-        # A piece begins with a space exactly where a word begins.
-        pieces = self.pattern.findall(" " + " ".join(good))
-        starts = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
-        ids, sizes = self._encode_all(pieces)
-        self.words.update(zip(good, range(len(self.word_sizes), len(self.word_sizes) + len(good))))
-        self.word_ids = np.concatenate([self.word_ids, ids])
-        self.word_sizes = np.concatenate([self.word_sizes, np.add.reduceat(sizes, starts)])
+        known = list(self.words)
+        self.words = _Numbers((known[k], i) for i, k in enumerate(keep.tolist()))
+        self.word_ids = _rows(self.word_ids, self.word_sizes, keep)
+        self.word_sizes, self.word_bad, self.word_uses = self.word_sizes[keep], self.word_bad[keep], self.word_uses[keep] // 2
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new words. A word stands for itself after a space; with a space in front it is the first of a text."""
+        bad = np.fromiter((w[-1].isspace() for w in new), bool, len(new))
+        sizes = np.zeros(len(new), np.int64)
+        heads = [i for i, w in enumerate(new) if w[0] == " " and not bad[i]]
+        later = [i for i, w in enumerate(new) if w[0] != " " and not bad[i]]
+        pieces, starts = [], []
+        for i in heads:
+            starts.append(len(pieces))
+            pieces += self.pattern.findall(new[i][1:])
+        if later:
+            # A piece begins with a space exactly where a word begins.
+            rest = self.pattern.findall(" " + " ".join([new[i] for i in later]))
+            starts += [len(pieces) + i for i, p in enumerate(rest) if p[0] == " "]
+            pieces += rest
+        ids, counts = self._encode_all(pieces)
+        order = np.array(heads + later, np.int64)
+        if len(order):
+            sizes[order] = np.add.reduceat(counts, starts)
+        self.word_ids = np.concatenate([self.word_ids, _rows(ids, sizes[order], np.argsort(order))])
+        self.word_sizes = np.concatenate([self.word_sizes, sizes])
+        self.word_bad = np.concatenate([self.word_bad, bad])
+        self.word_uses = np.concatenate([self.word_uses, np.zeros(len(new), np.int64)])
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the number of ids of each.
 
         No match crosses the place before a space that follows a non-space, so a
-        text is cut there into words, and a word that follows a space is matched and
-        encoded once. Texts with other white space before a space, or a space at an
-        end, are matched whole.
+        text is cut there into words, and a word that is remembered needs no match.
+        Texts with other white space before a space, or a space at an end, are
+        matched whole.
         """
-        counts: Counter[str] = Counter()
-        heads: dict[int, list[str]] = {}
+        known, number = len(self.words), self.words.__getitem__
+        orders, plain = [], []
         for i, text in enumerate(texts):
             if text and "  " not in text and text[0] != " " and text[-1] != " ":
-                head, *rest = text.split(" ")
-                if not head[-1].isspace():
-                    heads[i] = self.pattern.findall(head)
-                    counts.update(rest)
-        known = (len(self.words), len(self.word_ids), len(self.word_sizes))
-        new = [w for w in counts if w not in self.words]
-        self._learn(new)
-        head_ids, head_sizes = self._encode_all(list(chain.from_iterable(heads.values())))
-        head_at = dict(zip(heads, np.cumsum([0, *map(len, heads.values())]).tolist()))
-        head_ends = np.concatenate([[0], np.cumsum(head_sizes)])
-        word_starts = np.cumsum(self.word_sizes) - self.word_sizes
-        out = []
-        for i, text in enumerate(texts):
-            if i in heads:
-                at = head_at[i]
-                rest = text.split(" ")[1:]
-                order = np.fromiter(map(self.words.__getitem__, rest), np.int64, len(rest))
-                if order.all():
-                    out.append(head_ids[head_ends[at] : head_ends[at + len(heads[i])]])
-                    out.append(_rows(self.word_ids, self.word_sizes, order, word_starts))
-                    continue
-            out += [self._encode_all(self.pattern.findall(text))[0], np.empty(0, np.int32)]
-        sizes = np.fromiter(map(len, out), np.int64, len(out)).reshape(-1, 2).sum(1)
-        ids = np.concatenate([np.empty(0, np.int32), *out])
-        self._keep([w for w in new if counts[w] > 1 and len(w) <= CACHE_LENGTH and self.words[w]], known, word_starts)
-        return ids, sizes
-
-    def _keep(self, new: list[str], known: tuple[int, int, int], starts: np.ndarray) -> None:
-        """Of the new words remember these; words seen once seldom come back."""
-        if known[0] + len(new) > CACHE_WORDS:
-            self._forget()
-            return
-        order = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
-        ids, sizes = _rows(self.word_ids, self.word_sizes, order, starts), self.word_sizes[order]
-        self.words = dict(zip(islice(self.words, known[0]), self.words.values()))
-        self.words.update(zip(new, range(known[2], known[2] + len(new))))
-        self.word_ids = np.concatenate([self.word_ids[: known[1]], ids])
-        self.word_sizes = np.concatenate([self.word_sizes[: known[2]], sizes])
+                words = text.split(" ")
+                words[0] = " " + words[0]
+                orders.append(np.fromiter(map(number, words), np.int32, len(words)))
+                plain.append(i)
+        self._learn(list(islice(self.words, known, None)))
+        starts = np.cumsum(self.word_sizes) - self.word_sizes
+        out = dict.fromkeys(range(len(texts)))
+        for i, order in zip(plain, orders):
+            if not self.word_bad[order].any():
+                out[i] = _rows(self.word_ids, self.word_sizes, order, starts)
+        for i, ids in out.items():
+            if ids is None:
+                out[i] = self._encode_all(self.pattern.findall(texts[i]))[0]
+        self._age(orders)
+        sizes = np.fromiter(map(len, out.values()), np.int64, len(out))
+        return np.concatenate([np.empty(0, np.int32), *out.values()]), sizes
+
+    def _age(self, orders: list[np.ndarray]) -> None:
+        """Beyond CACHE_WORDS forget long words, then those least used."""
+        if orders:
+            self.word_uses += np.bincount(np.concatenate(orders), minlength=len(self.word_uses))
+        if len(self.words) > CACHE_WORDS:
+            uses = np.where(np.fromiter(map(len, self.words), np.int64, len(self.words)) > CACHE_LENGTH, 0, self.word_uses)
+            least = np.partition(uses, -(CACHE_WORDS // 2))[-(CACHE_WORDS // 2)]
+            self._forget(np.flatnonzero(uses > least))
+
+
+class _Numbers(dict):
+    """Numbers words as they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -332,20 +356,39 @@ def _fields(df: DataFrame) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``df`` with the array column ``ids`` added (or replaced)."""
+def _list_column(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+
+
+def _binary_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def encode(
+    df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str | None = None, pattern: str = public_tokenizers.PATTERN
+) -> DataFrame:
+    """``df`` with the array column ``ids`` added (or replaced).
+
+    With ``decoded`` the ids are decoded again in the same pass, into a binary column of that name.
+    """
     path = path or default_ranks()
-    df = df.drop(ids).withColumn("_bpe_text", text_or_empty(text))
+    added = [ids] if decoded is None else [ids, decoded]
+    df = df.withColumn("_bpe_text", text_or_empty(text)).drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            flat, sizes = own.encode_texts(batch.column("_bpe_text").to_pylist())
-            column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            names = [n for n in batch.schema.names if n != "_bpe_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], [*names, ids])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                flat, sizes = own.encode_texts(part.column("_bpe_text").to_pylist())
+                columns = [_list_column(flat, sizes)]
+                if decoded is not None:
+                    columns.append(_binary_column(*own.decode_ids(flat, sizes)))
+                names = [n for n in part.schema.names if n != "_bpe_text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], [*names, *added])
 
-    return df.mapInArrow(run, _fields(df.drop("_bpe_text")) + f"`{ids}` array<int>")
+    more = f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded is not None else "")
+    return df.mapInArrow(run, _fields(df.drop("_bpe_text")) + more)
 
 
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -354,30 +397,31 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | N
     df = df.drop(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path, pattern).bytes_of
+        own = encoder(path, pattern)
         for batch in batches:
-            texts = [b"".join(map(known.__getitem__, row or ())) for row in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, into])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                lists = part.column(ids)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                column = _binary_column(*own.decode_ids(lists.flatten().to_numpy(zero_copy_only=False), counts))
+                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, into])
 
     return df.mapInArrow(run, _fields(df) + f"`{into}` binary")
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 beside the columns of ``docs``."""
-    coded = decode(encode(docs, ids="_ids"), ids="_ids", into="_decoded")
-    digests = {
-        "n_tokens": F.size("_ids").cast("long"),
-        "ids_sha256": F.sha2(F.array_join(F.col("_ids").cast("array<string>"), " ").cast("binary"), 256),
-        "decoded_sha256": F.sha2("_decoded", 256),
-    }
-    return coded.withColumns(digests).drop("_ids", "_decoded")
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    # Texts end in the worker; only ids and decoded bytes come back.
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("ids"))
+    coded = encode(docs, text="ids", decoded="decoded")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: doc_id with the ids of its text, and the digests of ids and decoded bytes."""
-    coded = decode(encode(docs.select("doc_id", "source", "text"), ids="ids"), ids="ids", into="_decoded")
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("_decoded", 256).alias("decoded_sha256"))
+    """Last pipeline stage: doc_id and source with the ids of the text, and a digest of the decoded bytes."""
+    coded = encode(docs.select("doc_id", "source", F.col("text").alias("ids")), text="ids", decoded="decoded")
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
