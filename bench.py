@@ -19,7 +19,7 @@ from rasterspark.session import local_session  # noqa: E402
 
 HEADLINE = (
     "e01_measure_regions", "e10_measurement_window_qc", "c02_project_z", "c04_select_active_z", "b01_robust01", "b05_structural_map",
-    "b06_threshold_otsu", "d01_gaussian", "d06_ridge_response", "d09_distance_to", "d02_close", "g01_components", "g03_grow", "e16_overlap_counts",
+    "b06_threshold_otsu", "d01_gaussian", "d06_ridge_response", "d09_distance_to", "d02_close", "g01_components", "g01_components_mosaic", "g03_grow", "g05_seeded_assign_mosaic", "e16_overlap_counts",
     "f02_unique_match", "f08_group_fragments", "e17_pairwise_iou", "h03_rank_candidates", "i01_partition_compartments", "i10_apply_ledger", "j02_terminal_latch",
 )
 
