@@ -174,8 +174,15 @@ def test_partitions_keep_every_pixel(spark):
     assert out.select(*p).exceptAll(r.select(*p)).isEmpty()
 
 
-def test_registry_is_consistent():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 200
+#: Operators that only have tests, no SQL twin yet.
+WITHOUT_ORACLE = set("b11 b12 b13 b20 d15 e14 e19 e20 e22 e29 f13 f14 f15 f16 f20 g06 g08 g09 g10 g11 g12 g13 g15 h09 i08 i09 i13 i14 i17".split())
+
+
+def test_every_operator_has_a_query_and_most_an_oracle():
+    last = {"a": 14, "b": 23, "c": 8, "d": 15, "e": 33, "f": 24, "g": 16, "h": 13, "i": 17, "j": 7}
+    ids = {f"{c}{i:02d}" for c, n in last.items() for i in range(1, n + 1)} | {"k01", "k02", "k05"}
+    assert {n[:3] for n in QUERIES} == ids and set(ORACLES) <= set(QUERIES)
+    assert ids - {n[:3] for n in ORACLES} == WITHOUT_ORACLE
 
 
 def test_partition_count_does_not_change_results(spark):
