@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterspark.operators import focal, graph, partition, zonal
 from rasterspark.plans.focal_queries import top_mask, wide_mask
+from rasterspark.plans.graph_queries import comp_sql
 from rasterspark.plans.registry import query, rounded, with_ctes
 from rasterspark.session import cut_lineage
 from rasterspark.sources import adapters as src
@@ -42,6 +43,10 @@ def regions(spark, d):
     return c.join(near, AT, "left").withColumn("part", F.coalesce("_p", F.lit("processes"))).drop("_p")
 
 
+_CELLS = """cells AS (SELECT field_id, y, x, CAST((y // 25) * 2 + x // 32 + 1 AS BIGINT) AS cell_id FROM dense WHERE value > -.1 AND y % 25 > 0 AND x % 32 > 0),
+reg AS (SELECT *, CASE WHEN (y % 25 - 12) ** 2 + (x % 32 - 16) ** 2 <= 25 THEN 'soma' ELSE 'processes' END AS part FROM cells)"""
+
+
 def summary(df, *keys):
     return df.groupBy("field_id", *keys).agg(F.count(F.lit(1)).alias("pixels"))
 
@@ -101,7 +106,11 @@ def _evidence(spark, d):
     return src.dense_channels(spark, d).where(F.col("value") > 0.15).select("field_id", "channel", "y", "x", "height", "width")
 
 
-@query("g08_channel_consensus")
+@query("g08_channel_consensus", with_ctes("dense", "dense2", extra="""ev AS (SELECT DISTINCT field_id, channel, y, x FROM dense2 WHERE value > .15), o AS (SELECT unnest([-1, 0, 0, 0, 1]) AS dy, unnest([0, -1, 0, 1, 0]) AS dx),
+ag AS (SELECT field_id, y + dy AS y, x + dx AS x FROM ev, o GROUP BY ALL HAVING count(DISTINCT channel) = 2), fl AS (SELECT DISTINCT field_id, y, x FROM ev),
+bo AS (SELECT * FROM fl SEMI JOIN ag USING (field_id, y, x)), sg AS (SELECT * FROM fl ANTI JOIN ag USING (field_id, y, x)),
+nr AS (SELECT DISTINCT field_id, y + dy AS y, x + dx AS x FROM (SELECT * FROM bo UNION SELECT field_id, y, x FROM dense WHERE (y % 25 - 12) ** 2 + (x % 32 - 16) ** 2 <= 9), o),""" + comp_sql("cc", "sg")) + """
+SELECT field_id, y, x FROM bo UNION ALL SELECT field_id, y, x FROM cc SEMI JOIN (SELECT DISTINCT field_id, label_id FROM cc SEMI JOIN nr USING (field_id, y, x)) h USING (field_id, label_id)""")
 def g08(spark, d):
     return partition.channel_consensus(_evidence(spark, d), disc(spark, d, 12, 16, 3)).select(*AT)
 
@@ -157,7 +166,13 @@ def g15(spark, d):
     return summary(r, "cell_id", "part")
 
 
-@query("f13_complete_soma_in_whole")
+@query("f13_complete_soma_in_whole", with_ctes("dense", extra=_CELLS) + """, ext AS (SELECT field_id, y, x, cell_id FROM reg WHERE part = 'soma'
+  UNION SELECT field_id, y, x, cell_id FROM cells WHERE (y % 25 - 12) ** 2 + (x % 32 - 16) ** 2 <= 5.2 * 5.2),
+e AS (SELECT field_id, cell_id, count(*) AS e, count(*) FILTER (part = 'soma') AS s FROM ext JOIN reg USING (field_id, y, x, cell_id) GROUP BY 1, 2),
+n AS (SELECT field_id, cell_id, count(*) FILTER (part = 'soma') AS so, count(*) FILTER (part = 'processes') AS pr FROM reg GROUP BY 1, 2),
+ok AS (SELECT field_id, cell_id FROM e JOIN n USING (field_id, cell_id) WHERE so > 0 AND s >= .7 * e AND e > s AND e - s <= .15 * so AND e - s < pr)
+SELECT r.field_id, r.cell_id, CASE WHEN r.part = 'soma' OR (ok.cell_id IS NOT NULL AND x.cell_id IS NOT NULL) THEN 'soma' ELSE 'processes' END AS part, count(*) AS pixels
+FROM reg r LEFT JOIN ok ON ok.field_id = r.field_id AND ok.cell_id = r.cell_id LEFT JOIN ext x ON x.field_id = r.field_id AND x.y = r.y AND x.x = r.x GROUP BY 1, 2, 3""")
 def f13(spark, d):
     r = regions(spark, d)
     ext = r.where(F.col("part") == "soma").select(*AT, "cell_id").unionByName(
@@ -165,10 +180,16 @@ def f13(spark, d):
     return summary(partition.complete_soma_in_whole(r, ext)[0], "cell_id", "part")
 
 
-@query("f14_complete_soma_to_owner")
+@query("f14_complete_soma_to_owner", with_ctes("dense", extra=_CELLS) + """, f AS (SELECT field_id, y, x FROM dense WHERE (y % 25 - 18) ** 2 + (x % 32 - 24) ** 2 <= 4),
+pl AS (SELECT field_id, y, x, CAST((y // 25) * 2 + x // 32 + 1 AS BIGINT) AS cell_id FROM dense WHERE (y % 25 - 12) ** 2 + (x % 32 - 16) ** 2 <= 36),
+an AS (SELECT DISTINCT field_id, cell_id FROM reg WHERE part = 'soma'),
+nr AS (SELECT DISTINCT p.field_id, p.cell_id FROM pl p ANTI JOIN cells c ON c.field_id = p.field_id AND c.y = p.y AND c.x = p.x
+  JOIN f ON f.field_id = p.field_id AND ((f.y - p.y) ** 2 + (f.x - p.x) ** 2) * .0625 <= 1.1 * 1.1)
+SELECT c.field_id, c.cell_id, CASE WHEN an.cell_id IS NULL THEN 'missing_anchor' WHEN nr.cell_id IS NOT NULL THEN 'foreign_nucleus_contact' ELSE 'completed' END AS status
+FROM (SELECT DISTINCT field_id, cell_id FROM cells) c LEFT JOIN an USING (field_id, cell_id) LEFT JOIN nr USING (field_id, cell_id)""")
 def f14(spark, d):
     none = top_mask(spark, d, 10.0)
-    _, dec = partition.complete_soma_to_owner(regions(spark, d), disc(spark, d, 12, 16, 6, "cell_id"), disc(spark, d, 12, 16, 2, "cell_id"), disc(spark, d, 20, 29, 2), none, UM)
+    _, dec = partition.complete_soma_to_owner(regions(spark, d), disc(spark, d, 12, 16, 6, "cell_id"), disc(spark, d, 12, 16, 2, "cell_id"), disc(spark, d, 18, 24, 2), none, UM)
     return dec
 
 
