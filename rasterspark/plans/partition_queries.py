@@ -67,9 +67,11 @@ def e07m(spark, d):
     return summary(wide_mask(spark, d).join(near.select(*AT), AT, "left_semi").join(s.join(cut, "field_id").where(F.col("s") >= F.col("_c")).select(*AT), AT, "left_semi"))
 
 
-@query("e07_dapi_supported_anchor")
+@query("e07_dapi_supported_anchor", with_ctes("dense", extra="""s AS (SELECT field_id, y, x, value, greatest(0, least(1, value + .5)) AS s FROM dense), q AS (SELECT field_id, quantile_cont(s, .45) AS c FROM s GROUP BY 1),
+m AS (SELECT field_id, y, x FROM s JOIN q USING (field_id) WHERE value > -.1 AND s >= c AND (y % 25 - 12) ** 2 + (x % 32 - 16) ** 2 <= 64),""" + comp_sql("cc", "m", False)) + """
+SELECT field_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY field_id, label_id) AS n FROM cc) WHERE n >= 40""")
 def e07d(spark, d):
-    return zonal.dapi_supported_anchor(wide_mask(spark, d), disc(spark, d, 12, 16, 8), smap(spark, d), 40).select(*AT)
+    return zonal.dapi_supported_anchor(wide_mask(spark, d), disc(spark, d, 12, 16, 8), smap(spark, d), 40, 0.45).select(*AT)
 
 
 @query("g06_anchor_cleanup")
