@@ -278,7 +278,8 @@ class Repeats:
         places = map_rows(self.texts, "_ah long, _c1 long, _c2 long, _k1 long, _k2 long, _s int, _e int", _occurrence_rows, rows=500)
         places = written(places)
         ends = [f(c).alias(f"_{n}{c}") for c in ("_c1", "_c2") for n, f in (("lo", F.min), ("hi", F.max))]
-        groups = places.groupBy("_ah").agg(F.count(F.lit(1)).alias("_n"), *ends).where(F.col("_n") > 1)
+        # Counted tables are written before they are joined: a join of two plain shuffles can split a hot key.
+        groups = written(places.groupBy("_ah").agg(F.count(F.lit(1)).alias("_n"), *ends).where(F.col("_n") > 1))
         equal = (F.col("_lo_c1") == F.col("_hi_c1")) & (F.col("_lo_c2") == F.col("_hi_c2"))
         #: Occurrences of anchors that occur more than once.
         self.places = written(places.join(groups.select("_ah", equal.alias("_equal")), "_ah"))
@@ -288,8 +289,8 @@ class Repeats:
         """One row for each different context of anchors whose contexts differ."""
         one = F.min(F.struct("_k1", "_k2", "_s", "_e")).alias("_at")
         classes = written(self.places.where(~F.col("_equal")).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_n"), one))
-        big = classes.groupBy("_ah").agg((F.count(F.lit(1)) > CLASSES).alias("_big"))
-        return classes.join(big, "_ah")
+        big = written(classes.groupBy("_ah").count().where(F.col("count") > CLASSES).select("_ah", F.lit(True).alias("_big")))
+        return classes.join(big, "_ah", "left").withColumn("_big", F.coalesce("_big", F.lit(False)))
 
     def contexts(self) -> DataFrame:
         """(_ah, _c1, _c2, _big, _context) of every class."""
@@ -310,7 +311,7 @@ class Repeats:
         """Repeated windows of the anchors with very many different contexts."""
         rows = map_rows(contexts.where("_big").drop("_big"), "_w1 long, _w2 long, _ah long, _c1 long, _c2 long, _start int", _window_rows, rows=500)
         rows = written(rows)
-        again = rows.groupBy("_w1", "_w2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_w1", "_w2")
+        again = written(rows.groupBy("_w1", "_w2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_w1", "_w2"))
         return rows.join(again, ["_w1", "_w2"]).select(*_KEYS, "_start", F.lit(LENGTH).alias("_length"))
 
     def spans(self) -> DataFrame:
@@ -319,6 +320,7 @@ class Repeats:
         parts = self.groups(contexts).select(*_KEYS, "_start", "_length").unionByName(self.windows(contexts))
         parts = parts.groupBy(*_KEYS).agg(F.collect_set(F.struct("_start", "_length")).alias("_parts"))
         known = self.classes.select(*_KEYS, (F.col("_n") > 1).alias("_whole")).join(parts, [*_KEYS], "left")
+        known = written(known.where(F.col("_whole") | F.col("_parts").isNotNull()))
         whole = F.array(F.struct(F.col("_s").alias("s"), (F.col("_e") - 1 + LENGTH).alias("e")))
         equal = self.places.where("_equal").select("_k1", "_k2", whole.alias("_found"))
         some = F.transform("_parts", lambda p: F.struct((F.col("_s") + p["_start"]).alias("s"), (F.col("_s") + p["_start"] + p["_length"]).alias("e")))
