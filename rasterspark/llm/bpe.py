@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from rasterspark.llm.common import table, text_or_empty
 
-#: Most words whose ids a worker remembers, and the longest word it remembers.
-CACHE_WORDS = 400_000
+#: Most words whose ids a task remembers, and the longest word it remembers.
+CACHE_WORDS = 150_000
 CACHE_LENGTH = 64
-#: Texts that are encoded together.
+#: Texts that are encoded together, and pre-tokens where texts can't be cut into words.
 SLICE = 2000
+BATCH = 100_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -302,13 +303,27 @@ class Encoder:
         for i, order in zip(plain, orders):
             if not self.word_bad[order].any():
                 out[i] = _rows(self.word_ids, self.word_sizes, order, starts)
-        for i, ids in out.items():
-            if ids is None:
-                out[i] = self._encode_all(self.pattern.findall(texts[i]))[0]
+        self._encode_whole([i for i, ids in out.items() if ids is None], texts, out)
         self._age(orders)
         sizes = np.fromiter(map(len, out.values()), np.int64, len(out))
         return np.concatenate([np.empty(0, np.int32), *out.values()]), sizes
 
+    def _encode_whole(self, left: list[int], texts: list[str], out: dict[int, np.ndarray]) -> None:
+        """Texts that can't be cut into words, many in one batch."""
+        pieces, held = [], []
+        for i in left:
+            found = self.pattern.findall(texts[i])
+            held.append((i, len(found)))
+            pieces += found
+            if len(pieces) > BATCH or i == left[-1]:
+                ids, sizes = self._encode_all(pieces)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                at = 0
+                for k, n in held:
+                    out[k] = ids[ends[at] : ends[at + n]]
+                    at += n
+                pieces, held = [], []
+
     def _age(self, orders: list[np.ndarray]) -> None:
         """Beyond CACHE_WORDS forget long words, then those least used."""
         if orders:
@@ -386,6 +401,9 @@ def encode(
                     columns.append(_binary_column(*own.decode_ids(flat, sizes)))
                 names = [n for n in part.schema.names if n != "_bpe_text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], [*names, *added])
+        # The worker lives on for other tasks and stages; the words of this one would only take its memory.
+        own._forget()
+        pa.default_memory_pool().release_unused()
 
     more = f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded is not None else "")
     return df.mapInArrow(run, _fields(df.drop("_bpe_text")) + more)
