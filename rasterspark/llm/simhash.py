@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterspark.llm import minhash
 from rasterspark.llm.common import map_rows, table, text_key, text_or_empty, written
 from rasterspark.operators.graph import label_closure
 
@@ -158,11 +159,12 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one with the smallest doc_id (null last).
 
-    Of rows that agree in doc_id and text one stays.
+    The fingerprint's three bits are a contract of the query only; here documents are
+    linked by the Jaccard similarity of their five-word shingles. Of rows that agree in doc_id and text one stays.
     """
-    prints = written(fingerprints(docs))
+    rows = written(minhash.sketches(docs))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
-    best = prints.join(components(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("_best"))
+    best = rows.join(minhash.components(rows, docs), "_set").groupBy("root").agg(F.min(rank).alias("_best"))
     keep = best.select("_best._k1", "_best._k2").distinct()
     k1, k2 = text_key()
     named = docs.withColumns({"_k1": k1, "_k2": k2}).join(keep, ["_k1", "_k2"])
