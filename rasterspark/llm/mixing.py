@@ -6,11 +6,11 @@ floor((j - 1) / w) and due at slot ceil(j / w); each slot takes the released blo
 with the earliest deadline. So at any slot every source has got its share to within
 less than one block.
 
-Weights are whole numbers of slots out of a frame, so releases and deadlines repeat
-from frame to frame. One frame, whose size depends only on the number of sources, is
-scheduled on the driver; the place of every block of every frame follows by
-arithmetic. Numbering the documents of a source needs no task with a whole source:
-they are dealt into hash ranges of about RANGE_DOCS, counted, and numbered within.
+Weights are exact: whole numbers of any size, with their sum as denominator, and never
+rounded to slots of a frame. One task walks the slots of the whole horizon and writes
+them as a table as it goes; all it holds is one block number a source. Numbering the
+documents of a source needs no task with a whole source: they are dealt into hash
+ranges of about RANGE_DOCS, counted, and numbered within.
 
 The horizon is the shortest one in which every document is emitted: the source that
 is longest for its weight is emitted once, the others begin again (the next epoch)
@@ -24,8 +24,12 @@ doc_id and text stand side by side; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +37,8 @@ from rasterspark.llm.common import table, text_key, written
 
 BLOCK_DOCS = 16
 RANGE_DOCS = 4096
-#: Slots of a frame, at least; and slots for each source, at least.
+#: Slots of a frame of rounded weights (frame_shares).
 FRAME = 1024
-FRAME_PER_SOURCE = 16
 #: Target weight of a source is its number of documents to this power.
 POWER = 0.9
 
@@ -51,30 +54,53 @@ def frame_shares(weights: dict, slots: int) -> dict:
     return shares
 
 
+def whole_weights(weights: dict) -> dict:
+    """``weights`` as whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    by = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * by) for s, x in exact.items()}
+
+
+def edf(weights: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, its how manieth block from 0) of every slot, without end; ``weights`` are whole numbers."""
+    total = sum(weights)
+    waiting = [(0, i, 1) for i in range(len(weights))]  # by release
+    ready: list[tuple[int, int, int]] = []  # by deadline
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-j * total // weights[i]), i, j))
+        _, i, j = heapq.heappop(ready)
+        yield i, j - 1
+        heapq.heappush(waiting, (j * total // weights[i], i, j + 1))
+        slot += 1
+
+
 def edf_frame(shares: dict) -> list:
     """The source of every slot of a frame."""
-    slots = sum(shares.values())
     names = sorted(shares, key=lambda s: (s is None, str(s)))
-    release = lambda j, n: (j - 1) * slots // n
-    deadline = lambda j, n: -(-j * slots // n)
-    waiting: list[list[tuple[int, int]]] = [[] for _ in range(slots + 1)]
-    for i, s in enumerate(names):
-        waiting[0].append((i, 1))
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(slots):
-        for i, j in waiting[slot]:
-            heapq.heappush(ready, (deadline(j, shares[names[i]]), i, j))
-        due, i, j = heapq.heappop(ready)
-        out.append(names[i])
-        n = shares[names[i]]
-        if j < n:
-            at = release(j + 1, n)
-            if at <= slot:  # released before its predecessor ran
-                heapq.heappush(ready, (deadline(j + 1, n), i, j + 1))
-            else:
-                waiting[at].append((i, j + 1))
-    return out
+    return [names[i] for i, _ in islice(edf([shares[s] for s in names]), sum(shares.values()))]
+
+
+def schedule(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
+    """(_i, block, epoch, slot) of every slot until each source has had each of its ``blocks`` once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            open_, slot, slots = sum(n > 0 for n in blocks), 0, edf(weights)
+            while open_:
+                part = []
+                while open_ and len(part) < 8192:
+                    i, number = next(slots)
+                    open_ -= number + 1 == blocks[i]
+                    part.append((i, number % blocks[i], number // blocks[i], slot))
+                    slot += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=["_i", "block", "epoch", "slot"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "_i long, block long, epoch long, slot long")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -108,27 +134,14 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
         weights = {s: round(n**POWER * 1000) for s, n in counts.items()}
     if unknown := [s for s in counts if not weights.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {unknown[:5]}")
-    slots = max(FRAME, FRAME_PER_SOURCE * len(counts))
-    shares = frame_shares({s: weights[s] for s in counts}, slots)
-    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    horizon = _horizon(blocks, shares, edf := edf_frame(shares))
-    frame = [(s, shares[s], blocks[s], turn, slot) for slot, (s, turn) in enumerate(_turns(edf))]
-    schema = "_s string, _share long, _blocks long, _turn long, _slot long"
-    # The frame is a table of FRAME_PER_SOURCE rows a source.
-    plan = spark.createDataFrame(frame, schema)
+    whole = whole_weights({s: weights[s] for s in counts})
+    names = sorted(counts, key=lambda s: (s is None, str(s)))
+    plan = written(schedule(spark, [whole[s] for s in names], [-(-counts[s] // block_docs) for s in names]))
     rows = numbered(docs).withColumn("block", F.expr(f"_no div {int(block_docs)}"))
-    ratio = spark.createDataFrame([(s, shares[s], blocks[s], _emitted(s, shares[s], edf, horizon)) for s in counts], "_s string, _share long, _blocks long, _emit long")
-    rows = rows.join(ratio, rows["_src"].eqNullSafe(ratio["_s"])).drop("_s")
-    # Block b is emitted as number b, b + blocks, b + 2 * blocks, ... while that is below the source's emissions.
-    last = F.expr("(_emit - 1 - block) div _blocks")
-    rows = rows.where(F.col("block") < F.col("_emit")).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    rows = rows.withColumn("_number", F.col("block") + F.col("epoch") * F.col("_blocks"))
-    rows = rows.withColumns({"_turn": F.col("_number") % F.col("_share"), "_frame": F.expr("_number div _share")})
-    turns = plan.select("_s", "_turn", "_slot")
-    placed = rows.join(turns, rows["_src"].eqNullSafe(turns["_s"]) & (rows["_turn"] == turns["_turn"])).drop(turns["_turn"])
-    return placed.select(
-        *docs.columns, (F.col("_frame") * F.lit(slots) + F.col("_slot")).alias("slot"), "block", "epoch", (F.col("_no") % F.lit(block_docs)).alias("place")
-    )
+    index = spark.createDataFrame(list(enumerate(names)), "_i long, _s string")  # a row a source
+    rows = rows.join(index, rows["_src"].eqNullSafe(index["_s"])).drop("_s")
+    placed = rows.join(plan, ["_i", "block"])
+    return placed.select(*docs.columns, "slot", "block", "epoch", (F.col("_no") % F.lit(block_docs)).alias("place"))
 
 
 def _turns(frame: list) -> list[tuple]:
@@ -149,11 +162,6 @@ def _horizon(blocks: dict, shares: dict, frame: list) -> int:
     return 1 + max((n - 1) // shares[s] * len(frame) + place[s, (n - 1) % shares[s]] for s, n in blocks.items())
 
 
-def _emitted(source, share: int, frame: list, horizon: int) -> int:
-    """Blocks of a source in the first ``horizon`` slots."""
-    return horizon // len(frame) * share + sum(s == source for s in frame[: horizon % len(frame)])
-
-
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, slot, block, epoch and place of every emission."""
     docs = table(spark, sf_dir, "documents")
