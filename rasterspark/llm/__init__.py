@@ -10,8 +10,12 @@ from rasterspark.llm.gif import op3_gif
 from rasterspark.llm.merkle import ORACLE as _AUDIT
 from rasterspark.llm.merkle import op4_merkle_audit
 from rasterspark.llm.mixing import op7_pfair_mix
+from rasterspark.llm.packing import op11_best_fit_packing
+from rasterspark.llm.periodic_runs import op13_periodic_runs
 from rasterspark.llm.quality import op1_quality
 from rasterspark.llm.simhash import op9_simhash_dedup
+from rasterspark.llm.spelling import ORACLE as _SPELLING
+from rasterspark.llm.spelling import op12_spelling_variants
 from rasterspark.llm.suffix_dedup import op8_suffix_dedup
 from rasterspark.llm.unit_dedup import op10_substring_dedup
 from rasterspark.llm.url_templates import ORACLE as _URLS
@@ -28,5 +32,8 @@ QUERIES: dict[str, QueryFn] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op4_merkle_audit": _AUDIT, "op6_url_templates": _URLS}
+ORACLES: dict[str, str] = {"op4_merkle_audit": _AUDIT, "op6_url_templates": _URLS, "op12_spelling_variants": _SPELLING}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,14 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | N
                     yield pa.RecordBatch.from_pydict({n: out[n] for n in names})
 
     return df.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, column: str, rows: int = 2000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and about ``size`` bytes of ``column``; a longer value is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    start, before = 0, 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, before + size, side="right"))
+        stop = min(max(stop, start + 1), start + rows)
+        yield batch.slice(start, stop - start)
+        start, before = stop, int(ends[min(stop, len(ends)) - 1])
