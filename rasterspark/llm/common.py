@@ -49,14 +49,14 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | None], rows: int = 2000) -> DataFrame:
-    """``fn`` on slices of at most ``rows`` rows; it returns columns by name, or None for no row."""
+def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | None], rows: int = 2000, by: str | None = None) -> DataFrame:
+    """``fn`` on slices of at most ``rows`` rows (and a few MB of column ``by``); it returns columns by name, or None for no row."""
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(start, rows))
+            for part in slices(batch, by, rows) if by else (batch.slice(at, rows) for at in range(0, batch.num_rows, rows)):
+                out = fn(part)
                 if out is not None:
                     yield pa.RecordBatch.from_pydict({n: out[n] for n in names})
 

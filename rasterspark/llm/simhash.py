@@ -49,7 +49,11 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
         starts = [0, *ends]
         shingles = [whole[s : e - 1] for s, e in zip(starts, ends[width - 1 :])]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
+    return majority(np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of ``hashes`` have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096]
@@ -65,7 +69,7 @@ def _fingerprints(batch: pa.RecordBatch) -> dict:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(_k1, _k2, doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
     rows = docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    return map_rows(rows, "_k1 long, _k2 long, doc_id long, fp long", _fingerprints)
+    return map_rows(rows, "_k1 long, _k2 long, doc_id long, fp long", _fingerprints, by="_text")
 
 
 def _forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -159,12 +163,16 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one with the smallest doc_id (null last).
 
-    The fingerprint's three bits are a contract of the query only; here documents are
-    linked by the Jaccard similarity of their five-word shingles. Of rows that agree in doc_id and text one stays.
+    Documents are linked by the Jaccard similarity of their five-word shingles, from four
+    fifths on. The fingerprints of these shingles are linked by this operator, and its
+    components are verified first; two documents at four fifths differ in about ten bits
+    of a fingerprint, so what three bits can't reach is proposed by minimal hashes
+    (minhash.py) and verified in the same way. Of rows that agree in doc_id and text one
+    stays; null text is an empty text; an empty table gives no rows.
     """
-    rows = written(minhash.sketches(docs))
+    rows = written(minhash.sketches(docs, majority))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
-    best = rows.join(minhash.components(rows, docs), "_set").groupBy("root").agg(F.min(rank).alias("_best"))
+    best = rows.join(minhash.components(rows, docs, components), "_set").groupBy("root").agg(F.min(rank).alias("_best"))
     keep = best.select("_best._k1", "_best._k2").distinct()
     k1, k2 = text_key()
     named = docs.withColumns({"_k1": k1, "_k2": k2}).join(keep, ["_k1", "_k2"])

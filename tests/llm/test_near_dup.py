@@ -1,9 +1,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import xxhash
 from llm_samples import SCHEMA
 
 from rasterspark.llm import minhash, simhash
+from rasterspark.llm.common import written
 
 
 def changed(rng, words, places):
@@ -42,6 +45,17 @@ def plain_similarity(a, b):
     return len(a & b) / len(a | b)
 
 
+def near_groups(texts):
+    """A group for each text, by all pairs of at least four fifths."""
+    group = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if group[i] != group[j] and plain_similarity(a, texts[j]) >= 0.8:
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    return group
+
+
 def test_stage_takes_near_copies_from_four_fifths(spark, tmp_path):
     rows = [(f, i, " ".join(w)) for f, i, w in family_rows()]
     families = defaultdict(list)
@@ -56,9 +70,65 @@ def test_stage_takes_near_copies_from_four_fifths(spark, tmp_path):
 
 
 def test_components_of_a_hot_band(spark):
-    """Sets that share all bands' hubs are dealt as block pairs and still compared with all others."""
+    """Keys dealt out as pairs of small cells give the same components."""
     rows = [(f, i, " ".join(w)) for f, i, w in family_rows()]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for _, i, t in rows], SCHEMA)
-    sketched = minhash.sketches(docs).localCheckpoint()
-    small = {(r["_set"], r.root) for r in minhash.components(sketched, docs, block=2).collect()}
-    assert small == {(r["_set"], r.root) for r in minhash.components(sketched, docs).collect()}
+    sketched = written(minhash.sketches(docs, simhash.majority))
+    parts = [as_parts(minhash.components(sketched, docs, simhash.components, block)) for block in (2, minhash.BLOCK)]
+    assert parts[0] == parts[1]
+
+
+def as_parts(rooted):
+    """The components as sets; which member names one is open."""
+    groups = defaultdict(set)
+    for r in rooted.collect():
+        groups[r.root].add(r["_set"])
+    return set(map(frozenset, groups.values()))
+
+
+def large_family(rng):
+    """One family around four fifths, in which some pairs are linked and others are not."""
+    base = [f"w{rng.getrandbits(60):x}" for _ in range(150)]
+    out = []
+    for i in range(160):
+        words = list(base)
+        for place in rng.sample(range(len(words)), rng.randrange(1, 9)):
+            words[place] = f"n{rng.getrandbits(60):x}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_large_family_equals_all_pairs(spark):
+    rows = large_family(random.Random(9))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], SCHEMA)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if plain_similarity(a, b) >= 0.8:
+                links += 1
+                root[find(i)] = find(j)
+    names = {xxhash.xxh64_intdigest(minhash.shingle_set(t).tobytes()): i for i, t in rows}
+    want = defaultdict(set)
+    for name, i in names.items():
+        want[find(i)].add(name)
+    sketched = written(minhash.sketches(docs, simhash.majority))
+    for block in (8, 512):
+        got = as_parts(minhash.components(sketched, docs, simhash.components, block))
+        assert {frozenset(v % 2**64 for v in g) for g in got} == set(map(frozenset, want.values()))
+    assert 300 < links < 160 * 159 // 3 and len(want) > 3
+
+
+def test_forest_of_a_block():
+    sets = [np.arange(10), np.arange(9), np.arange(1, 10), np.arange(20, 30), np.arange(20, 29), np.zeros(0)]
+    flat = np.concatenate(sets).astype(np.uint64)
+    sizes = np.array([len(s) for s in sets])
+    assert minhash.forest(sizes, flat, np.arange(6)) == [(0, 1), (0, 2), (3, 4)]
+    assert minhash.forest(sizes, flat, np.array([7, 7, 7, 8, 9, 7])) == [(8, 9)]
+    assert minhash.forest(sizes, flat, np.array([7] * 6)) == []
