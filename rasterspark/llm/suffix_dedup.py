@@ -17,7 +17,10 @@ places that can be equal are first brought together:
    occurrences. Every repeated window lies in an occurrence of one.
 4. An anchor with more than CLASSES different contexts is not put into one bucket. Its
    windows are hashed one by one to 128 bits and counted by hash over all tasks, which
-   is exact too and splits any group.
+   splits any group.
+
+Contexts are told apart by 128-bit digests, and the windows of step 4 by 128 bits of
+polynomial hashes, without a comparison of bytes behind them.
 
 Defined results: null text is an empty text; texts shorter than LENGTH lose nothing;
 rows that agree in doc_id and text are two documents with equal results (each repeats
@@ -275,7 +278,7 @@ class Repeats:
     def __init__(self, docs: DataFrame) -> None:
         k1, k2 = text_key()
         self.texts = docs.select(k1, k2, text_or_empty().cast("binary").alias("_text"))
-        places = map_rows(self.texts, "_ah long, _c1 long, _c2 long, _k1 long, _k2 long, _s int, _e int", _occurrence_rows, rows=500)
+        places = map_rows(self.texts, "_ah long, _c1 long, _c2 long, _k1 long, _k2 long, _s int, _e int", _occurrence_rows, rows=500, by="_text")
         places = written(places)
         ends = [f(c).alias(f"_{n}{c}") for c in ("_c1", "_c2") for n, f in (("lo", F.min), ("hi", F.max))]
         # Counted tables are written before they are joined: a join of two plain shuffles can split a hot key.
@@ -326,7 +329,8 @@ class Repeats:
         some = F.transform("_parts", lambda p: F.struct((F.col("_s") + p["_start"]).alias("s"), (F.col("_s") + p["_start"] + p["_length"]).alias("e")))
         other = self.places.where(~F.col("_equal")).join(known, [*_KEYS]).select("_k1", "_k2", F.when(F.col("_whole"), whole).otherwise(some).alias("_found"))
         found = equal.unionByName(other.where(F.col("_found").isNotNull()))
-        return found.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("_found")).alias("_spans"))
+        # Rows that repeat a document bring its stretches again; one of each stays, so a list is bounded by the document.
+        return found.select("_k1", "_k2", F.explode("_found").alias("_s")).groupBy("_k1", "_k2").agg(F.collect_set("_s").alias("_spans"))
 
 
 def _cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[dict]]:
@@ -364,10 +368,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, fields + "kept binary, removed array<struct<start:int,end:int>>")
 
 
+def maximal_repeat_groups(docs: DataFrame) -> DataFrame:
+    """(bucket, group, parent, length, doc_id, start): the maximal repeats of anchors with different contexts, with their occurrences.
+
+    A group's occurrences are its own rows and those of the groups whose parent it is. ``doc_id`` and
+    ``start`` (byte) are every place of the context in which the repeat was found.
+    """
+    repeats = Repeats(docs)
+    k1, k2 = text_key()
+    ids = docs.select(k1, k2, F.col("doc_id").cast("long").alias("doc_id"))
+    groups = written(repeats.groups(written(repeats.contexts())))
+    places = repeats.places.where(~F.col("_equal")).join(groups, [*_KEYS]).join(ids, ["_k1", "_k2"])
+    return places.select(
+        F.col("_bucket").alias("bucket"), F.col("_group").alias("group"), F.col("_parent").alias("parent"), F.col("_length").alias("length"), "doc_id",
+        (F.col("_s") + F.col("_start")).cast("long").alias("start"),
+    )
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then ``text`` (what is left; characters that a cut splits become replacement characters) and ``removed`` (byte offsets)."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_bytes = F.octet_length(text_or_empty()).cast("long")
     return out.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"), "removed",
     )
