@@ -1,7 +1,6 @@
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
-from math import ceil, floor
 
 import duckdb
 import pytest
@@ -49,6 +48,19 @@ def test_url_rules_and_templates(spark, pages):
     assert rows[705].template.startswith("/*") and len({rows[700 + i].template for i in range(80)}) == 1
 
 
+def test_a_blocked_path_leaves_the_rest_of_a_large_host(spark):
+    """Labels of one path don't condemn a host's other pages, whatever merges; templates follow paths of any depth."""
+    rows = [f"http://blog.example.com/{lang}/{kind}/p{i}" for lang in ("de", "it", "pl", "sv") for kind in ("a", "b") for i in range(40)]
+    rows += [f"http://blog.example.com/x/y/z/u{chr(97 + i % 26)}{chr(97 + i // 26)}name/v{chr(97 + i % 7)}/end" for i in range(130)]
+    rows += ["http://mostly.example.com/de/" + str(i) for i in range(50)] + ["http://mostly.example.com/it/1"]
+    pages = spark.createDataFrame([(u,) for u in rows], "url string")
+    out = url_templates.filter_urls(pages).collect()
+    for r in out:
+        assert (r.verdict == "block") == (r.rule is not None or r.host.startswith("mostly")), r
+    assert {r.template for r in out if "/de/" in r.path and r.host.startswith("blog")} == {"/de/~+/p#"}
+    assert any(r.template.startswith("/x/y/z/*/") for r in out)
+
+
 def test_native_plan(spark, pages):
     plan = url_templates.op6_url_templates(spark, pages)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Cartesian", "NestedLoop"))
@@ -82,22 +94,6 @@ def test_audit_finds_every_difference(spark):
     assert merkle.audit(make(first), make(first), 4096, 4).where("kind != 'unplaced'").count() == 0
 
 
-def test_frame_keeps_pfair_windows():
-    rng = random.Random(2)
-    for _ in range(60):
-        n = rng.randrange(1, 12)
-        shares = mixing.frame_shares({f"s{i}": rng.choice([1, 5, 70, rng.randrange(1, 1000)]) for i in range(n)}, rng.choice([64, 1024]))
-        frame = mixing.edf_frame(shares)
-        size = len(frame)
-        assert Counter(frame) == shares and size == sum(shares.values())
-        seen = Counter()
-        for slot, s in enumerate(frame):
-            j = seen[s] = seen[s] + 1
-            w = Fraction(shares[s], size)
-            assert floor((j - 1) / w) <= slot < ceil(j / w)
-            assert all(abs(seen[x] - Fraction(shares[x], size) * (slot + 1)) < 1 for x in shares)
-
-
 def test_mix_emits_everything_in_order(spark, folder, rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("block", mixing.F.lit("own"))
     got = mixing.mix(docs, {"s0": 5, "s1": 2, "s2": 1, None: 2}, block_docs=4).collect()
@@ -114,8 +110,7 @@ def test_mix_emits_everything_in_order(spark, folder, rows):
         source = next(iter(by_slot[slot]))[0]
         taken[source] += 1
         for s, w in {"s0": 5, "s1": 2, "s2": 1, None: 2}.items():
-            # A frame has 1,024 slots, so weights are met to one part in 1,024.
-            assert abs(taken[s] - w * (slot + 1) / total) < 1 + (slot + 1) / 1000
+            assert abs(taken[s] - Fraction(w * (slot + 1), total)) < 1
     for s, rs in sources.items():
         order = [(r.epoch, r.block) for r in sorted(rs, key=lambda r: r.slot)]
         assert order == sorted(order)
