@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -40,29 +41,43 @@ CAPACITY = 4096
 END = 1
 #: Pieces of a partition.
 PART = 32768
-#: Words whose ids a task remembers (twice as many at most), and the longest of them.
-WORDS, WORD_BYTES = 150_000, 64
+#: Words whose ids a worker remembers (about twice as many at most), and the longest of them.
+WORDS, WORD_BYTES = 250_000, 64
 #: Bytes of a text that are tokenized together.
 PASSAGE = 1 << 18
 
 
 class WordIds:
-    """Ids of a text, word by word between ASCII white space, which no token crosses."""
+    """Ids of a text, word by word between ASCII white space, which no token crosses.
+
+    Words that are not remembered are tokenized many at a time, with a special token
+    between them that tells where one ends; a word that could spell it goes alone.
+    """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        special = self.plain.get_added_tokens_decoder()
+        self.mark, self.marker = next((i, t.content) for i, t in sorted(special.items()))
         self.young: dict[bytes, list[int]] = {}
         self.old: dict[bytes, list[int]] = {}
 
-    def _learn(self, word: bytes) -> list[int]:
-        found = self.old.get(word)
-        if found is None:
-            found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        if len(word) <= WORD_BYTES:
-            if len(self.young) >= WORDS:
-                self.old, self.young = self.young, {}
-            self.young[word] = found
+    def _learn(self, missing: set[bytes]) -> dict[bytes, list[int]]:
+        found = {w: self.old[w] for w in missing if w in self.old}
+        new = [w for w in missing if w not in found and b"<" not in w]
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
+            ids = self.marked.encode(self.marker.join([w.decode("utf-8", "replace") for w in part]), add_special_tokens=False).ids
+            ends = [i for i, x in enumerate(ids) if x == self.mark] + [len(ids)]
+            start = 0
+            for w, end in zip(part, ends, strict=True):
+                found[w] = ids[start:end]
+                start = end + 1
+        for w in missing - found.keys():
+            found[w] = self.plain.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+        if len(self.young) >= WORDS:
+            self.old, self.young = self.young, {}
+        self.young |= {w: v for w, v in found.items() if len(w) <= WORD_BYTES}
         return found
 
     def ids(self, text: bytes) -> np.ndarray:
@@ -76,17 +91,16 @@ class WordIds:
                 if at <= start:
                     at = min((p for c in (b" ", b"\n", b"\t", b"\r") if (p := text.find(c, stop)) >= 0), default=len(text))
                 stop = at
-            out: list[int] = []
-            known, learn = self.young.get, self._learn
-            for word in text[start:stop].split():
-                out += known(word) or learn(word)
-            parts.append(np.array(out, np.uint32))
+            words = text[start:stop].split()
+            found = list(map(self.young.get, words))
+            missing = {w for w, ids in zip(words, found) if ids is None}
+            if missing:
+                new = self._learn(missing)
+                found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
+            parts.append(np.array(list(chain.from_iterable(found)), np.uint32))
             start = max(stop, start + 1)
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
-    def forget(self) -> None:
-        self.young, self.old = {}, {}
-
 
 @lru_cache(maxsize=2)
 def _words(path: str) -> WordIds:
@@ -127,8 +141,6 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).view(np.int32)))
                 number += len(owner)
                 yield pa.RecordBatch.from_pydict(columns)
-        # The worker lives on for other tasks; the words of this one would only take its memory.
-        own.forget()
 
     more = ", ids array<int>" if ids else ""
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, _deal long" + more)
