@@ -14,7 +14,8 @@ That does not happen with trained ranks; where a given rank table does it, the
 pre-token is encoded once more by the same queue, one position at a time.
 
 Defined results: null or empty text has no ids and decodes to no bytes; a null id
-list decodes to no bytes; repeated rows give equal results; extra columns stay.
+list decodes to no bytes; texts are encoded in slices of a few MB, a longer one by itself;
+repeated rows give equal results; extra columns stay.
 """
 
 from __future__ import annotations
@@ -33,13 +34,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterspark.llm.common import table, text_or_empty
+from rasterspark.llm import mixing
+from rasterspark.llm.common import slices, table, text_key, text_or_empty
 
 #: Most words whose ids a task remembers, and the longest word it remembers.
 CACHE_WORDS = 150_000
 CACHE_LENGTH = 64
 #: Texts that are encoded together, and pre-tokens where texts can't be cut into words.
-SLICE = 2000
+SLICE, SLICE_BYTES = 2000, 1 << 23
 BATCH = 100_000
 _NONE = np.int32(2**31 - 1)
 
@@ -393,8 +395,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, "_bpe_text", SLICE, SLICE_BYTES):
                 flat, sizes = own.encode_texts(part.column("_bpe_text").to_pylist())
                 columns = [_list_column(flat, sizes)]
                 if decoded is not None:
@@ -440,6 +441,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: doc_id and source with the ids of the text, and a digest of the decoded bytes."""
-    coded = encode(docs.select("doc_id", "source", F.col("text").alias("ids")), text="ids", decoded="decoded")
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Last pipeline stage: doc_id and source with the ids of the text, and a digest of the decoded bytes; slot, epoch and place tell the mixed order."""
+    k1, k2 = text_key()
+    coded = encode(docs.select("doc_id", "source", k1, k2, F.col("text").alias("ids")), text="ids", decoded="decoded")
+    coded = coded.select("_k1", "_k2", "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return mixing.placed(coded, docs).select("doc_id", "source", "n_tokens", "ids", "decoded_sha256", "slot", "epoch", "place")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterspark.llm.common import table, text_or_empty
+from rasterspark.llm.common import slices, table, text_or_empty
 
 #: Columns of a stored frame and most rows of one; a longer payload takes more frames.
 WIDTH = 192
@@ -230,8 +230,7 @@ def store_text(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, "_gif_text", 1000):
                 files = [write_gif(raw.ljust(max(1, -(-len(raw) // WIDTH)) * WIDTH, b" ")) for raw in part.column("_gif_text").to_pylist()]
                 names = [n for n in part.schema.names if n != "_gif_text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(files, pa.binary())], [*names, media])
@@ -250,8 +249,7 @@ def gif_frames(df: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in slices(batch, media, 200):
                 gifs = [read_gif(raw) for raw in part.column(media).to_pylist()]
                 frames = [[{**f, "rgb": f["rgb"].tobytes(), "histogram": histogram(f["rgb"])} for f in g.frames] for g in gifs]
                 names = [n for n in part.schema.names if n != media]
@@ -270,8 +268,7 @@ def gif_samples(df: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, media, 1000):
                 gifs = [read_gif(raw) for raw in part.column(media).to_pylist()]
                 own = [[f["rgb"][f["y"] : f["y"] + f["height"], f["x"] : f["x"] + f["width"]] for f in g.frames] for g in gifs]
                 payload = [b"".join(p[:, :, 0].tobytes() for p in pictures) for pictures in own]

@@ -26,7 +26,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import islice
 from math import lcm
 
 import pyarrow as pa
@@ -37,23 +36,10 @@ from rasterspark.llm.common import table, text_key, written
 
 BLOCK_DOCS = 16
 RANGE_DOCS = 4096
-#: Slots of a frame of rounded weights (frame_shares).
-FRAME = 1024
 #: Target weight of a source is its number of documents to this power.
 POWER = 0.9
 
 
-def frame_shares(weights: dict, slots: int) -> dict:
-    """Whole slots of a frame for each source, at least one, by largest remainders; ties go to the smaller name."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w) / Fraction(total) * (slots - len(weights)) for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
-    rest = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s is None, str(s)))
-    for s in rest[: slots - sum(shares.values())]:
-        shares[s] += 1
-    return shares
-
-
 def whole_weights(weights: dict) -> dict:
     """``weights`` as whole numbers in exactly the same proportions."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -77,12 +63,6 @@ def edf(weights: list[int]) -> Iterator[tuple[int, int]]:
         slot += 1
 
 
-def edf_frame(shares: dict) -> list:
-    """The source of every slot of a frame."""
-    names = sorted(shares, key=lambda s: (s is None, str(s)))
-    return [names[i] for i, _ in islice(edf([shares[s] for s in names]), sum(shares.values()))]
-
-
 def schedule(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
     """(_i, block, epoch, slot) of every slot until each source has had each of its ``blocks`` once."""
 
@@ -104,8 +84,8 @@ def schedule(spark: SparkSession, weights: list[int], blocks: list[int]) -> Data
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_src`` and ``_no``, the dense number from 0 of a row in its source by a hash of its key."""
-    k1, k2 = text_key()
+    """``docs`` with ``_src`` and ``_no``, the dense number from 0 of a row in its source by a hash of its key (_k1, _k2 if given)."""
+    k1, k2 = (F.col("_k1"), F.col("_k2")) if {"_k1", "_k2"} <= set(docs.columns) else text_key()
     keyed = docs.withColumns({"_k1": k1, "_k2": k2, "_src": F.col("source").cast("string")})
     keyed = keyed.withColumn("_h", F.xxhash64("_k1", "_k2").bitwiseAND(F.lit(2**40 - 1)))
     counts = keyed.groupBy("_src").agg(F.ceil(F.count(F.lit(1)) / F.lit(RANGE_DOCS)).cast("long").alias("_ranges"))
@@ -117,7 +97,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     starts = sizes.select(F.col("_src").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     at = wide.join(starts, wide["_src"].eqNullSafe(starts["_s"]) & (wide["_range"] == starts["_r"])).drop("_s", "_r")
     within = Window.partitionBy("_src", "_range").orderBy("_h", "_k1", "_k2")
-    return at.withColumn("_no", F.col("_start") + F.row_number().over(within) - 1).drop("_k1", "_k2", "_h", "_ranges", "_range", "_start")
+    return at.withColumn("_no", F.col("_start") + F.row_number().over(within) - 1).drop("_h", "_ranges", "_range", "_start")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -144,22 +124,16 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     return placed.select(*docs.columns, "slot", "block", "epoch", (F.col("_no") % F.lit(block_docs)).alias("place"))
 
 
-def _turns(frame: list) -> list[tuple]:
-    """(source, how many slots of the frame it had before) of every slot."""
-    seen: dict = {}
-    out = []
-    for s in frame:
-        out.append((s, seen.get(s, 0)))
-        seen[s] = out[-1][1] + 1
-    return out
+def placed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (_k1, _k2, ...), one for each emission that ``stage`` made, with slot, epoch and place.
 
-
-def _horizon(blocks: dict, shares: dict, frame: list) -> int:
-    """Slots until every source has had each of its blocks once."""
-    place: dict = {}
-    for slot, (s, turn) in enumerate(_turns(frame)):
-        place[s, turn] = slot
-    return 1 + max((n - 1) // shares[s] * len(frame) + place[s, (n - 1) % shares[s]] for s, n in blocks.items())
+    ``docs`` is what ``stage`` returned; its distinct documents are scheduled once more by their keys alone,
+    which gives the same order. A document's rows are alike, so any of them stands for any of its epochs.
+    """
+    once = docs.select(*text_key(), "source").dropDuplicates(["_k1", "_k2"])
+    order = mix(written(once)).select("_k1", "_k2", "slot", "epoch", "place")
+    turn = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))) - 1
+    return rows.withColumn("epoch", turn.cast("long")).join(order, ["_k1", "_k2", "epoch"])
 
 
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,5 +144,10 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents in mixed order; those of later epochs occur again."""
+    """Pipeline stage: the documents in mixed order; those of later epochs occur again.
+
+    A table keeps rows and not their order, and the columns are those of documents; the stage
+    behind this one gets every row's slot, epoch and place back from ``placed``. Documents are
+    told apart by doc_id and text (the near-dup stage leaves no two alike). A null source is a source.
+    """
     return mix(docs).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 from llm_samples import SCHEMA
+from test_near_dup import near_groups
 
 from rasterspark.llm import simhash, unit_dedup
 
@@ -79,7 +80,7 @@ def test_stage_keeps_one_of_each_group(spark, folder, rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = simhash.stage(spark, docs, folder)
     assert kept.columns == docs.columns
-    part = dict(zip([(i, t) for i, t, *_ in rows], groups([plain_fingerprint(t or "") for _, t, *_ in rows])))
+    part = dict(zip([(i, t) for i, t, *_ in rows], near_groups([t or "" for _, t, *_ in rows])))
     got = Counter(part[r.doc_id, r.text] for r in kept.collect())
     assert set(got) == set(part.values()) and set(got.values()) == {1}
     assert simhash.stage(spark, spark.createDataFrame([], SCHEMA), folder).count() == 0
