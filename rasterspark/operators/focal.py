@@ -260,7 +260,75 @@ def structural_candidate_pixels(scored: DataFrame, params: StructureParams = Str
 # ------------------------------------------------------------------- distance
 
 
-def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, side: dict[str, str], names: list[str]):
+def _nearest_on_lines(lb: np.ndarray, pitch: float) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, label) of the nearest labelled place of each line, by one pass from either end; ties take the lower label."""
+    n = lb.shape[1]
+    none = np.iinfo(np.int64).max
+    at = np.arange(n)
+    left = np.maximum.accumulate(np.where(lb < none, at, -1), axis=1)
+    right = np.minimum.accumulate(np.where(lb < none, at, 2 * n)[:, ::-1], axis=1)[:, ::-1]
+    best, who = np.full(lb.shape, np.inf), np.full(lb.shape, none)
+    for site in (left, right):
+        there = (site >= 0) & (site < n)
+        cost = np.where(there, ((at - site) * pitch) ** 2, np.inf)
+        label = np.where(there, np.take_along_axis(lb, np.clip(site, 0, n - 1), axis=1), none)
+        better = (cost < best) | ((cost == best) & (label < who))
+        best, who = np.where(better, cost, best), np.where(better, label, who)
+    return best, who
+
+
+def _envelope_on_lines(d2: np.ndarray, lb: np.ndarray, pitch: float) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, label): the lower envelope of a parabola over each finite ``d2`` of a line, all lines together.
+
+    Every place is pushed once and leaves once, so the work is linear in the line. Parabolas that
+    touch the envelope in one point only stay on it (within ``slack``), and at every place all that
+    meet there are compared, so that ties go to the lower label.
+    """
+    lines, n = d2.shape
+    none, slack = np.iinfo(np.int64).max, 1e-6
+    site = np.zeros((lines, n), np.int64)
+    start = np.full((lines, n + 1), np.inf)  # where the parabola begins to be the lowest
+    top = np.full(lines, -1)
+    for k in range(n):
+        rows = np.flatnonzero(np.isfinite(d2[:, k]))
+        height = d2[rows, k] / pitch**2 + k * k
+        here = np.full(len(rows), -np.inf)
+        todo = np.flatnonzero(top[rows] >= 0)
+        while len(todo):
+            r = rows[todo]
+            last = site[r, top[r]]
+            cut = (height[todo] - d2[r, last] / pitch**2 - last * last) / (2.0 * (k - last))
+            begin = start[r, top[r]]
+            out = cut < begin - slack
+            here[todo[~out]] = np.maximum(cut, begin)[~out]
+            top[r[out]] -= 1
+            todo = todo[out]
+            here[todo[top[rows[todo]] < 0]] = -np.inf
+            todo = todo[top[rows[todo]] >= 0]
+        top[rows] += 1
+        site[rows, top[rows]] = k
+        start[rows, top[rows]] = here
+        start[rows, top[rows] + 1] = np.inf
+    best, who = np.full((lines, n), np.inf), np.full((lines, n), none)
+    live = np.flatnonzero(top >= 0)
+    at = np.zeros(lines, np.int64)
+    for p in range(n):
+        rows = live[start[live, at[live] + 1] < p - slack]
+        while len(rows):
+            at[rows] += 1
+            rows = rows[start[rows, at[rows] + 1] < p - slack]
+        rows, j = live, at[live]
+        while len(rows):
+            k = site[rows, j]
+            cost, label = d2[rows, k] + ((p - k) * pitch) ** 2, lb[rows, k]
+            better = (cost < best[rows, p]) | ((cost == best[rows, p]) & (label < who[rows, p]))
+            best[rows[better], p], who[rows[better], p] = cost[better], label[better]
+            more = start[rows, j + 1] <= p + slack
+            rows, j = rows[more], j[more] + 1
+    return best, who
+
+
+def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, side: dict[str, str], names: list[str], first: bool):
     """Kernel of one sweep: the best (distance, label) along every line of a block."""
 
     def sweep(key: tuple, t: pa.Table) -> pa.Table:
@@ -268,18 +336,15 @@ def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, sid
         t = t.take(np.argsort(-t["_lab"].to_numpy(), kind="stable"))
         n = t[side[axis]][0].as_py()
         codes, row = np.unique(t["_line"].to_numpy(), return_inverse=True)
-        d2 = np.full((len(codes), n), np.inf)
         lb = np.full((len(codes), n), np.iinfo(np.int64).max)
         at = t[axis].to_numpy()
-        d2[row, at] = t["_d2"].to_numpy()
         lb[row, at] = t["_lab"].to_numpy()
-        best, who = d2.copy(), lb.copy()
-        reach = np.arange(n)
-        for k in np.nonzero(np.isfinite(d2).any(axis=0))[0]:
-            cost = d2[:, k : k + 1] + ((reach - k) * pitch)[None, :] ** 2
-            better = (cost < best) | ((cost == best) & (lb[:, k : k + 1] < who))
-            best = np.where(better, cost, best)
-            who = np.where(better, lb[:, k : k + 1], who)
+        if first:
+            best, who = _nearest_on_lines(lb, pitch)
+        else:
+            d2 = np.full((len(codes), n), np.inf)
+            d2[row, at] = t["_d2"].to_numpy()
+            best, who = _envelope_on_lines(d2, lb, pitch)
         r, p = np.nonzero(np.isfinite(best))
         cols = {k: pa.repeat(key[i], len(r)) for i, k in enumerate(keys)}
         cols.update({s: pa.array(np.full(len(r), t[s][0].as_py(), np.int32)) for s in side.values()})
@@ -324,7 +389,7 @@ def nearest_seed(
             line = line + F.col(others[1]).cast("long") * F.col(side[others[0]])
         per_block = F.greatest(F.lit(1), F.floor(F.lit(block_px) / F.col(side[axis])))
         blocked = current.withColumn("_line", line).withColumn("_blk", F.floor(F.col("_line") / per_block).cast("long"))
-        sweep = _line_sweep(keys, axis, others, pitch_um[axis], side, names)
+        sweep = _line_sweep(keys, axis, others, pitch_um[axis], side, names, axis == axes[0])
         current = blocked.groupBy(*keys, "_blk").applyInArrow(sweep, schema)
         if max_um is not None:
             current = current.where(F.col("_d2") <= F.lit(max_um * max_um * (1 + 1e-12)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,27 +96,48 @@ def flag_conflicts(edges: DataFrame, ratio: float) -> DataFrame:
     return out.withColumn("conflict", flags[0] | flags[1]).drop("_b0", "_r0", "_s0", "_b1", "_r1", "_s1")
 
 
-def greedy_one_to_one(edges: DataFrame, keys: list[str], left: str, right: str, score: str = "score") -> DataFrame:
-    """Greedy matching by (-score, left, right), as rounds of locally best edges.
+#: Most edges of one group that a task matches at once.
+GREEDY_EDGES = 500_000
 
-    An edge that is the best of both its ends would also be taken by the
-    sequential greedy; taken ends leave and the rest repeats. Every round is a
-    window over one node's edges, so no group of edges is gathered.
+
+def _greedy(left: str, right: str):
+    """The sequential greedy over the edges of one group, which come best first."""
+
+    def run(edges: pa.Table) -> pa.Table:
+        edges = edges.sort_by("_r")
+        used_left, used_right, take = set(), set(), []
+        for i, (a, b) in enumerate(zip(edges.column(left).to_pylist(), edges.column(right).to_pylist())):
+            if a not in used_left and b not in used_right:
+                used_left.add(a)
+                used_right.add(b)
+                take.append(i)
+        return edges.drop_columns(["_r"]).take(pa.array(take, pa.int64()))
+
+    return run
+
+
+def greedy_one_to_one(edges: DataFrame, keys: list[str], left: str, right: str, score: str = "score", bound: int = GREEDY_EDGES) -> DataFrame:
+    """Greedy matching by (-score, left, right).
+
+    What the greedy does with the best edges of a group doesn't depend on the others. So the
+    best ``bound`` edges of every group are matched in one task a group; only where a group has
+    more, edges of taken ends leave and the next ``bound`` follow. The number of rounds
+    depends on sizes alone, never on how scores fall along a chain.
     """
     from rasterspark.session import cut_lineage
 
-    rest = cut_lineage(edges.select(*keys, left, right, score))
+    order = Window.partitionBy(*keys).orderBy(F.desc(score), F.col(left), F.col(right))
+    rest = edges.select(*keys, left, right, score)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     chosen = None
-    while not rest.isEmpty():
-        order = [F.desc(score), F.col(left), F.col(right)]
-        best = rest.withColumns({
-            "_l": F.row_number().over(Window.partitionBy(*keys, left).orderBy(*order)),
-            "_r": F.row_number().over(Window.partitionBy(*keys, right).orderBy(*order)),
-        }).where((F.col("_l") == 1) & (F.col("_r") == 1)).drop("_l", "_r")
-        best = cut_lineage(best)
+    while True:
+        ranked = cut_lineage(rest.withColumn("_r", F.row_number().over(order)))
+        best = cut_lineage(ranked.where(F.col("_r") <= bound).groupBy(*keys).applyInArrow(_greedy(left, right), schema))
         chosen = best if chosen is None else chosen.unionByName(best)
-        rest = cut_lineage(rest.join(best.select(*keys, left), [*keys, left], "left_anti").join(best.select(*keys, right), [*keys, right], "left_anti"))
-    return rest if chosen is None else chosen
+        rest = ranked.where(F.col("_r") > bound).drop("_r")
+        if rest.isEmpty():
+            return chosen
+        rest = rest.join(best.select(*keys, left), [*keys, left], "left_anti").join(best.select(*keys, right), [*keys, right], "left_anti")
 
 
 def tracks_from_links(objects: DataFrame, links: DataFrame) -> DataFrame:
@@ -326,30 +348,35 @@ def merge_same_nucleus(nuclei: DataFrame, cells: DataFrame, pixel_um: tuple[floa
     return label_closure(pairs).withColumnRenamed("node", "cell_id")
 
 
-def ownership_conflicts(pairs: DataFrame, params: OwnershipParams = OwnershipParams()) -> DataFrame:
-    """Owner, foreign nuclei and decision of every component.
+def ownership_roles(pairs: DataFrame, params: OwnershipParams = OwnershipParams()) -> DataFrame:
+    """``pairs`` of a component and a nucleus with ``role``: owner, accepted_foreign, unowned_foreign or other, and ``vague``.
 
     ``pairs``: (field_id, component_id, nucleus_id, overlap_um2, extent_um2,
     volume_um3, enclosure, accepted, dominance, ambiguous).
     """
     k = ["field_id", "component_id"]
     share = F.col("overlap_um2") / F.col("extent_um2")
-    own_ok = F.col("accepted") & (F.col("overlap_um2") >= params.owner_min_overlap_um2)
-    order = Window.partitionBy(*k).orderBy(F.desc(own_ok), F.desc("overlap_um2"), F.desc("volume_um3"), F.desc("enclosure"), "nucleus_id")
-    p = pairs.withColumns({"_share": share, "_own": own_ok, "_rank": F.row_number().over(order)})
-    p = p.withColumn("is_owner", F.col("_own") & (F.col("_rank") == 1))
-    owner_overlap = F.max(F.when(F.col("is_owner"), F.col("overlap_um2"))).over(Window.partitionBy(*k))
-    p = p.withColumn("_owner_overlap", owner_overlap)
-    accepted_foreign = ~F.col("is_owner") & F.col("accepted") & (F.col("_share") >= params.accepted_min_extent_fraction) & (F.col("volume_um3") >= params.accepted_min_volume_um3)
+    enough = F.col("overlap_um2") >= params.owner_min_overlap_um2
+    order = Window.partitionBy(*k).orderBy(F.desc(F.col("accepted") & enough), F.desc("overlap_um2"), F.desc("volume_um3"), F.desc("enclosure"), "nucleus_id")
+    p = pairs.withColumn("_owner", F.col("accepted") & enough & (F.row_number().over(order) == 1))
+    p = p.withColumn("_owner_overlap", F.max(F.when(F.col("_owner"), F.col("overlap_um2"))).over(Window.partitionBy(*k)))
+    accepted_foreign = F.col("accepted") & enough & (share >= params.accepted_min_extent_fraction) & (F.col("volume_um3") >= params.accepted_min_volume_um3)
     unowned = (
-        ~F.col("is_owner") & ~F.col("accepted") & (F.col("overlap_um2") >= params.foreign_min_overlap_um2) & (F.col("_share") >= params.foreign_min_fraction)
+        ~F.col("accepted") & (F.col("overlap_um2") >= params.foreign_min_overlap_um2) & (share >= params.foreign_min_fraction)
         & (F.col("overlap_um2") >= params.foreign_min_owner_ratio * F.coalesce("_owner_overlap", F.lit(0.0))) & (F.col("dominance") >= params.foreign_min_dominance)
         & (F.col("volume_um3") >= params.unowned_min_volume_um3) & (F.col("enclosure") >= params.unowned_min_enclosure)
     )
-    vague = F.col("ambiguous") & (F.col("_share") >= params.ambiguous_fraction)
-    g = p.groupBy(*k).agg(
-        F.max(F.when(F.col("is_owner"), F.col("nucleus_id"))).alias("owner_id"), F.count_if(accepted_foreign).alias("accepted_foreign"),
-        F.count_if(unowned).alias("unowned_foreign"), F.max(vague).alias("ambiguous"))
+    role = F.when(F.col("_owner"), "owner").when(accepted_foreign, "accepted_foreign").when(unowned, "unowned_foreign").otherwise("other")
+    vague = F.col("ambiguous") & enough & (share >= params.ambiguous_fraction)
+    return p.withColumns({"role": role, "vague": vague}).drop("_owner", "_owner_overlap")
+
+
+def ownership_conflicts(pairs: DataFrame, params: OwnershipParams = OwnershipParams()) -> DataFrame:
+    """Owner, foreign nuclei and decision of every component of ``pairs`` (see ``ownership_roles``)."""
+    role = F.col("role")
+    g = ownership_roles(pairs, params).groupBy("field_id", "component_id").agg(
+        F.max(F.when(role == "owner", F.col("nucleus_id"))).alias("owner_id"), F.count_if(role == "accepted_foreign").alias("accepted_foreign"),
+        F.count_if(role == "unowned_foreign").alias("unowned_foreign"), F.max("vague").alias("ambiguous"))
     return g.withColumn("decision", first_reason(
         ("drop_ambiguous_envelope", F.col("ambiguous")), ("keep_without_owner", F.col("owner_id").isNull()),
         ("partition_accepted_foreign", F.col("accepted_foreign") > 0), ("barrier_unowned_foreign", F.col("unowned_foreign") > 0), default="keep"))

@@ -89,6 +89,14 @@ class OwnershipParams:
     unowned_min_volume_um3: float = 12.0
     unowned_min_enclosure: float = 0.20
     ambiguous_fraction: float = 0.30
+    barrier_radius_um: float = 1.10
+    barrier_inner_um: float = 0.18
+    exclusion_um: float = 0.45
+    min_child_um2: float = 12.0
+    min_owner_child_fraction: float = 0.12
+    min_accepted_child_fraction: float = 0.08
+    max_seam_core_ratio: float = 0.86
+    max_seam_structure_ratio: float = 0.88
 
 
 @dataclass(frozen=True)

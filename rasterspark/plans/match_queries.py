@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterspark.operators import match
+from rasterspark.operators import match, ownership
 from rasterspark.plans.registry import joined, query, rounded, with_ctes
 from rasterspark.plans.zonal_queries import grid_labels
 from rasterspark.sources import adapters as src
@@ -174,8 +174,8 @@ _PAIR = """pr AS (SELECT CAST(l_suppkey AS VARCHAR) AS field_id, l_linenumber AS
 
 @query("f11_ownership_conflicts", "WITH " + _PAIR + """, r AS (SELECT *, ov / ex AS sh, acc AND ov >= .6 AS own, row_number() OVER (PARTITION BY field_id, component_id ORDER BY (acc AND ov >= .6) DESC, ov DESC, v DESC, en DESC, nucleus_id) AS rn FROM pr),
 o AS (SELECT *, own AND rn = 1 AS io, max(CASE WHEN own AND rn = 1 THEN ov END) OVER (PARTITION BY field_id, component_id) AS oo FROM r),
-g AS (SELECT field_id, component_id, max(CASE WHEN io THEN nucleus_id END) AS owner_id, count(*) FILTER (WHERE NOT io AND acc AND sh >= .45 AND v >= 4) AS accepted_foreign,
-  count(*) FILTER (WHERE NOT io AND NOT acc AND ov >= 1.6 AND sh >= .45 AND ov >= .15 * coalesce(oo, 0) AND dom >= .8 AND v >= 12 AND en >= .2) AS unowned_foreign, bool_or(amb AND sh >= .3) AS ambiguous FROM o GROUP BY 1, 2)
+g AS (SELECT field_id, component_id, max(CASE WHEN io THEN nucleus_id END) AS owner_id, count(*) FILTER (WHERE NOT io AND acc AND ov >= .6 AND sh >= .45 AND v >= 4) AS accepted_foreign,
+  count(*) FILTER (WHERE NOT io AND NOT acc AND ov >= 1.6 AND sh >= .45 AND ov >= .15 * coalesce(oo, 0) AND dom >= .8 AND v >= 12 AND en >= .2) AS unowned_foreign, bool_or(amb AND ov >= .6 AND sh >= .3) AS ambiguous FROM o GROUP BY 1, 2)
 SELECT *, CASE WHEN ambiguous THEN 'drop_ambiguous_envelope' WHEN owner_id IS NULL THEN 'keep_without_owner' WHEN accepted_foreign > 0 THEN 'partition_accepted_foreign' WHEN unowned_foreign > 0 THEN 'barrier_unowned_foreign' ELSE 'keep' END AS decision FROM g""")
 def f11(spark, d):
     n = F.col("l_partkey") % 9
@@ -186,6 +186,25 @@ def f11(spark, d):
     return match.ownership_conflicts(li)
 
 
+@query("f11_ownership_partition")
+def f11_partition(spark, d):
+    """Blocks where the stack has voxels, claimed by nuclei of bright DAPI voxels that straddle the blocks."""
+    ring = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    stack = src.sparse_stack(spark, d).select("field_id", "channel", "y", "x", "value")
+    widened = lambda px: px.select("field_id", "value", "y", "x", ring.alias("o")).select("field_id", "value", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    present = widened(stack).select("field_id", "y", "x").distinct()
+    cells = src.compartments(spark, d).join(present, match.AT, "left_semi").select(*match.AT, "height", "width", F.col("cell_id").alias("label_id"))
+    dapi = stack.where((F.col("channel") == "DAPI") & (F.col("value") >= 25))
+    near = widened(dapi).where(F.col("y").between(0, 31) & F.col("x").between(0, 31))
+    label = (F.floor((F.col("y") + 2) / 5) * 7 + F.floor((F.col("x") + 1) / 5) + 1).cast("long")
+    near = near.withColumns({"label_id": label, "height": F.lit(32), "width": F.lit(32)})
+    groups = near.groupBy("field_id", F.col("label_id").alias("nucleus_id")).agg(
+        (F.sum("value") / 9).alias("volume_um3"), ((F.max("value") - F.min("value")) / 50).alias("enclosure"), (F.avg("value") >= 36).alias("accepted"), (F.min("value") >= 46).alias("ambiguous"))
+    light = stack.where(F.col("channel") != "DAPI").groupBy(*match.AT).agg((F.max("value") / 50).alias("s"))
+    extents = near.select(*match.AT, "height", "width", "label_id").distinct()
+    return rounded(ownership.ownership_partition(cells, extents, groups, light, (1.0, 1.0))[1], "core_ratio", "structure_ratio")
+
+
 @query("f12_consensus_owner", with_ctes("objects") + """, c AS (SELECT field_id, object_id AS cell_id, CASE WHEN object_id % 13 > 0 THEN object_id - object_id % 9 // 8 END AS lin, CASE WHEN object_id % 7 = 0 THEN object_id + 1 WHEN object_id % 17 > 0 THEN object_id - object_id % 9 // 8 END AS rec FROM objects),
 ac AS (SELECT field_id, object_id AS o FROM objects WHERE object_id % 5 > 0), ax AS (SELECT field_id, object_id AS o, object_id % 4 > 0 AS keep FROM objects WHERE object_id % 3 = 0),
 j AS (SELECT c.*, ac.o IS NOT NULL AS acc, coalesce(keep, true) AS keep, count(lin) OVER (PARTITION BY c.field_id, lin) AS claims FROM c LEFT JOIN ac ON ac.field_id = c.field_id AND ac.o = lin LEFT JOIN ax ON ax.field_id = c.field_id AND ax.o = lin),

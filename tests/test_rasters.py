@@ -144,6 +144,50 @@ def test_greedy_matches_sequential(spark):
     assert got == greedy(edges)
 
 
+def test_greedy_of_a_falling_chain_and_small_bounds(spark):
+    """10,000 links of which each depends on the one before; and a bound that takes several rounds."""
+    chain = [("c", i // 2, (i + 1) // 2, 1.0 - i / 20_000) for i in range(10_000)]
+    edges = spark.createDataFrame(chain, "field_id string, a long, b long, score double")
+    assert {(r.a, r.b) for r in match.greedy_one_to_one(edges, ["field_id"], "a", "b").collect()} == {(i, i) for i in range(5000)}
+    rng = np.random.default_rng(3)
+    rows = [("f" + str(i % 3), int(rng.integers(20)), int(rng.integers(20)), float(rng.integers(9))) for i in range(300)]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "field_id string, a long, b long, score double")
+    want = set()
+    for f in ("f0", "f1", "f2"):
+        left, right = set(), set()
+        for _, a, b, s in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[3], r[1], r[2])):
+            if a not in left and b not in right:
+                left.add(a)
+                right.add(b)
+                want.add((f, a, b, s))
+    for bound in (7, 40, 1000):
+        assert {tuple(r) for r in match.greedy_one_to_one(df, ["field_id"], "a", "b", bound=bound).collect()} == want
+
+
+def plain_sweep(d2, lb, pitch):
+    best, who = np.full(d2.shape, np.inf), np.full(d2.shape, np.iinfo(np.int64).max)
+    for k in range(d2.shape[1]):
+        cost, label = d2[:, k : k + 1] + ((np.arange(d2.shape[1]) - k) * pitch)[None] ** 2, lb[:, k : k + 1]
+        better = (cost < best) | ((cost == best) & (label < who))
+        best, who = np.where(better, cost, best), np.where(better, label, who)
+    return best, who
+
+
+def test_line_sweeps_equal_the_plain_scan():
+    """The envelope gives the same distance and label everywhere, also where several parabolas meet."""
+    rng = np.random.default_rng(1)
+    for t in range(400):
+        shape = (int(rng.integers(1, 6)), int(rng.integers(1, 40)))
+        pitch = [1.0, 0.5, 0.3, 0.2, 1.7][t % 5]
+        there = rng.random(shape) < [0.1, 0.5, 0.9, 0.0][t % 4]
+        heights = (rng.integers(0, 8, shape) * pitch) ** 2 if t % 3 else (25 - rng.integers(0, 6, shape) ** 2) * pitch * pitch
+        lb = np.where(there, rng.integers(1, 9, shape), np.iinfo(np.int64).max)
+        d2 = np.where(there, heights, np.inf)
+        for got, want in ((focal._envelope_on_lines(d2, lb, pitch), plain_sweep(d2, lb, pitch)), (focal._nearest_on_lines(lb, pitch), plain_sweep(np.where(there, 0.0, np.inf), lb, pitch))):
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_constant_plane_and_empty(spark):
     flat = raster(spark, np.full((5, 6), 3.0))
     assert {r.norm for r in local.robust01(flat).collect()} == {0.0}
