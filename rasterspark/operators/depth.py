@@ -177,16 +177,14 @@ def longest_true_run(df: DataFrame, keys: list[str], flag: str = "active", z: st
 
 
 def axial_runs(
-    profile: DataFrame, dynamic: DataFrame, step_um: float, params: AxialRunParams = AxialRunParams()
+    profile: DataFrame, dynamic: DataFrame, step_um: float, params: AxialRunParams = AxialRunParams(), keys: list[str] = ["field_id", "label_id"]
 ) -> DataFrame:
     """Depth runs of nuclei from their plane profiles.
 
-    ``profile``: (field_id, label_id, z, p85); ``dynamic``: (field_id, label_id,
-    dynamic, top) with the P99.9 - P0.1 range and the largest magnitude of the
+    ``profile``: (keys, z, p85); ``dynamic``: (keys, dynamic, top) with the P99.9 - P0.1 range and the largest magnitude of the
     nucleus extent. Short active runs are dropped first, then gaps of up to two
     planes are closed, and runs must reach the peak cut.
     """
-    keys = ["field_id", "label_id"]
     base = profile.groupBy(*keys).agg(F.percentile("p85", F.lit(0.10)).alias("base"), F.max("p85").alias("_top"))
     contrast = F.col("_top") - F.col("base")
     floor = F.lit(1.1920928955078125e-07 * 16.0) * F.greatest(F.col("top"), F.lit(1.1754943508222875e-38))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rasterspark.operators import depth, focal, graph, local, zonal
+from rasterspark.functions.quantile import exact_quantiles
+from rasterspark.operators import depth, focal, graph, local, position, rank, zonal
 from rasterspark.plans.depth_queries import windows
 from rasterspark.plans.focal_queries import top_mask, wide_mask
 from rasterspark.plans.graph_queries import comp_sql
@@ -293,6 +294,35 @@ def e28(spark, d):
 _PARTS = ("completeness", "coverage", "precision", "unsupported", "unanchored", "edge_area", "sharpness", "unclipped", "background")
 
 
+def position_scores(spark, d):
+    """The five windows of the dense stack, its nuclear channel and two mirrored structural ones; masks are cut from the projections."""
+    one = src.dense_stack(spark, d)
+    flip = {"DAPI": ("y", "x"), "eGFP": ("y", 7 - F.col("x")), "GFAP": (7 - F.col("y"), "x")}
+    parts = [one.select("field_id", F.lit(c).alias("channel"), "z", (F.col(y) if isinstance(y, str) else y).cast("int").alias("y"),
+                        (F.col(x) if isinstance(x, str) else x).cast("int").alias("x"), "height", "width", "value") for c, (y, x) in flip.items()]
+    stack = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    w = windows(spark, d)
+    proj = depth.project_z(stack, w)
+    keys = ["field_id", "position"]
+    cut = exact_quantiles(proj, [*keys, "channel"], "value", {"q55": 0.55, "q70": 0.70, "q85": 0.85}, small_groups=True)
+    px = proj.join(cut, [*keys, "channel"])
+    at = [*keys, "y", "x", "height", "width"]
+    mask = px.where("channel = 'eGFP' AND value > q55").select(*at)
+    core, extent = px.where("channel = 'DAPI' AND value > q85").select(*at), px.where("channel = 'DAPI' AND value > q70").select(*at)
+    return position.score_positions(stack, w, mask, core, extent, (1.0, 1.0), 1.0, (0.0, 0.4), 1.5)
+
+
+@query("e30_position_from_pixels")
+def e30_pixels(spark, d):
+    names = ["retention", "rms_um", "completeness", "coverage", "precision", "unsupported", "unanchored", "edge_area", "sharpness", "unclipped", "background", "total_score"]
+    return rounded(position_scores(spark, d), *names).select("field_id", "position", "unique", "associated", "components", "valid", *names)
+
+
+@query("h11_position_from_pixels")
+def h11_pixels(spark, d):
+    return rounded(rank.select_position(position_scores(spark, d)), "best_score")
+
+
 @query("e30_position_score", f"""WITH p AS (SELECT p_partkey // 5 AS f, p_partkey % 5 + 1 AS position, p_partkey % 7 AS u, p_partkey % 9 + 1 AS a, p_partkey % 4 AS c, (p_partkey * 17 % 101) / 101 AS r, p_size / 10 AS rms,
   {', '.join(f"(p_partkey * {7 + 4 * i} % 97) / 97 AS {n}" for i, n in enumerate(_PARTS))} FROM part),
 s AS (SELECT CAST(f AS VARCHAR) AS field_id, position, u > 0 AND c > 0 AS valid, u / (u + 8) AS yield_score, (16 * r + 8 * (2 * u / (a + c))) / 24 AS nucleus_score,
@@ -359,7 +389,6 @@ r4 AS (SELECT *, sum(n) OVER (PARTITION BY field_id, label_id ORDER BY a) AS i F
 r5 AS (SELECT field_id, label_id, min(a) AS z0, max(b) AS z1 FROM r4 GROUP BY field_id, label_id, i)
 SELECT DISTINCT r5.* FROM r5 JOIN pl ON r5.field_id = pl.field_id AND r5.label_id = pl.label_id AND pl.z BETWEEN z0 AND z1 AND hi""")
 def c06(spark, d):
-    from rasterspark.functions.quantile import exact_quantiles
     from rasterspark.params import AxialRunParams
 
     lab = src.dense_stack(spark, d).withColumn("label_id", (F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)).cast("long"))
