@@ -128,11 +128,26 @@ def test_long_texts_in_parts(monkeypatch):
     alphabet = ["one", "Two's", "É́x", " ", "中文", "a" * 90, "<|endoftext|>", "12,5", "\x1c", "Σας", "İ", "ﬁ", "́", "", "\n", "\t"]
     text = " ".join(rng.choice(alphabet) for _ in range(3000))
     want = tokenizer().encode(text, add_special_tokens=False).ids
-    monkeypatch.setattr(packing, "WORDS", 5)
-    for passage in (1 << 18, 40, 1):
+    for passage, bound in ((1 << 18, 5), (40, 5), (1, 3), (300, 10**6)):
         monkeypatch.setattr(packing, "PASSAGE", passage)
+        monkeypatch.setattr(packing, "WORDS", bound)
         assert words.ids(text.encode()).tolist() == want
 
 
+def test_latin_words_equal_the_tokenizer():
+    """Merges by rank give what the tokenizer gives: for its whole vocabulary and for random words."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    own = tokenizer()
+    rng = random.Random(7)
+    letters = [chr(c) for c in [*range(33, 127), *range(161, 592)]]
+    texts = [t.removesuffix("</w>") for t in own.get_vocab(False)]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(1, 20))) for _ in range(3000)]
+    texts += ["".join(rng.choices("aeinrst'", k=rng.randrange(1, 25))) + rng.choice(["", "'ll", "'s.", "!?", "42"]) for _ in range(3000)]
+    texts += ["a" * n for n in range(1, 60)] + ["abab" * n for n in range(1, 30)] + ["aaab" * n + "aa" for n in range(1, 30)]
+    for at in range(0, len(texts), 50):
+        text = " ".join(texts[at : at + 50])
+        assert words.ids(text.encode()).tolist() == own.encode(text, add_special_tokens=False).ids, texts[at : at + 50]
+
+
 def test_empty_table(spark, empty):
     assert packing.op11_best_fit_packing(spark, empty).count() == 0
