@@ -9,7 +9,8 @@ pasted into the middle of a line.
 
 Defined results: null text is an empty text; rows that agree in doc_id and text
 are one document and are edited alike; a null doc_id ranks first; units with
-fewer words than the minimum always stay; an empty table gives no rows.
+fewer words than the minimum always stay; very long texts are cut in slices of
+their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterspark.llm.common import map_rows, table, text_key, text_or_empty
+from rasterspark.llm.common import map_rows, slices, table, text_key, text_or_empty, written
 
 #: Words that a repeated line, or a repeated unit of sentences, needs before it is cut.
 LINE_WORDS = 4
@@ -40,7 +41,9 @@ def units_of(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENT
     """(digest, start, end) of every unit that is long enough; offsets are characters.
 
     Short sentences go together with those after them until the unit is long
-    enough, so that none inside a shared passage is left over.
+    enough, so that none inside a shared passage is left over. A sentence that is long
+    enough is a unit of its own as well, so that a short one before a shared passage
+    doesn't hide the passage's first sentence.
     """
     out = []
     for line in _LINE.finditer(text):
@@ -49,7 +52,10 @@ def units_of(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENT
             out.append((_digest(b"l", words), line.start(), line.end()))
     start, held = 0, []
     for part in _SENTENCE.finditer(text):
-        held += part.group().lower().split()
+        words = part.group().lower().split()
+        if held and len(words) >= sentence_words:
+            out.append((_digest(b"s", words), part.start(), part.end()))
+        held += words
         if not held:
             start = part.end()
         elif len(held) >= sentence_words:
@@ -78,14 +84,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Only documents with such units appear. One document's spans are the only list
     that is gathered, so it is bounded by the document itself.
     """
-    units = map_rows(docs.select(*text_key(), text_or_empty().alias("_text")), "_d1 long, _d2 long, _k1 long, _k2 long, _span long", _unit_rows)
-    first = (
-        units.groupBy("_d1", "_d2")
-        .agg(F.min(F.struct("_k1", "_k2", "_span")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1)
-        .drop("_n")
-    )
-    again = units.join(first, ["_d1", "_d2"]).where(F.struct("_k1", "_k2", "_span") != F.col("_first"))
+    units = map_rows(docs.select(*text_key(), text_or_empty().alias("_text")), "_d1 long, _d2 long, _k1 long, _k2 long, _span long", _unit_rows, by="_text")
+    units = written(units)
+    first = units.groupBy("_d1", "_d2").agg(F.min(F.struct("_k1", "_k2", "_span")).alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    # Both sides are tables when they are joined, so a digest with very many occurrences can be split between tasks.
+    again = units.join(written(first), ["_d1", "_d2"]).where(F.struct("_k1", "_k2", "_span") != F.col("_first"))
     return again.groupBy("_k1", "_k2").agg(F.collect_set("_span").alias("_spans"))
 
 
@@ -113,7 +116,11 @@ def _cut(batch: pa.RecordBatch) -> dict:
 
 
 def dedup_units(docs: DataFrame) -> DataFrame:
-    """The documents with ``_kept`` (text after the cuts) and ``_removed`` (original offsets) added."""
+    """The documents with ``_kept`` (text after the cuts) and ``_removed`` (original offsets) added (or replaced).
+
+    Columns of the input named _k1, _k2, _spans, _text or _raw are dropped.
+    """
+    docs = docs.drop("_k1", "_k2", "_spans", "_text", "_raw", "_kept", "_removed")
     spans = repeated_spans(docs)
     k1, k2 = text_key()
     marked = docs.withColumns({"_k1": k1, "_k2": k2}).join(spans, ["_k1", "_k2"], "left")
@@ -123,8 +130,8 @@ def dedup_units(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                out = _cut(batch.slice(start, 2000))
+            for part in slices(batch, "_text"):
+                out = _cut(part)
                 yield pa.RecordBatch.from_pydict({n: out[n] for n in names})
 
     return marked.mapInArrow(run, schema).drop("_k1", "_k2", "_spans", "_text", "_raw")

@@ -108,7 +108,7 @@ def test_units_by_hand():
     units = unit_dedup.units_of(text)
     assert [text[s:e] for _, s, e in units] == [
         "One two three four five six. Seven eight nine ten eleven twelve!\n", "  One  TWO three four five six.\n", "End. Of it all.",
-        "One two three four five six. ", "Seven eight nine ten eleven twelve!\n", "short line\n  One  TWO three four five six.\n",
+        "One two three four five six. ", "Seven eight nine ten eleven twelve!\n", "One  TWO three four five six.\n", "short line\n  One  TWO three four five six.\n",
     ]
     again = unit_dedup.units_of("x y z a b c d.  one TWO\tthree four five six.")
     assert again[-1][0] == units[3][0]  # case and spaces do not matter
@@ -132,6 +132,15 @@ def test_units_query(spark, folder, rows, empty):
     assert unit_dedup.op10_substring_dedup(spark, empty).count() == 0
 
 
+def test_passage_behind_a_short_sentence_and_clashing_columns(spark):
+    passage = "The first sentence of it has eight words. The second one has some words too, as many as that."
+    rows = [(1, passage), (2, "Ti. " + passage), (3, "A line before.\nOh! " + passage + " More text of another document stands here.")]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", "d", 5) for i, t in rows], "doc_id long, text string, _kept string, _spans string, _text string, _raw string, _k1 int")
+    got = {r.doc_id: r._kept for r in unit_dedup.dedup_units(docs).collect()}
+    assert got[1] == passage and "sentence of it" not in got[2] + got[3] and "second one" not in got[2] + got[3]
+    assert got[3].endswith("More text of another document stands here.")
+
+
 def test_units_stage(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = unit_dedup.stage(spark, docs, folder)
