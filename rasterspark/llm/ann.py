@@ -243,11 +243,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     found = _search(index, met, k + 1)
     # Ties at the end could hide a smaller id, so all entries as good as the last one stay.
     found = found.withColumn("_r", F.rank().over(Window.partitionBy("_q1", "_q2").orderBy(F.desc("score")))).where(F.col("_r") <= k + 1).drop("_r")
-    people = found.join(ids, ["_h1", "_h2"]).select("_q1", "_q2", F.col("_id").alias("vec_id"), "score")
+    # An id with several vectors is one candidate, as near as the nearest of them.
+    people = found.join(ids, ["_h1", "_h2"]).groupBy("_q1", "_q2", F.col("_id").alias("vec_id")).agg(F.max("score").alias("score"))
     ask = good.where("_query").select(F.col("_h1").alias("_q1"), F.col("_h2").alias("_q2"), F.col("_id").alias("query_id")).distinct()
     order = Window.partitionBy("_q1", "_q2").orderBy(F.desc("score"), "vec_id")
     people = people.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r")
-    pairs = ask.join(people, ["_q1", "_q2"]).where(F.col("query_id") != F.col("vec_id"))
+    pairs = ask.join(people, ["_q1", "_q2"]).where(F.col("query_id") != F.col("vec_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
