@@ -242,14 +242,106 @@ def transport_identity(results: DataFrame, prior: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- ledger
 
 
+def content_hash(rows: DataFrame, columns: list[str], keys: list[str] = FIELD) -> DataFrame:
+    """Order-free hash of a set of distinct rows per key that edits can update: (keys, c1, c2).
+
+    The hash of a set is the exclusive or of its rows' hashes, so the hash after an edit
+    is the one before combined with the rows that the edit takes and brings
+    (``content_delta``); nothing else is read again.
+    """
+    lane = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]))
+    return rows.groupBy(*keys).agg(lane(1).alias("c1"), lane(2).alias("c2"))
+
+
+def content_delta(before: DataFrame, after: DataFrame, columns: list[str], keys: list[str] = FIELD) -> DataFrame:
+    """What an edit changes in ``content_hash``: (keys, c1, c2) of the rows that only one side has."""
+    side = lambda df, n: df.select(*keys, *columns).distinct().withColumn("_side", F.lit(n))
+    both = side(before, 0).unionByName(side(after, 1)).groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n"))
+    return content_hash(both.where("_n = 1"), columns, keys)
+
+
+PROPOSAL = ("base_version", "base_c1", "base_c2", "result_version", "result_c1", "result_c2", "delta_c1", "delta_c2")
+
+
+def accept_proposals(proposals: DataFrame, initial: DataFrame) -> DataFrame:
+    """Commits and reverts of a ledger under version and content gates, in sequence order.
+
+    ``proposals``: (field_id, sequence, action, PROPOSAL); ``initial``: (field_id, version,
+    c1, c2). A commit must name the current version (else ``stale_version``) and content
+    (``foreign_content``), promise the next version (``wrong_revision``) and a result that its
+    own delta gives (``tampered_result``). A revert must find the state as its commit left it
+    (``changed_since_commit``), restores the content before it and takes a new version. Fields
+    without an initial state begin empty at version 0.
+
+    Rows stream in (field, sequence) order; the state of a field is its content, its version and
+    two contents a commit that can still be undone.
+    """
+    start = initial.select("field_id", *[F.col(c).cast("long").alias(f"_{c}") for c in ("version", "c1", "c2")])
+    names = ["field_id", "sequence", "action", *PROPOSAL, "_version", "_c1", "_c2"]
+    j = proposals.join(start, "field_id", "left").select("field_id", F.col("sequence").cast("long").alias("sequence"), "action", *[F.col(c).cast("long").alias(c) for c in PROPOSAL], *[
+        F.coalesce(f"_{c}", F.lit(0).cast("long")).alias(f"_{c}") for c in ("version", "c1", "c2")])
+    schema = "field_id string, sequence bigint, accepted boolean, status string, version bigint, c1 bigint, c2 bigint, depth bigint"
+
+    def run(batches):
+        current, version, content, undo = None, 0, (0, 0), []
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(n).to_pylist() for n in names)):
+                field, sequence, action, base, b1, b2, result, r1, r2, d1, d2, v0, c1, c2 = row
+                if field != current:
+                    current, version, content, undo = field, v0, (c1, c2), []
+                if action == "revert":
+                    if not undo:
+                        status = "nothing_to_revert"
+                    elif undo[-1][:2] != (version, content):
+                        status = "changed_since_commit"
+                    else:
+                        status, version, content = "reverted", version + 1, undo.pop()[2]
+                elif base != version:
+                    status = "stale_version"
+                elif (b1, b2) != content:
+                    status = "foreign_content"
+                elif result != version + 1:
+                    status = "wrong_revision"
+                elif (r1, r2) != (content[0] ^ d1, content[1] ^ d2):
+                    status = "tampered_result"
+                else:
+                    before, version, content = content, result, (r1, r2)
+                    undo.append((version, content, before))
+                    status = "committed"
+                out.append((field, sequence, status in ("committed", "reverted"), status, version, *content, len(undo)))
+            cols = list(zip(*out)) if out else [()] * 8
+            types = [pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=["field_id", "sequence", "accepted", "status", "version", "c1", "c2", "depth"])
+
+    return j.repartition("field_id").sortWithinPartitions("field_id", "sequence").mapInArrow(run, schema)
+
+
+def _accept_unversioned(edits: DataFrame) -> DataFrame:
+    """Acceptance of logs without base versions by windows alone.
+
+    A revert at depth 0 is refused, so depth is the running sum of +1 and -1 above its own running
+    minimum (never above 0), and a refusal is where that minimum falls.
+    """
+    w = Window.partitionBy("field_id").orderBy("sequence")
+    e = edits.withColumn("_sum", F.sum(F.when(F.col("revert"), -1).otherwise(1)).over(w))
+    e = e.withColumn("_low", F.least(F.lit(0), F.min("_sum").over(w)))
+    refused = F.col("revert") & (F.col("_low") < F.coalesce(F.lag("_low").over(w), F.lit(0)))
+    e = e.withColumn("accepted", ~refused)
+    status = F.when(F.col("accepted"), "accepted").otherwise("nothing_to_revert")
+    return e.select("field_id", "sequence", "accepted", status.alias("status"), F.sum(F.col("accepted").cast("long")).over(w).alias("version"), (F.col("_sum") - F.col("_low")).cast("long").alias("depth"))
+
+
 def accept_edits(edits: DataFrame) -> DataFrame:
     """Sequential acceptance of an edit log: stale versions and empty reverts are refused.
 
     ``edits``: (field_id, sequence, action, base_version); a revert pops the last
-    commit. Rows stream through in (field, sequence) order with two counters of
-    state per field, so a long log is never held in memory.
+    commit. Fields without any base version are decided by windows. The others stream
+    through in (field, sequence) order with two counters of state per field, so a long
+    log is never held in memory.
     """
     slim = edits.select("field_id", "sequence", (F.col("action") == "revert").alias("revert"), F.col("base_version").cast("long").alias("base_version"))
+    versioned = slim.where(F.col("base_version").isNotNull()).select("field_id").distinct()
     schema = "field_id string, sequence bigint, accepted boolean, status string, version bigint, depth bigint"
 
     def run(batches):
@@ -271,7 +363,9 @@ def accept_edits(edits: DataFrame) -> DataFrame:
             types = [pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=["field_id", "sequence", "accepted", "status", "version", "depth"])
 
-    return slim.repartition("field_id").sortWithinPartitions("field_id", "sequence").mapInArrow(run, schema)
+    streamed = slim.join(versioned, "field_id", "left_semi").select("field_id", F.col("sequence").cast("long").alias("sequence"), "revert", "base_version")
+    streamed = streamed.repartition("field_id").sortWithinPartitions("field_id", "sequence").mapInArrow(run, schema)
+    return streamed.unionByName(_accept_unversioned(slim.join(versioned, "field_id", "left_anti")))
 
 
 def apply_ledger(edits: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterspark.operators import ledger
@@ -147,6 +148,35 @@ def i10v(spark, d):
     return ledger.accept_edits(a).select("field_id", "sequence", "status", "version", "depth")
 
 
+@query("i10_accept_proposals", with_ctes("ledger", extra="""pr AS (SELECT field_id || '/' || ((sequence - 1) // 6) AS f, (sequence - 1) % 6 + 1 AS k, event_type = 'error' AS rv, event_id AS e,
+  event_id * 7919 % 1000003 AS d1, event_id * 31 % 65537 AS d2 FROM ledger),
+cl AS (SELECT *, coalesce(bit_xor(CASE WHEN NOT rv THEN d1 END) OVER w, 0) AS b1, coalesce(bit_xor(CASE WHEN NOT rv THEN d2 END) OVER w, 0) AS b2,
+  k - 1 + CASE WHEN e % 13 = 0 THEN 1 ELSE 0 END AS bv, k + CASE WHEN e % 11 = 0 THEN 1 ELSE 0 END AS nv FROM pr WINDOW w AS (PARTITION BY f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+st(f, k, status, v, c1, c2, undo) AS (SELECT DISTINCT f, CAST(0 AS BIGINT), 'start', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(v BIGINT, c1 BIGINT, c2 BIGINT, p1 BIGINT, p2 BIGINT)[]) FROM pr
+  UNION ALL SELECT f, k, status, CASE WHEN status IN ('committed', 'reverted') THEN v + 1 ELSE v END,
+    CASE status WHEN 'committed' THEN xor(c1, d1) WHEN 'reverted' THEN undo[-1].p1 ELSE c1 END, CASE status WHEN 'committed' THEN xor(c2, d2) WHEN 'reverted' THEN undo[-1].p2 ELSE c2 END,
+    CASE status WHEN 'committed' THEN list_append(undo, {'v': v + 1, 'c1': xor(c1, d1), 'c2': xor(c2, d2), 'p1': c1, 'p2': c2}) WHEN 'reverted' THEN undo[:-2] ELSE undo END
+  FROM (SELECT a.f, a.k, a.d1, a.d2, s.v, s.c1, s.c2, s.undo, CASE
+    WHEN rv AND len(undo) = 0 THEN 'nothing_to_revert' WHEN rv AND (undo[-1].v <> s.v OR undo[-1].c1 <> s.c1 OR undo[-1].c2 <> s.c2) THEN 'changed_since_commit' WHEN rv THEN 'reverted'
+    WHEN bv <> s.v THEN 'stale_version' WHEN b1 <> s.c1 OR b2 <> s.c2 THEN 'foreign_content' WHEN nv <> s.v + 1 THEN 'wrong_revision'
+    WHEN xor(xor(b1, d1), CASE WHEN e % 7 = 0 THEN 1 ELSE 0 END) <> xor(s.c1, d1) THEN 'tampered_result' ELSE 'committed' END AS status
+    FROM st s JOIN cl a ON a.f = s.f AND a.k = s.k + 1))""") + "SELECT f AS field_id, k AS sequence, status, v AS version, c1, c2, len(undo) AS depth FROM st WHERE k > 0")
+def i10_proposals(spark, d):
+    """Runs of six events as proposals: their clients took every earlier commit for granted, and some claim a wrong version, revision or result."""
+    e = src.edits(spark, d)
+    n, i = F.col("sequence") - 1, F.col("event_id")
+    p = e.select(
+        F.concat("field_id", F.lit("/"), F.floor(n / 6).cast("string")).alias("field_id"), (n % 6 + 1).alias("sequence"), F.when(F.col("event_type") == "error", "revert").otherwise("commit").alias("action"), i.alias("e"),
+        (i * 7919 % 1000003).alias("delta_c1"), (i * 31 % 65537).alias("delta_c2"))
+    before = Window.partitionBy("field_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    commits = lambda c: F.coalesce(F.bit_xor(F.when(F.col("action") == "commit", F.col(c))).over(before), F.lit(0))
+    wrong = lambda k: (F.col("e") % k == 0).cast("long")
+    p = p.withColumns({"base_c1": commits("delta_c1"), "base_c2": commits("delta_c2"), "base_version": F.col("sequence") - 1 + wrong(13), "result_version": F.col("sequence") + wrong(11)})
+    p = p.withColumns({"result_c1": F.col("base_c1").bitwiseXOR(F.col("delta_c1")).bitwiseXOR(wrong(7)), "result_c2": F.col("base_c2").bitwiseXOR(F.col("delta_c2"))})
+    none = p.select("field_id", *[F.lit(0).alias(c) for c in ("version", "c1", "c2")]).where("false")
+    return ledger.accept_proposals(p, none).drop("accepted")
+
+
 _NS = CELL_NAMESPACE.replace("-", "")
 
 
