@@ -384,37 +384,96 @@ def complete_soma_to_owner(regions: DataFrame, extents: DataFrame, cores: DataFr
     return regions.select(*PX, "cell_id", "part").join(ok.select(*AT, "cell_id"), [*AT, "cell_id"], "left_anti").unionByName(ok.select(*PX, "cell_id", "part")), d
 
 
-def rejoin_soma_islands(regions: DataFrame, foreign: DataFrame, pixel_um: tuple[float, float], max_gap_um: float = 0.38, min_process: float = 0.08, max_added: float = 0.15) -> tuple[DataFrame, DataFrame]:
-    """Join detached soma islands through the cell's own processes across small gaps.
-
-    The bridge is the set of process pixels whose distances to the two parts add up
-    to at most the gap; all islands of a cell are handled in one pass, and joined only
-    if soma and bridge are one connected piece.
+def _own_paths(main: DataFrame, free: DataFrame, targets: DataFrame, pixel_um: tuple[float, float], limit_um: float) -> DataFrame:
+    """Shortest way from each cell's main soma to the pixels of its islands, over free process pixels only.
+
+    ``main`` and ``free``: (CELL, y, x); ``targets``: (CELL, y, x, label_id). Returns the best
+    island pixel of every (CELL, label_id) with ``d`` (physical, between pixel centres) and ``path``
+    (the process pixels between, in order). No way within the limit has more steps than the limit has
+    pixels, so a fixed small number of relaxations finds all, and the ways are short enough to ride
+    along in the row. Ties go to the way whose pixels come first.
     """
-    pitch = {"y": pixel_um[0], "x": pixel_um[1]}
+    dy, dx = pixel_um
+    moves = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx"), F.lit(float((i * i * dy * dy + j * j * dx * dx) ** 0.5)).alias("w"))
+                      for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    at = [*CELL, "y", "x"]
+
+    def stepped(front: DataFrame) -> DataFrame:
+        s = front.select(*CELL, "y", "x", "d", "path", F.explode(moves).alias("_m"))
+        return s.select(*CELL, (F.col("y") + F.col("_m.dy")).alias("y"), (F.col("x") + F.col("_m.dx")).alias("x"), (F.col("d") + F.col("_m.w")).alias("d"), "path").where(F.col("d") <= limit_um + 1e-9)
+
+    none = F.expr("CAST(array() AS array<struct<y:int,x:int>>)")
+    front = main.select(*CELL, "y", "x", F.lit(0.0).alias("d"), none.alias("path"))
+    best = F.min(F.struct("d", "path")).alias("_b")
+    found = None
+    for _ in range(int(limit_um / min(pixel_um) + 1e-9)):
+        new = cut_lineage(stepped(front).groupBy(*at).agg(best).select(*at, "_b.*"))
+        hit = new.join(targets, at).groupBy(*CELL, "label_id").agg(best)
+        found = hit if found is None else found.unionByName(hit)
+        here = F.array(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")))
+        front = new.join(free, at, "left_semi").withColumn("path", F.concat("path", here))
+    if found is None:
+        return targets.select(*CELL, "label_id").where("false").withColumns({"d": F.lit(0.0), "path": none})
+    return found.groupBy(*CELL, "label_id").agg(F.min("_b").alias("_b")).select(*CELL, "label_id", "_b.*")
+
+
+def rejoin_soma_islands(
+    regions: DataFrame, foreign: DataFrame | None, pixel_um: tuple[float, float], max_gap_um: float = 0.38, min_process: float = 0.08, max_added: float = 0.15, clearance_um: float = 0.18
+) -> tuple[DataFrame, DataFrame]:
+    """Join detached soma islands to the main soma along the cell's own processes, nearest first.
+
+    The largest part of a soma is its main part. Island by island, the nearest one is joined over
+    the shortest way through process pixels that keep clear of foreign nuclei; the way becomes
+    soma, and from then on the island belongs to the main part, so islands behind it can be
+    reached from there. Returns regions and a decision for every island: (CELL, island_id,
+    status, gap_um, added_px), where gap_um leaves one pixel of the way between centres out.
+    Refusals are an island's own: ``no_path_within_gap``, ``process_fraction_too_low`` (of the
+    cell, after joining) and ``too_many_added`` (for the cell, over its soma before). Every round
+    treats one island of each cell, all cells together.
+    """
+    at = [*CELL, "y", "x"]
+    key = [*CELL, "label_id"]
+    step = max(pixel_um)
     soma = cut_lineage(regions.where(F.col("part") == "soma").select(*PX, "cell_id"))
-    lab = graph.components(soma, CELL, dense=False)
-    size = lab.groupBy(*CELL, "label_id").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*CELL).orderBy(F.desc("_n"), "label_id")
-    rank = size.withColumn("_r", F.row_number().over(order))
-    k = [*CELL, "label_id"]
-    islands = cut_lineage(lab.join(rank.where(F.col("_r") > 1).select(*k), k, "left_semi"))
-    main = lab.join(rank.where(F.col("_r") == 1).select(*k), k, "left_semi").select(*CELL, "y", "x")
-    proc = _anti(regions.where(F.col("part") == "processes").select(*PX, "cell_id"), focal.distance_to(foreign, pitch, 0.18)) if foreign is not None else regions.where(F.col("part") == "processes").select(*PX, "cell_id")
-    a = zonal.label_distance(main, proc, pitch, label="cell_id", out="_a").where(F.col("_a") <= max_gap_um + max(pixel_um))
-    b = zonal.label_distance(islands.select(*CELL, "y", "x"), a, pitch, label="cell_id", out="_b")
-    bridge = cut_lineage(b.where(F.col("_a") + F.col("_b") <= max_gap_um + max(pixel_um)).select(*PX, "cell_id"))
-    count = regions.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_w"), F.count_if(F.col("part") == "processes").alias("_p"), F.count_if(F.col("part") == "soma").alias("_s"))
-    added = bridge.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_k"))
-    united = soma.select(*CELL, "y", "x", "height", "width").unionByName(bridge.select(*CELL, "y", "x", "height", "width")).distinct()
-    pieces = graph.components(united, CELL, dense=False).groupBy(*CELL).agg(F.countDistinct("label_id").alias("_c"))
-    isl = islands.select(*k).distinct().groupBy(*CELL).agg(F.count(F.lit(1)).alias("islands"))
-    j = isl.join(count, CELL).join(added, CELL, "left").join(pieces, CELL, "left")
-    why = first_reason(
-        ("no_path_within_gap", F.col("_k").isNull() | (F.col("_c") > 1)), ("process_fraction_too_low", (F.col("_p") - F.col("_k")) / F.col("_w") < min_process), ("too_many_added", F.col("_k") > max_added * F.col("_s")), default="joined")
-    d = j.withColumn("status", why).select(*CELL, "islands", "status")
-    ok = bridge.join(d.where(F.col("status") == "joined").select(*CELL), CELL, "left_semi").select(*AT, "cell_id", F.lit(1).alias("_a"))
-    return regions.join(ok, [*AT, "cell_id"], "left").withColumn("part", F.when(F.col("_a") == 1, "soma").otherwise(F.col("part"))).drop("_a"), d
+    lab = cut_lineage(graph.components(soma, CELL, dense=False).select(*at, "label_id"))
+    size = lab.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    rank = size.withColumn("_r", F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc("_n"), "label_id")))
+    todo = cut_lineage(rank.where("_r > 1").select(*key))
+    cells = todo.select(*CELL).distinct()
+    main = lab.join(rank.where("_r = 1").select(*key), key, "left_semi").join(cells, CELL, "left_semi").select(*at)
+    process = regions.where(F.col("part") == "processes").select(*PX, "cell_id").join(cells, CELL, "left_semi")
+    free = cut_lineage((_anti(process, focal.distance_to(foreign, {"y": pixel_um[0], "x": pixel_um[1]}, clearance_um)) if foreign is not None else process).select(*at))
+    part = F.col("part")
+    count = cut_lineage(regions.join(cells, CELL, "left_semi").groupBy(*CELL).agg(
+        F.count(F.lit(1)).alias("_w"), F.count_if(part == "processes").alias("_p"), F.count_if(part == "soma").alias("_s"), F.lit(0).cast("long").alias("_added")))
+    decided, bridges = None, None
+    main = cut_lineage(main)
+    while not todo.isEmpty():
+        ways = _own_paths(main, free, lab.join(todo, key, "left_semi"), pixel_um, max_gap_um + step)
+        near = ways.withColumn("_r", F.row_number().over(Window.partitionBy(*CELL).orderBy("d", "label_id"))).where("_r = 1").drop("_r")
+        near = near.join(count, CELL).withColumn("_k", F.size("path").cast("long"))
+        why = first_reason(
+            ("process_fraction_too_low", (F.col("_p") - F.col("_added") - F.col("_k")) / F.col("_w") < min_process),
+            ("too_many_added", F.col("_added") + F.col("_k") > max_added * F.col("_s")), default="joined")
+        near = cut_lineage(near.withColumn("status", why))
+        # A cell without any way to an island is done: its main part won't grow any more.
+        lost = todo.join(near.select(*CELL), CELL, "left_anti")
+        new = near.select(*key, "status", F.greatest(F.lit(0.0), F.col("d") - step).alias("gap_um"), F.when(F.col("status") == "joined", F.col("_k")).otherwise(0).cast("long").alias("added_px"))
+        new = new.unionByName(lost.select(*key, F.lit("no_path_within_gap").alias("status"), F.lit(None).cast("double").alias("gap_um"), F.lit(0).cast("long").alias("added_px")))
+        new = cut_lineage(new)
+        decided = new if decided is None else decided.unionByName(new)
+        joined = near.where("status = 'joined'")
+        bridge = cut_lineage(joined.select(*CELL, F.explode("path").alias("_q")).select(*CELL, "_q.y", "_q.x"))
+        bridges = bridge if bridges is None else bridges.unionByName(bridge)
+        main = cut_lineage(main.unionByName(bridge).unionByName(lab.join(joined.select(*key), key, "left_semi").select(*at)))
+        free = cut_lineage(free.join(bridge, at, "left_anti"))
+        count = cut_lineage(count.join(joined.select(*CELL, "_k"), CELL, "left").withColumn("_added", F.col("_added") + F.coalesce("_k", F.lit(0))).drop("_k"))
+        todo = cut_lineage(todo.join(new.select(*key), key, "left_anti"))
+    if decided is None:
+        return regions, todo.select(*CELL, F.col("label_id").alias("island_id"), F.lit("joined").alias("status"), F.lit(0.0).alias("gap_um"), F.lit(0).cast("long").alias("added_px"))
+    changed = bridges.withColumn("_a", F.lit(True))
+    out = regions.join(changed, at, "left").withColumn("part", F.when(F.col("_a"), F.lit("soma")).otherwise(part)).drop("_a")
+    return out, decided.withColumnRenamed("label_id", "island_id")
 
 
 def prune_foreign_tips(regions: DataFrame, foreign: DataFrame, skeleton: DataFrame) -> tuple[DataFrame, DataFrame]:

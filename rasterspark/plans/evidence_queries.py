@@ -112,10 +112,15 @@ def e24(spark, d):
     return rounded(r, "width_um", "thin_fraction", "branch_density").select("field_id", "components", "width_um", "thin_fraction", "branch_density", "score", "profile")
 
 
-@query("b23_age_parameter_set", with_ctes("sparse") + """, c AS (SELECT field_id, bool_or(channel = 'eGFP') AS e, bool_or(channel = 'GFAP') AS g FROM sparse WHERE value > 49 AND (y + x) % 9 > 3 GROUP BY 1)
+@query("b23_age_parameter_set", with_ctes("sparse") + """, m AS (SELECT field_id, channel, avg(value) AS a FROM sparse GROUP BY 1, 2), f AS (SELECT field_id, avg(value) AS fa FROM sparse GROUP BY 1),
+c AS (SELECT field_id, bool_or(channel = 'eGFP') AS e, bool_or(channel = 'GFAP') AS g FROM m JOIN f USING (field_id) WHERE a >= fa GROUP BY 1)
 SELECT field_id, CASE WHEN e AND g THEN 'egfp_gfap' WHEN e THEN 'egfp_only' END AS parameter_set FROM c""")
 def b23(spark, d):
-    return evidence.age_parameter_set(src.sparse_stack(spark, d).where((F.col("value") > 49) & ((F.col("y") + F.col("x")) % 9 > 3)))
+    """A channel counts as recorded where it is at least as bright on average as the whole field."""
+    px = src.sparse_stack(spark, d)
+    field = px.groupBy("field_id").agg(F.avg("value").alias("_f"))
+    bright = px.groupBy("field_id", "channel").agg(F.avg("value").alias("_c")).join(field, "field_id").where(F.col("_c") >= F.col("_f"))
+    return evidence.age_parameter_set(px.join(bright.select("field_id", "channel"), ["field_id", "channel"], "left_semi"))
 
 
 def cell_shapes(spark, d):
