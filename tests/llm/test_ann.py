@@ -41,6 +41,12 @@ def test_recall_scores_and_order(spark, tmp_path):
     assert [v for v, _ in mine[720] if 700 <= v < 900] == [v for v, _ in want[720] if 700 <= v < 900]
 
 
+def test_an_id_with_two_vectors_is_one_candidate(spark, tmp_path):
+    write(spark, tmp_path, [(0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (20, [0.0, 3.0], 1), (3, [0.5, 2.0], 1)])
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.op5_ann(spark, str(tmp_path)).collect()}
+    assert got == {(0, 1): (20, 1.0), (0, 2): (3, 0.5), (20, 1): (3, 6.0), (20, 2): (0, 1.0)}
+
+
 def test_few_rows_and_none(spark, tmp_path, empty):
     write(spark, tmp_path, [(0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (3, [0.0, 2.0], 1)])
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.op5_ann(spark, str(tmp_path)).collect()}
