@@ -31,7 +31,16 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` returned, once everything made of it has been written too."""
+    for df in tables:
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
