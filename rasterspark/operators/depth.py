@@ -86,14 +86,17 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / total for w in raw]
 
 
-def select_active_z(stack: DataFrame, step_um: float, params: ActiveZParams = ActiveZParams()) -> DataFrame:
+def select_active_z(stack: DataFrame, step_um: float, params: ActiveZParams = ActiveZParams(), n_z: int | None = None) -> DataFrame:
     """Contiguous active depth range per field from the smoothed plane contrast.
 
+    ``n_z`` is the depth of every stack where planes may be missing; a missing plane adds nothing.
+
     The planes of one stack (tens to hundreds of scalars) form the window, never pixels.
     """
     q = exact_quantiles(stack, ["field_id", "z"], "value", {"p50": 0.5, "high": params.high}, small_groups=True)
     act = q.select("field_id", F.col("z").cast("long").alias("z"), F.greatest(F.lit(0.0), F.col("high") - F.col("p50")).alias("raw"))
-    bounds = act.groupBy("field_id").agg(F.max("z").alias("_last"))
+    last = F.max("z") if n_z is None else F.lit(n_z - 1).cast("long")
+    bounds = act.groupBy("field_id").agg(last.alias("_last"))
     weights = gaussian_weights(params.smooth_um / step_um)
     r = len(weights) // 2
     taps = F.explode(F.array(*[F.struct(F.lit(k - r).alias("dz"), F.lit(w).alias("w")) for k, w in enumerate(weights)]))
