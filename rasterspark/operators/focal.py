@@ -41,9 +41,13 @@ def _separable(tile: Tile, name: str, ky: np.ndarray, kx: np.ndarray, halo: int,
 
 def gaussian(
     df: DataFrame, sigma: float | tuple[float, float], value: str = "value", out: str | None = None,
-    keys: list[str] = FIELD, mode: str = "edge", tile: int = TILE,
+    keys: list[str] = FIELD, mode: str = "edge", tile: int = TILE, emit: str = "present",
 ) -> DataFrame:
-    """Gaussian smoothing in pixels, isotropic or (sigma_y, sigma_x)."""
+    """Gaussian smoothing in pixels, isotropic or (sigma_y, sigma_x).
+
+    Pixels without a row add nothing. They get no row either, unless ``emit`` is
+    ``all``, for sparse rasters whose other pixels are zero.
+    """
     sy, sx = (sigma, sigma) if isinstance(sigma, (int, float)) else sigma
     ky, kx = gaussian_kernel(sy), gaussian_kernel(sx)
     halo, name = max(len(ky), len(kx)) // 2, out or value
@@ -51,7 +55,7 @@ def gaussian(
     def kernel(t: Tile) -> dict[str, np.ndarray]:
         return {name: _separable(t, value, ky, kx, halo, mode)}
 
-    return tile_map(df, keys, [value], halo, kernel, {name: "double"}, emit="all", tile=tile)
+    return tile_map(df, keys, [value], halo, kernel, {name: "double"}, emit=emit, tile=tile)
 
 
 def _dilate(a: np.ndarray, offsets: Offsets) -> np.ndarray:
@@ -95,7 +99,7 @@ def morphology(
 
 
 def grey_morphology(df: DataFrame, op: str, offsets: Offsets, value: str = "value", keys: list[str] = FIELD) -> DataFrame:
-    """Grey erosion, dilation, opening or white top-hat; borders are ignored."""
+    """Grey erosion, dilation, opening or white top-hat; borders and pixels without a row are ignored."""
     halo = _reach(offsets) * (1 if op in ("erode", "dilate") else 2)
     reach = _reach(offsets)
 
@@ -109,9 +113,12 @@ def grey_morphology(df: DataFrame, op: str, offsets: Offsets, value: str = "valu
 
     def kernel(t: Tile) -> dict[str, np.ndarray]:
         a = t.arrays[value]
+        known = lambda v, low: np.where(t.present, v, np.inf if low else -np.inf)
         if op in ("erode", "dilate"):
-            return {value: extreme(a, op == "erode")[t.core]}
-        opened = extreme(extreme(a, True), False)
+            return {value: extreme(known(a, op == "erode"), op == "erode")[t.core]}
+        eroded = extreme(known(a, True), True)
+        # A place that no known pixel reaches has no eroded value.
+        opened = extreme(np.where(eroded == np.inf, -np.inf, eroded), False)
         return {value: (opened if op == "open" else a - opened)[t.core]}
 
     return tile_map(df, keys, [value], halo, kernel, {value: "double"}, emit="present")
@@ -121,8 +128,22 @@ def white_tophat(df: DataFrame, radius: int = 9, value: str = "value", keys: lis
     return grey_morphology(df, "tophat", disk_offsets(radius), value, keys)
 
 
-def sharpness_sums(df: DataFrame, value: str = "value", keys: list[str] = FIELD) -> DataFrame:
-    """Per-group difference sums: squared and absolute first differences and squared Laplacian."""
+def sharpness_sums(df: DataFrame, value: str = "value", keys: list[str] = FIELD, gaps: bool = False) -> DataFrame:
+    """Per-group difference sums: squared and absolute first differences and squared Laplacian.
+
+    A pixel without a row is zero; with ``gaps`` it is unknown, like one beyond the border.
+    """
+
+    def known(t: Tile) -> dict[str, float]:
+        p, there = t.padded(value, "edge"), np.pad(t.present, t.missing)
+        c, here = shifted(p, 0, 0, 1), shifted(there, 0, 0, 1)
+        d = {s: np.where(here & shifted(there, *s, 1), shifted(p, *s, 1) - c, 0.0) for s in ((0, 1), (0, -1), (1, 0), (-1, 0))}
+        dx, dy, lap = d[0, 1], d[1, 0], sum(d.values())
+        return {
+            "dx2": float((dx * dx).sum()), "dy2": float((dy * dy).sum()), "adx": float(np.abs(dx).sum()),
+            "ady": float(np.abs(dy).sum()), "lap2": float((lap * lap).sum()), "n": int(here.sum()),
+            "nx": int((here & shifted(there, 0, 1, 1)).sum()), "ny": int((here & shifted(there, 1, 0, 1)).sum()),
+        }
 
     def kernel(t: Tile) -> dict[str, float]:
         p = t.padded(value, "edge")
@@ -139,13 +160,13 @@ def sharpness_sums(df: DataFrame, value: str = "value", keys: list[str] = FIELD)
         }
 
     out = {"dx2": "double", "dy2": "double", "adx": "double", "ady": "double", "lap2": "double", "n": "bigint", "nx": "bigint", "ny": "bigint"}
-    per_tile = tile_map(df, keys, [value], 1, kernel, out, reduce=True)
+    per_tile = tile_map(df, keys, [value], 1, known if gaps else kernel, out, reduce=True)
     return per_tile.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in out])
 
 
-def gradient_energy(df: DataFrame, value: str = "value", keys: list[str] = FIELD) -> DataFrame:
+def gradient_energy(df: DataFrame, value: str = "value", keys: list[str] = FIELD, gaps: bool = False) -> DataFrame:
     """Mean squared first differences and mean squared Laplacian."""
-    s = sharpness_sums(df, value, keys)
+    s = sharpness_sums(df, value, keys, gaps)
     mean = lambda total, n: F.when(F.col(n) > 0, F.col(total) / F.col(n)).otherwise(0.0)
     return s.select(
         *keys, (mean("dx2", "nx") + mean("dy2", "ny")).alias("first_energy"), mean("lap2", "n").alias("second_energy"),
@@ -172,15 +193,15 @@ def threshold_sauvola(
         std = np.sqrt(np.maximum(box(p * p) - mean * mean, 0.0))
         return {"threshold": mean * (1.0 + k * (std / half - 1.0))}
 
-    return tile_map(df, keys, [value], r, kernel, {"threshold": "double"}, emit="all")
+    return tile_map(df, keys, [value], r, kernel, {"threshold": "double"}, emit="present")
 
 
 # ------------------------------------------------------------ fibre structure
 
 
-def structural_map(channels: DataFrame, sigma: float = 1.0, keys: list[str] = FIELD) -> DataFrame:
-    """Weighted channel mix, smoothed and clipped to 0..1 (column ``s``)."""
-    smooth = gaussian(structural_sum(channels, keys), sigma, "s", keys=keys)
+def structural_map(channels: DataFrame, sigma: float = 1.0, keys: list[str] = FIELD, emit: str = "present") -> DataFrame:
+    """Weighted channel mix, smoothed and clipped to 0..1 (column ``s``); ``emit`` as in ``gaussian``."""
+    smooth = gaussian(structural_sum(channels, keys), sigma, "s", keys=keys, emit=emit)
     return smooth.withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))))
 
 
@@ -215,7 +236,7 @@ def ridge_response(
             best = np.maximum(best, np.maximum(-low, 0.0) * coherence)
         return {"ridge": best}
 
-    return tile_map(df, keys, [value], halo, kernel, {"ridge": "double"}, emit="all")
+    return tile_map(df, keys, [value], halo, kernel, {"ridge": "double"}, emit="present")
 
 
 def ridge_score(corrected: DataFrame, pixel_um: tuple[float, float], params: StructureParams = StructureParams()) -> DataFrame:
@@ -419,12 +440,14 @@ def complement(mask: DataFrame, keys: list[str] = FIELD) -> DataFrame:
     return tile_map(grouped, keys, ["_m"], 0, flip, {"_on": "int"}, emit="nonzero").drop("_on")
 
 
-def inside_distance(mask: DataFrame, pitch_um: dict[str, float], keys: list[str] = FIELD) -> DataFrame:
+def inside_distance(mask: DataFrame, pitch_um: dict[str, float], keys: list[str] = FIELD, background: DataFrame | None = None) -> DataFrame:
     """Distance of every mask pixel to the nearest background pixel of the field.
 
-    A mask that fills its field has no background: the distance is NULL.
+    ``background`` is for fields whose frame has pixels that are neither, because the
+    raster has no row for them. A mask without background has the distance NULL.
     """
-    d = distance_to(complement(mask, keys), pitch_um, keys=keys).select(*keys, "y", "x", "distance")
+    other = complement(mask, keys) if background is None else background
+    d = distance_to(other, pitch_um, keys=keys).select(*keys, "y", "x", "distance")
     return mask.join(d, [*keys, "y", "x"], "left")
 
 

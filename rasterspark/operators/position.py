@@ -110,7 +110,7 @@ def position_inputs(
     matched = cut_lineage(matched)
 
     projected = cut_lineage(depth.project_z(stack, win))
-    smap = cut_lineage(focal.structural_map(projected.where(F.col("channel") != nuclear), keys=WIN))
+    smap = cut_lineage(focal.structural_map(projected.where(F.col("channel") != nuclear), keys=WIN, emit="all"))
     whole = zonal.whole_metrics(masks, smap, local.threshold_otsu(smap, WIN, "s"), matched, wide_px, WIN).drop("area")
     face = zonal.z_boundary_continuation(plane_support(fibres), masks, win, weights).select(*WIN, "completeness")
 
