@@ -255,15 +255,17 @@ def _grid_pairs(objects: DataFrame, keys: list[str], factor: float, pixel_um: tu
     """
     size = F.ceil(F.log2(F.greatest(sphere_radius("volume_um3"), F.lit(2.0**-20)))).cast("int")
     sized = objects.withColumn("_k", size)
-    top = sized.groupBy(*keys).agg(F.max("_k").alias("_top"))
-    every = sized.join(top, keys).withColumn("_level", F.explode(F.sequence("_k", "_top"))).drop("_top")
+    top = F.max("_k").over(Window.partitionBy(*keys))
+    every = sized.withColumn("_top", top).withColumn("_level", F.explode(F.sequence("_k", "_top"))).drop("_top")
     cell = F.lit(2.0 * factor) * F.pow(F.lit(2.0), F.col("_level"))
     every = every.withColumns({
         "_gy": F.floor(F.col("center_y") * pixel_um[0] / cell).cast("long"), "_gx": F.floor(F.col("center_x") * pixel_um[1] / cell).cast("long")})
     moves = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     around = every.withColumn("_m", moves).withColumns({"_gy": F.col("_gy") + F.col("_m.dy"), "_gx": F.col("_gx") + F.col("_m.dx")})
     at = [*keys, "_level", "_gy", "_gx"]
-    named = lambda df, side: df.select(*at, *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    # The planner measures a side by its file and doesn't see the copies made above, so it would broadcast
+    # tables of any size; both sides are shuffled.
+    named = lambda df, side: df.select(*at, *[F.col(c).alias(f"{side}_{c}") for c in columns]).hint("merge")
     large = F.col("_k") == F.col("_level")
     first = named(every.where(large), "a").join(named(around, "b"), at)
     second = named(around.where(~large), "a").join(named(every.where(large), "b"), at)
@@ -289,7 +291,7 @@ def fragment_pairs(objects: DataFrame, pixel_um: tuple[float, float], depth_um:
 def group_fragments(objects: DataFrame, pixel_um: tuple[float, float], depth_um: float, params: OwnershipParams = OwnershipParams()) -> DataFrame:
     """Union of fragments into nucleus groups with volume-weighted centres."""
     root = label_closure(fragment_pairs(objects, pixel_um, depth_um, params)).withColumnRenamed("node", "object_id")
-    o = objects.join(root, ["field_id", "object_id"], "left").withColumn("group_id", F.coalesce("root", "object_id"))
+    o = objects.join(root.hint("merge"), ["field_id", "object_id"], "left").withColumn("group_id", F.coalesce("root", "object_id"))
     v = F.col("volume_um3")
     weighted = lambda c: (F.sum(F.col(c) * v) / F.sum(v)).alias(c)
     g = o.groupBy("field_id", "group_id").agg(
@@ -319,9 +321,10 @@ def follow_alias(nodes: DataFrame, alias: DataFrame, node: str, target: str) ->
     """Follow alias chains to their end by pointer doubling: (field_id, node, root)."""
     from rasterspark.session import cut_lineage
 
-    cur = cut_lineage(nodes.join(alias, ["field_id", node], "left").withColumn("root", F.coalesce(target, node)).select("field_id", node, "root"))
+    # Written tables keep the planner's guess of their size, so it is told to shuffle them.
+    cur = cut_lineage(nodes.join(alias.hint("merge"), ["field_id", node], "left").withColumn("root", F.coalesce(target, node)).select("field_id", node, "root"))
     while True:
-        hop = cur.select("field_id", F.col(node).alias("root"), F.col("root").alias("_n"))
+        hop = cur.select("field_id", F.col(node).alias("root"), F.col("root").alias("_n")).hint("merge")
         nxt = cut_lineage(cur.join(hop, ["field_id", "root"], "left").select("field_id", node, F.coalesce("_n", "root").alias("root"), (F.coalesce("_n", "root") != F.col("root")).alias("_c")))
         cur = nxt.drop("_c")
         if nxt.where("_c").isEmpty():
