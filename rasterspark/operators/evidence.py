@@ -31,10 +31,11 @@ def box_distance(objects: DataFrame, pitch_um: dict[str, float], pad_um: dict[st
     lo = {a: F.greatest(F.lit(0), F.min(a) - math.ceil(pad_um[a] / pitch_um[a])) for a in axes}
     hi = {a: F.least(F.max(side[a]) - 1, F.max(a) + math.ceil(pad_um[a] / pitch_um[a])) for a in axes}
     box = objects.groupBy(*OBJ).agg(*[lo[a].cast("int").alias(f"_{a}0") for a in axes], *[(hi[a] - lo[a] + 1).cast("int").alias(side[a]) for a in axes])
-    local_px = objects.select(*OBJ, *axes).join(box, OBJ).select(
-        *OBJ, *[(F.col(a) - F.col(f"_{a}0")).cast("int").alias(a) for a in axes], *[side[a] for a in axes])
-    near = focal.nearest_seed(local_px, pitch_um, OBJ, label=None, max_um=max_um).drop(*[side[a] for a in axes])
-    return near.join(box.drop(*[side[a] for a in axes]), OBJ).select(*OBJ, *[(F.col(a) + F.col(f"_{a}0")).cast("int").alias(a) for a in axes], "distance")
+    origin = [f"_{a}0" for a in axes]
+    local_px = objects.select(*OBJ, *axes).join(box.hint("merge"), OBJ).select(
+        *OBJ, *origin, *[(F.col(a) - F.col(f"_{a}0")).cast("int").alias(a) for a in axes], *[side[a] for a in axes])
+    near = focal.nearest_seed(local_px, pitch_um, [*OBJ, *origin], label=None, max_um=max_um)
+    return near.select(*OBJ, *[(F.col(a) + F.col(f"_{a}0")).cast("int").alias(a) for a in axes], "distance")
 
 
 def _p(col: str | Column, q: float) -> Column:
@@ -409,10 +410,10 @@ def post_compartment_quality(regions: DataFrame, pitch_um: dict[str, float]) ->
     soma = regions.where(part("soma")).select(*k, "y", "x")
     th = cut_lineage(zonal.thickness(proc, pitch_um, label="cell_id"))
     top = th.groupBy(*k).agg(F.max("thickness").alias("_t"))
-    hubs = th.join(top, k).where(F.col("thickness") >= F.col("_t") - F.greatest(F.lit(1e-9), 1e-6 * F.col("_t"))).select(*k, "y", "x", "_t")
+    hubs = th.join(top.hint("merge"), k).where(F.col("thickness") >= F.col("_t") - F.greatest(F.lit(1e-9), 1e-6 * F.col("_t"))).select(*k, "y", "x", "_t")
     hub = zonal.label_distance(soma, hubs, pitch_um, label="cell_id", out="hub").groupBy(*k).agg(
         F.min("hub").alias("hub_distance_um"), F.max("_t").alias("max_thickness_um"), F.count(F.lit(1)).alias("hub_px"))
-    j = g.join(hub, k, "left").withColumns({"process_area_um2": F.col("_p") * area, "process_fraction": F.col("_p") / F.greatest(F.col("_w"), F.lit(1))})
+    j = g.join(hub.hint("merge"), k, "left").withColumns({"process_area_um2": F.col("_p") * area, "process_fraction": F.col("_p") / F.greatest(F.col("_w"), F.lit(1))})
     far = F.coalesce(F.col("hub_distance_um") > 15.0, F.lit(False))
     return j.withColumn("reasons", reasons(
         ("empty_assigned_processes", F.col("hub_distance_um").isNull()), ("assigned_process_area_below_minimum", F.col("process_area_um2") < 15.0),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -349,35 +351,77 @@ def _envelope_on_lines(d2: np.ndarray, lb: np.ndarray, pitch: float) -> tuple[np
     return best, who
 
 
-def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, side: dict[str, str], names: list[str], first: bool):
-    """Kernel of one sweep: the best (distance, label) along every line of a block."""
+def _starts(t: pa.Table, names: list[str]) -> np.ndarray:
+    """Rows of a sorted table at which one of the columns changes."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    parts = t.select(names)
+    while any(pa.types.is_struct(f.type) for f in parts.schema):
+        parts = parts.flatten()
+    for column in parts.columns:
+        code = column.combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code.combine_chunks().indices if isinstance(code, pa.ChunkedArray) else code.indices
+        code = code.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, side: dict[str, str], names: list[str], first: bool, block_px: int):
+    """Kernel of one sweep: the best (distance, label) along every line.
+
+    Rows come sorted by length of the line, keys and line. Lines of any keys are swept together, ``block_px``
+    places at a time; a line that goes on in the next batch waits for it.
+    """
 
-    def sweep(key: tuple, t: pa.Table) -> pa.Table:
+    def sweep(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+        length = t[side[axis]].to_numpy()[starts]
+        lab, at = t["_lab"].to_numpy(), t[axis].to_numpy()
         # Lowest label is written last, so it wins where seeds coincide.
-        t = t.take(np.argsort(-t["_lab"].to_numpy(), kind="stable"))
-        n = t[side[axis]][0].as_py()
-        codes, row = np.unique(t["_line"].to_numpy(), return_inverse=True)
-        lb = np.full((len(codes), n), np.iinfo(np.int64).max)
-        at = t[axis].to_numpy()
-        lb[row, at] = t["_lab"].to_numpy()
+        order = np.argsort(-lab, kind="stable")
+        lb = np.full((len(starts), length.max()), np.iinfo(np.int64).max)
+        lb[row[order], at[order]] = lab[order]
         if first:
             best, who = _nearest_on_lines(lb, pitch)
         else:
-            d2 = np.full((len(codes), n), np.inf)
-            d2[row, at] = t["_d2"].to_numpy()
+            d2 = np.full(lb.shape, np.inf)
+            d2[row[order], at[order]] = t["_d2"].to_numpy()[order]
             best, who = _envelope_on_lines(d2, lb, pitch)
-        r, p = np.nonzero(np.isfinite(best))
-        cols = {k: pa.repeat(key[i], len(r)) for i, k in enumerate(keys)}
-        cols.update({s: pa.array(np.full(len(r), t[s][0].as_py(), np.int32)) for s in side.values()})
-        rest = codes[r]
-        for a in others:
-            size = t[side[a]][0].as_py()
-            cols[a] = pa.array((rest % size).astype(np.int32))
-            rest = rest // size
+        r, p = np.nonzero(np.isfinite(best) & (np.arange(lb.shape[1]) < length[:, None]))
+        out = t.select([*keys, *side.values(), *others]).take(pa.array(starts[r]))
+        cols = {c: out[c] for c in out.column_names}
         cols.update({axis: pa.array(p.astype(np.int32)), "_lab": pa.array(who[r, p]), "_d2": pa.array(best[r, p])})
         return pa.table({c: cols[c] for c in names})
 
-    return sweep
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def lines(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ends = np.append(starts, t.num_rows)
+            length = t[side[axis]].to_numpy()[starts] if len(starts) else []
+            a = 0
+            while a < len(starts):
+                # Lengths rise, so the last line is the longest of its block.
+                b = a + 1
+                while b < len(starts) and (b + 1 - a) * int(length[b]) <= block_px:
+                    b += 1
+                part = t.slice(ends[a], ends[b] - ends[a])
+                yield from sweep(part, starts[a:b] - ends[a]).to_batches()
+                a = b
+
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            starts = _starts(t, [side[axis], *keys, *others])
+            if len(starts) > 1:
+                last = int(starts[-1])
+                yield from lines(t.slice(0, last), starts[:-1])
+                held = t.slice(last).combine_chunks().to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from lines(t, _starts(t, [side[axis], *keys, *others]))
+
+    return run
 
 
 def nearest_seed(
@@ -388,9 +432,9 @@ def nearest_seed(
 
     ``pitch_um`` maps each axis (``x``, ``y`` and optionally ``z``) to its
     spacing; ``max_um`` drops farther pixels after every sweep. Axes are swept one
-    after the other over blocks of about ``block_px`` pixels of neighbouring lines,
-    so a task holds one slab of a field, never a whole large field. Ties take the
-    lowest label. Seeds need ``height`` and ``width`` (and ``depth`` for 3D). A
+    after the other; a task sweeps lines of any keys, ``block_px`` pixels at a time, so
+    it never holds a whole large field, and many small objects cost no group each. Ties
+    take the lowest label. Seeds need ``height`` and ``width`` (and ``depth`` for 3D). A
     field without seeds has no rows.
     """
     names_of = {"x": "width", "y": "height", "z": "depth"}
@@ -405,13 +449,9 @@ def nearest_seed(
     )
     for axis in axes:
         others = [a for a in axes if a != axis]
-        line = F.col(others[0]).cast("long")
-        if len(others) > 1:
-            line = line + F.col(others[1]).cast("long") * F.col(side[others[0]])
-        per_block = F.greatest(F.lit(1), F.floor(F.lit(block_px) / F.col(side[axis])))
-        blocked = current.withColumn("_line", line).withColumn("_blk", F.floor(F.col("_line") / per_block).cast("long"))
-        sweep = _line_sweep(keys, axis, others, pitch_um[axis], side, names, axis == axes[0])
-        current = blocked.groupBy(*keys, "_blk").applyInArrow(sweep, schema)
+        sweep = _line_sweep(keys, axis, others, pitch_um[axis], side, names, axis == axes[0], block_px)
+        line = [*keys, *others]
+        current = current.repartition(*line).sortWithinPartitions(side[axis], *line).mapInArrow(sweep, schema)
         if max_um is not None:
             current = current.where(F.col("_d2") <= F.lit(max_um * max_um * (1 + 1e-12)))
     out = current.withColumn("distance", F.sqrt("_d2")).drop("_d2")
