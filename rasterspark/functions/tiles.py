@@ -6,7 +6,7 @@ pixels to exactly one), so a task holds one tile however large the field is.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,6 +120,56 @@ def tile_map(
     return routed.groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
 
 
+# ------------------------------------------------------- many groups in a task
+
+
+def group_starts(t: pa.Table, names: list[str]) -> np.ndarray:
+    """Rows of a sorted table at which one of the columns changes."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    parts = t.select(names)
+    while any(pa.types.is_struct(f.type) for f in parts.schema):
+        parts = parts.flatten()
+    for column in parts.columns:
+        code = column.combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code.combine_chunks().indices if isinstance(code, pa.ChunkedArray) else code.indices
+        code = code.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of sorted batches, with the row at which each group begins; the last group of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        last = int(group_starts(pa.Table.from_batches([*before, batch]), names)[-1]) - len(before)
+        if last < 0 or not (held or last):
+            held.append(batch)
+            continue
+        t = pa.Table.from_batches([*held, batch.slice(0, last)])
+        yield t, group_starts(t, names)
+        held = [batch.slice(last)]
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, group_starts(t, names)
+
+
+def group_quantile(values: np.ndarray, group: np.ndarray, groups: int, q: float) -> np.ndarray:
+    """Exact interpolated quantile of each of ``groups`` groups, as Spark's ``percentile``; NaN where a group is empty."""
+    v = values[np.lexsort((values, group))]
+    n = np.bincount(group, minlength=groups)
+    out = np.full(groups, np.nan)
+    has = np.flatnonzero(n)
+    first, at = (np.cumsum(n) - n)[has], (n[has] - 1) * q
+    lo, hi = np.floor(at), np.ceil(at)
+    a, b = v[first + lo.astype(np.int64)], v[first + hi.astype(np.int64)]
+    out[has] = np.where((lo == hi) | (a == b), a, (hi - at) * a + (at - lo) * b)
+    return out
+
+
 # ------------------------------------------------------- small array kernels
 
 

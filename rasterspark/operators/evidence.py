@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterspark.functions.quantile import exact_quantiles
 from rasterspark.functions.scalar import clip, first_reason, linear_evidence, reasons, sector
-from rasterspark.functions.tiles import disk_offsets
+from rasterspark.functions.tiles import disk_offsets, group_quantile, whole_groups
 from rasterspark.operators import depth, focal, graph, local, zonal
 from rasterspark.operators.local import FIELD
 from rasterspark.params import AGE_SETS
@@ -43,14 +47,78 @@ def _p(col: str | Column, q: float) -> Column:
     return F.percentile(col, F.lit(q))
 
 
-def background_stats(px: DataFrame, inner: float, outer: float, value: str = "value") -> DataFrame:
-    """Median, MAD and P75 of the background shell; all outside voxels when it has fewer than 32."""
-    ring = (F.col("distance") >= inner) & (F.col("distance") <= outer)
-    n = px.groupBy(*OBJ).agg(F.count_if(ring).alias("_n"))
-    bg = px.join(n, OBJ).where(F.when(F.col("_n") >= 32, ring).otherwise(F.col("distance") > 0))
-    m = bg.groupBy(*OBJ).agg(_p(value, 0.5).alias("bg_median"), _p(value, 0.75).alias("bg_p75"))
-    mad = bg.join(m, OBJ).groupBy(*OBJ).agg((1.4826 * _p(F.abs(F.col(value) - F.col("bg_median")), 0.5)).alias("bg_mad"))
-    return m.join(mad, OBJ)
+Shell = Callable[[np.ndarray], np.ndarray]
+
+
+def crop_evidence(
+    px: DataFrame, ring_um: tuple[float, float], high: float, cut: Callable[[dict[str, np.ndarray]], np.ndarray],
+    on: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], shells: dict[str, tuple[Shell, float]], keep: Shell | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Background, threshold and shells of every object crop, and the voxels that pass.
+
+    ``px``: (field_id, label_id, z, y, x, value, distance). The background is the ring,
+    or everything outside where the ring has fewer than 32 voxels. ``cut`` makes the
+    threshold of the crops' median, mad, p75, ``high`` quantile and largest magnitude;
+    ``on`` tells from value, distance and threshold which voxels pass. ``shells`` are
+    regions by distance with a quantile each.
+
+    Returns crops (field_id, label_id, bg_median, bg_p75, bg_mad, high, peak, threshold
+    and name_q, name_share, name_on per shell) and voxels (field_id, label_id, z, y, x, on): those
+    in ``keep``, or without it those that pass. A task takes the crops of many objects at once.
+    """
+    types = dict(px.dtypes)
+    base = ["bg_median", "bg_p75", "bg_mad", "high", "peak", "threshold"]
+    names = [*base, *(f"{n}_{c}" for n in shells for c in ("q", "share", "on"))]
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in OBJ), "z int", "y int", "x int", "`on` boolean", *(f"`{n}` double" for n in names)])
+
+    def crops(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        n = len(starts)
+        g = np.repeat(np.arange(n), np.diff(np.append(starts, t.num_rows)))
+        known = t["value"].is_valid().to_numpy()
+        v, d = t["value"].fill_null(0.0).to_numpy(), t["distance"].to_numpy()
+        ring = (d >= ring_um[0]) & (d <= ring_um[1])
+        enough = np.bincount(g[ring], minlength=n) >= 32
+        back = np.where(enough[g], ring, d > 0) & known
+        s = {"bg_median": group_quantile(v[back], g[back], n, 0.5), "bg_p75": group_quantile(v[back], g[back], n, 0.75)}
+        s["bg_mad"] = 1.4826 * group_quantile(np.abs(v[back] - s["bg_median"][g[back]]), g[back], n, 0.5)
+        s["high"] = group_quantile(v[known], g[known], n, high)
+        s["peak"] = group_quantile(np.abs(v[known]), g[known], n, 1.0)
+        s["threshold"] = cut(s)
+        some = np.bincount(g[back], minlength=n) > 0
+        passed = on(v, d, s["threshold"][g]) & known & some[g]
+        missing = {c: ~some for c in base}
+        for name, (inside, q) in shells.items():
+            m = inside(d) & known & some[g]
+            count, hit = np.bincount(g[m], minlength=n), np.bincount(g[m & passed], minlength=n)
+            s[f"{name}_q"], s[f"{name}_on"] = group_quantile(v[m], g[m], n, q), hit.astype(float)
+            s[f"{name}_share"] = hit / np.maximum(count, 1)
+            missing |= {f"{name}_q": count == 0, f"{name}_share": count == 0, f"{name}_on": np.zeros(n, bool)}
+        rows = np.flatnonzero(passed if keep is None else keep(d) & known & some[g])
+        none = lambda k, kind: pa.nulls(k, kind)
+        ids = pa.concat_tables([t.select(OBJ).take(pa.array(starts)), t.select(OBJ).take(pa.array(rows))])
+        at = {a: pa.chunked_array([none(n, pa.int32()), t[a].take(pa.array(rows)).combine_chunks().cast(pa.int32())]) for a in ("z", "y", "x")}
+        flag = pa.chunked_array([none(n, pa.bool_()), pa.array(passed[rows])])
+        stats = {c: pa.chunked_array([pa.array(s[c], mask=missing[c]), none(len(rows), pa.float64())]) for c in names}
+        return pa.table({**{k: ids[k] for k in OBJ}, **at, "on": flag, **stats})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, OBJ):
+            yield from crops(t, starts).combine_chunks().to_batches()
+
+    sent = px.select(*OBJ, "z", "y", "x", F.col("value").cast("double"), "distance").repartition(*OBJ).sortWithinPartitions(*OBJ)
+    both = cut_lineage(sent.mapInArrow(run, schema))
+    return both.where(F.col("on").isNull()).select(*OBJ, *names), both.where(F.col("on").isNotNull()).select(*OBJ, "z", "y", "x", "on")
+
+
+def within_reach(points: DataFrame, targets: DataFrame, pitch_um: dict[str, float], keys: list[str], max_um: float) -> DataFrame:
+    """The points that have a target of the same keys within ``max_um``: (keys, axes). For short reaches: every offset inside it is looked up."""
+    axes = [a for a in ("x", "y", "z") if a in pitch_um]
+    steps = [range(-math.floor(max_um / pitch_um[a] + 1e-9), math.floor(max_um / pitch_um[a] + 1e-9) + 1) for a in axes]
+    near = [o for o in itertools.product(*steps) if sum((i * pitch_um[a]) ** 2 for a, i in zip(axes, o)) <= max_um * max_um * (1 + 1e-12)]
+    moves = F.explode(F.array(*[F.struct(*[F.lit(i).alias(a) for a, i in zip(axes, o)]) for o in near]))
+    seen = points.select(*keys, *axes, moves.alias("_o")).select(*keys, *axes, *[(F.col(a) + F.col(f"_o.{a}")).alias(f"_{a}") for a in axes])
+    hit = seen.join(targets.select(*keys, *[F.col(a).alias(f"_{a}") for a in axes]).hint("merge"), [*keys, *[f"_{a}" for a in axes]], "left_semi")
+    return hit.select(*keys, *axes).distinct()
 
 
 def longest_circular_run(sectors: DataFrame, n: int = 12) -> DataFrame:
@@ -111,23 +179,19 @@ def nucleus_enclosure(
     base = base.withColumn("dapi_valid", valid).drop("dynamic", "min_dynamic")
 
     crop = box_distance(objects, pitch_um, {a: margin_um for a in pitch_um})
-    px = cut_lineage(crop.join(structural.select("field_id", "z", "y", "x", "value"), ["field_id", "z", "y", "x"]))
-    bg = background_stats(px, 1.35, 2.20)
-    top = px.groupBy(*OBJ).agg(_p("value", 0.99).alias("_high"), F.max(F.abs("value")).alias("_abs"))
-    floor = F.lit(EPS32 * 16.0) * F.greatest(F.col("_abs"), F.lit(1.1754943508222875e-38))
-    cut = F.col("bg_median") + F.greatest(floor, 1.5 * F.col("bg_mad"), 0.12 * F.greatest(F.col("_high") - F.col("bg_median"), F.lit(0.0)))
-    t = bg.join(top, OBJ).withColumns({"threshold": cut, "_dyn": F.greatest(F.col("_high") - F.col("bg_median"), floor)})
-    px = px.join(t, OBJ).withColumn("positive", (F.col("value") > F.col("threshold")) & (F.col("distance") > 0))
+    px = crop.join(structural.select("field_id", "z", "y", "x", "value").hint("merge"), ["field_id", "z", "y", "x"])
+    # Shells in um.
     edges = [0.08 + (0.95 - 0.08) * i / 3 for i in range(4)]
-    bands = []
-    for i in range(3):
-        inside = (F.col("distance") >= edges[i]) & (F.col("distance") < edges[i + 1]) & (F.col("distance") > 0)
-        ok = (F.avg(F.when(inside, F.col("positive").cast("double"))) >= 0.08) & (_p(F.when(inside, F.col("value")), 0.70) >= F.max("threshold"))
-        bands.append(F.coalesce(ok, F.lit(False)).cast("double"))
-    shell = (F.col("distance") >= 0.08) & (F.col("distance") <= 0.95)
-    g = px.groupBy(*OBJ).agg(
-        clip((F.coalesce(_p(F.when(shell, F.col("value")), 0.75), F.lit(0.0)) - F.max("bg_p75")) / F.max("_dyn"), -1, 1).alias("shell_enrichment"),
-        ((bands[0] + bands[1] + bands[2]) / 3.0).alias("radial_bands"), F.max("threshold").alias("structural_threshold"))
+    bands = {f"band{i}": ((lambda d, i=i: (d >= edges[i]) & (d < edges[i + 1]) & (d > 0)), 0.70) for i in range(3)}
+    floor = lambda s: EPS32 * 16.0 * np.maximum(s["peak"], 1.1754943508222875e-38)
+    cut = lambda s: s["bg_median"] + np.maximum(np.maximum(floor(s), 1.5 * s["bg_mad"]), 0.12 * np.maximum(s["high"] - s["bg_median"], 0.0))
+    stats, pos = crop_evidence(
+        px, (1.35, 2.20), 0.99, cut, lambda v, d, t: (v > t) & (d > 0), {**bands, "shell": ((lambda d: (d >= 0.08) & (d <= 0.95)), 0.75)})
+    dyn = F.greatest(F.col("high") - F.col("bg_median"), F.lit(EPS32 * 16.0) * F.greatest(F.col("peak"), F.lit(1.1754943508222875e-38)))
+    ok = [F.coalesce((F.col(f"{b}_share") >= 0.08) & (F.col(f"{b}_q") >= F.col("threshold")), F.lit(False)).cast("double") for b in bands]
+    g = stats.where(F.col("threshold").isNotNull()).select(
+        *OBJ, clip((F.coalesce("shell_q", F.lit(0.0)) - F.col("bg_p75")) / dyn, -1, 1).alias("shell_enrichment"),
+        ((ok[0] + ok[1] + ok[2]) / 3.0).alias("radial_bands"), F.col("threshold").alias("structural_threshold"))
 
     def outer(px3: DataFrame, axes: tuple[str, ...], keys: list[str]) -> DataFrame:
         """Object voxels with a face neighbour outside the object."""
@@ -137,18 +201,17 @@ def nucleus_enclosure(
         have = px3.select(*keys, *[F.col(a).alias(f"n{a}") for a in axes])
         return near.join(have, [*keys, *[f"n{a}" for a in axes]], "left_anti").select(*keys, *axes).distinct()
 
-    pos = px.where("positive").select(*OBJ, "z", "y", "x").join(objects.groupBy(*OBJ).agg(F.max("height").alias("height"), F.max("width").alias("width"), F.max("depth").alias("depth")), OBJ)
-    reach = box_distance(pos, pitch_um, {a: 0.55 for a in pitch_um}, 0.55).select(*OBJ, "z", "y", "x", F.lit(1).alias("_c"))
-    surface = outer(objects.select(*OBJ, "z", "y", "x"), ("z", "y", "x"), OBJ).join(reach, [*OBJ, "z", "y", "x"], "left").groupBy(*OBJ).agg(
-        (F.count("_c") / F.count(F.lit(1))).alias("surface_coverage"))
-    surface = cut_lineage(surface)
+    skin = cut_lineage(outer(objects.select(*OBJ, "z", "y", "x"), ("z", "y", "x"), OBJ))
+    touched = within_reach(skin, pos, pitch_um, OBJ, 0.55).groupBy(*OBJ).agg(F.count(F.lit(1)).alias("_t"))
+    surface = skin.groupBy(*OBJ).agg(F.count(F.lit(1)).alias("_n")).join(touched, OBJ, "left").select(
+        *OBJ, (F.coalesce("_t", F.lit(0)) / F.col("_n")).alias("surface_coverage"))
     areas = objects.groupBy(*OBJ, "z").agg(F.count(F.lit(1)).alias("_a")).withColumn("_m", F.max("_a").over(Window.partitionBy(*OBJ)))
     central = areas.where(F.col("_a") >= 0.45 * F.col("_m")).select(*OBJ, "z")
     rim = outer(objects.join(central, [*OBJ, "z"], "left_semi").select(*OBJ, "z", "y", "x"), ("y", "x"), [*OBJ, "z"])
     # In-plane contact: the plane becomes part of the key.
-    flat_pos = pos.withColumn("label_id", F.struct("label_id", "z").alias("label_id")).select("field_id", "label_id", "y", "x", "height", "width")
-    flat_reach = _plane_reach(flat_pos, pitch_um).withColumn("_c", F.lit(True))
-    cov = cut_lineage(rim.join(flat_reach, [*OBJ, "z", "y", "x"], "left").withColumn("covered", F.coalesce("_c", F.lit(False))))
+    rim = cut_lineage(rim)
+    flat_reach = within_reach(rim, pos, {"y": ys, "x": xs}, [*OBJ, "z"], 0.55).withColumn("_c", F.lit(True))
+    cov = cut_lineage(rim.join(flat_reach.hint("merge"), [*OBJ, "z", "y", "x"], "left").withColumn("covered", F.coalesce("_c", F.lit(False))))
     per_z = cov.groupBy(*OBJ, "z").agg(F.avg(F.col("covered").cast("double")).alias("_b")).join(angular_coverage(cov, [*OBJ, "z"]), [*OBJ, "z"])
     flags = per_z.withColumn("active", (F.col("_b") >= 0.42) & (F.col("angular_coverage") >= 0.75))
     med = per_z.groupBy(*OBJ).agg(_p("_b", 0.5).alias("boundary_coverage"), _p("angular_coverage", 0.5).alias("angular_coverage"))
@@ -168,11 +231,6 @@ def nucleus_enclosure(
     return j.withColumns({"accepted": hard, "reasons": F.when(hard, F.array().cast("array<string>")).otherwise(why)})
 
 
-def _plane_reach(pos: DataFrame, pitch_um: dict[str, float]) -> DataFrame:
-    near = box_distance(pos, {"y": pitch_um["y"], "x": pitch_um["x"]}, {"y": 0.55, "x": 0.55}, 0.55)
-    return near.select("field_id", F.col("label_id.label_id").alias("label_id"), F.col("label_id.z").alias("z"), "y", "x")
-
-
 def nucleus_inventory(dapi: DataFrame, cores: DataFrame, whole: DataFrame, pitch_um: dict[str, float], link_um: float = 0.75) -> DataFrame:
     """3D nucleus objects grown from 2D cores that lie near a whole cell.
 
@@ -215,18 +273,17 @@ def gfap_association(
     """
     zs, ys, xs = pitch_um["z"], pitch_um["y"], pitch_um["x"]
     crop = box_distance(nuclei, pitch_um, {"z": 4.0, "y": 8.0, "x": 8.0})
-    px = cut_lineage(crop.join(gfap.select("field_id", "z", "y", "x", "value"), ["field_id", "z", "y", "x"]))
-    bg = background_stats(px, 2.0, 4.0)
-    top = px.groupBy(*OBJ).agg(_p("value", 0.995).alias("_high"))
-    floor = F.greatest(F.lit(1.0), F.lit(EPS32 * 16.0) * F.greatest(F.abs("_high"), F.lit(1.0)))
-    t = bg.join(top, OBJ).withColumn("_floor", floor).withColumn(
-        "_cut", F.col("bg_median") + F.greatest(F.col("_floor"), 1.5 * F.col("bg_mad"), 0.08 * F.greatest(F.col("_high") - F.col("bg_median"), F.lit(0.0))))
-    shell = px.where((F.col("distance") > 0) & (F.col("distance") <= 1.50)).join(t, OBJ).withColumn("_on", F.col("value") >= F.col("_cut"))
-    a = shell.groupBy(*OBJ).agg(
-        ((_p("value", 0.75) - F.max("bg_median")) / F.greatest(F.max("bg_mad"), F.max("_floor"))).alias("shell_enrichment"),
-        (F.count_if("_on") * zs * ys * xs).alias("shell_support_um3"))
+    px = crop.join(gfap.select("field_id", "z", "y", "x", "value").hint("merge"), ["field_id", "z", "y", "x"])
+    floor = lambda s: np.maximum(1.0, EPS32 * 16.0 * np.maximum(np.abs(s["high"]), 1.0))
+    cut = lambda s: s["bg_median"] + np.maximum(np.maximum(floor(s), 1.5 * s["bg_mad"]), 0.08 * np.maximum(s["high"] - s["bg_median"], 0.0))
+    near = lambda d: (d > 0) & (d <= 1.50)
+    stats, shell = crop_evidence(px, (2.0, 4.0), 0.995, cut, lambda v, d, t: (v >= t) | np.isnan(v), {"shell": (near, 0.75)}, near)
+    least = F.greatest(F.lit(1.0), F.lit(EPS32 * 16.0) * F.greatest(F.abs("high"), F.lit(1.0)))
+    a = stats.select(
+        *OBJ, ((F.col("shell_q") - F.col("bg_median")) / F.greatest(F.col("bg_mad"), least)).alias("shell_enrichment"),
+        (F.col("shell_on") * zs * ys * xs).alias("shell_support_um3"))
     planes = nuclei.select(*OBJ, "z").distinct()
-    pz = shell.groupBy(*OBJ, "z").agg(F.avg(F.col("_on").cast("double")).alias("_f"))
+    pz = shell.groupBy(*OBJ, "z").agg(F.avg(F.col("on").cast("double")).alias("_f"))
     act = planes.join(pz, [*OBJ, "z"], "left").withColumn("active", F.coalesce(F.col("_f") >= 0.03, F.lit(False)))
     z = act.groupBy(*OBJ).agg(F.count_if("active").alias("supported_z"), F.count(F.lit(1)).alias("_nz"))
     z = z.join(depth.longest_true_run(act, OBJ), OBJ).withColumn("supported_z_fraction", F.col("longest") / F.col("_nz")).drop("_nz", "longest")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterspark.functions.quantile import exact_quantiles
-from rasterspark.functions.tiles import TILE, Tile, correlate1d, disk_offsets, shifted, tile_map
+from rasterspark.functions.tiles import TILE, Tile, correlate1d, disk_offsets, group_starts, shifted, tile_map
 from rasterspark.operators.local import FIELD, normalize, structural_sum
 from rasterspark.params import StructureParams
 
@@ -351,21 +351,6 @@ def _envelope_on_lines(d2: np.ndarray, lb: np.ndarray, pitch: float) -> tuple[np
     return best, who
 
 
-def _starts(t: pa.Table, names: list[str]) -> np.ndarray:
-    """Rows of a sorted table at which one of the columns changes."""
-    new = np.zeros(t.num_rows, bool)
-    new[:1] = True
-    parts = t.select(names)
-    while any(pa.types.is_struct(f.type) for f in parts.schema):
-        parts = parts.flatten()
-    for column in parts.columns:
-        code = column.combine_chunks().dictionary_encode(null_encoding="encode")
-        code = code.combine_chunks().indices if isinstance(code, pa.ChunkedArray) else code.indices
-        code = code.to_numpy(zero_copy_only=False)
-        new[1:] |= code[1:] != code[:-1]
-    return np.flatnonzero(new)
-
-
 def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, side: dict[str, str], names: list[str], first: bool, block_px: int):
     """Kernel of one sweep: the best (distance, label) along every line.
 
@@ -412,14 +397,14 @@ def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, sid
         for batch in batches:
             held.append(batch)
             t = pa.Table.from_batches(held)
-            starts = _starts(t, [side[axis], *keys, *others])
+            starts = group_starts(t, [side[axis], *keys, *others])
             if len(starts) > 1:
                 last = int(starts[-1])
                 yield from lines(t.slice(0, last), starts[:-1])
                 held = t.slice(last).combine_chunks().to_batches()
         if held:
             t = pa.Table.from_batches(held)
-            yield from lines(t, _starts(t, [side[axis], *keys, *others]))
+            yield from lines(t, group_starts(t, [side[axis], *keys, *others]))
 
     return run
 
