@@ -210,9 +210,14 @@ def state_hash(rows: DataFrame, columns: list[str], keys: list[str] = FIELD, sha
     part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
     text = F.sha2(F.concat(*[part(F.col(c).cast("string")) for c in columns]), 256)
     r = rows.select(*keys, text.alias("h")).withColumn("_b", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % F.lit(shard * 64))
-    inner = r.groupBy(*keys, "_b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
-    mid = inner.groupBy(*keys, (F.col("_b") % shard).alias("_b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
-    return mid.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("state_hash"))
+    combined = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256)
+    # A row travels once, as 32 bytes: the inner shards of an outer one lie in one task.
+    text = F.lower(F.hex("h")).alias("h")
+    r = r.select(*keys, (F.col("_b") % shard).cast("int").alias("_m"), "_b", F.unhex("h").alias("h")).repartition(*keys, "_m")
+    inner = r.select(*keys, "_m", "_b", text).groupBy(*keys, "_m", "_b").agg(combined.alias("h"))
+    mid = inner.groupBy(*keys, "_m").agg(F.unhex(combined).alias("h"))
+    last = F.transform(F.sort_array(F.collect_list("h")), lambda v: F.lower(F.hex(v)))
+    return mid.groupBy(*keys).agg(F.sha2(F.array_join(last, ","), 256).alias("state_hash"))
 
 
 def transport_identity(results: DataFrame, prior: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Planes of a stack of the vector table.
 STACK_PLANES = 25
 
+#: Pixels of made-up cells in a partition.
+CELL_PIXELS = 500_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -93,7 +96,10 @@ def field_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def compartments(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen 8 x 8 cells per supplier field with a 4 x 4 soma each."""
-    px = field_ids(spark, folder).select("field_id", F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("i"))
+    fields = field_ids(spark, folder)
+    # A list of fields is small and would be coalesced to a task or two, which then held all pixels.
+    fields = fields.repartition(fields.count() * 1024 // CELL_PIXELS + 1, "field_id")
+    px = fields.select("field_id", F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("i"))
     y, x = F.floor(F.col("i") / 32).cast("int"), (F.col("i") % 32).cast("int")
     soma = (F.col("y") % 8).between(2, 5) & (F.col("x") % 8).between(2, 5)
     return px.select("field_id", y.alias("y"), x.alias("x")).select(
