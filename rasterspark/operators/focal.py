@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterspark.functions.quantile import exact_quantiles
-from rasterspark.functions.tiles import TILE, Tile, correlate1d, disk_offsets, group_starts, shifted, tile_map
+from rasterspark.functions.tiles import TILE, Tile, correlate1d, disk_offsets, group_starts, shifted, tile_map, whole_groups
 from rasterspark.operators.local import FIELD, normalize, structural_sum
 from rasterspark.params import StructureParams
 
@@ -505,12 +505,43 @@ def label_contacts(labels: DataFrame, keys: list[str] = FIELD, full: bool = True
     return left.join(right, [*keys, *axes]).where(F.col("left_id") != F.col("right_id"))
 
 
-def label_boundary(labels: DataFrame, keys: list[str] = FIELD, full: bool = True) -> DataFrame:
-    """Label pixels with a neighbour of another positive label."""
-    c = label_contacts(labels, keys, full)
-    ends = F.explode(F.array(F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"), F.col("left_id").alias("label_id")),
-                             F.struct(F.col("y"), F.col("x"), F.col("right_id").alias("label_id"))))
-    return c.select(*keys, ends.alias("e")).select(*keys, "e.y", "e.x", "e.label_id").distinct()
+def label_boundary(labels: DataFrame, keys: list[str] = FIELD, full: bool = True, tile: int = TILE) -> DataFrame:
+    """Label pixels with a neighbour of another label; a pixel may have several. Every pixel is sent once, tile rims twice."""
+    moves = [o for h in neighbour_offsets(2, full) for o in (h, (-h[0], -h[1]))]
+    names, types = [*keys, "y", "x", "label_id"], dict(labels.dtypes)
+    group = [*keys, "_ty", "_tx"]
+
+    def rims(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+        y, x = t["y"].to_numpy().astype(np.int64), t["x"].to_numpy().astype(np.int64)
+        ty, tx, label = t["_ty"].to_numpy().astype(np.int64), t["_tx"].to_numpy().astype(np.int64), t["label_id"].to_numpy()
+        # Each tile with its rim, and an empty line round both, has a range of codes of its own.
+        wide = tile + 4
+        code = (of * wide + y - ty * tile + 2) * wide + x - tx * tile + 2
+        order = np.lexsort((label, code))
+        code, label = code[order], label[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        last = np.append(first[1:], len(code)) - 1
+        places, low, high = code[first], label[first], label[last]
+        found = np.zeros(len(code), bool)
+        for i, j in moves:
+            target = code + i * wide + j
+            at = np.minimum(np.searchsorted(places, target), len(places) - 1)
+            found |= (places[at] == target) & ((low[at] != label) | (high[at] != label))
+        found &= np.append(True, (code[1:] != code[:-1]) | (label[1:] != label[:-1]))
+        found &= ((y // tile == ty) & (x // tile == tx))[order]
+        return t.select(names).take(pa.array(order[found]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, group):
+            yield from rims(t, starts).combine_chunks().to_batches()
+
+    known = labels.where(F.col("label_id").isNotNull()).select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "label_id")
+    span = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile).cast("int"), F.floor((F.col(c) + 1) / tile).cast("int"))
+    # Only a pixel on a tile's rim goes to a second tile; those before the field have no pixel of their own.
+    sent = known.withColumn("_ty", F.explode(F.filter(span("y"), lambda v: v >= 0))).withColumn("_tx", F.explode(F.filter(span("x"), lambda v: v >= 0)))
+    schema = ", ".join(f"`{n}` {'int' if n in ('y', 'x') else types[n]}" for n in names)
+    return sent.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
 
 
 def neighbour_count(mask: DataFrame, keys: list[str] = FIELD) -> DataFrame:
