@@ -61,7 +61,7 @@ def tile_map(
     reduce: bool = False,
     tile: int = TILE,
 ) -> DataFrame:
-    """Run ``kernel`` on every tile of every group.
+    """Run ``kernel`` on every tile of every group, one after the other within a task.
 
     The kernel returns core-shaped arrays named as in ``out``. ``emit`` selects
     the pixel rows: ``present`` (those of the input), ``all`` (every core pixel)
@@ -74,18 +74,16 @@ def tile_map(
     schema = ", ".join(f"`{n}` {all_types[n]}" for n in names)
     arrow = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ty, tx = key[len(keys)].as_py(), key[len(keys) + 1].as_py()
-        height, width = table["height"][0].as_py(), table["width"][0].as_py()
+    def one(ty: int, tx: int, height: int, width: int, at: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         y0, x0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
         y1, x1 = min(height, (ty + 1) * tile + halo), min(width, (tx + 1) * tile + halo)
-        ys, xs = table["y"].to_numpy() - y0, table["x"].to_numpy() - x0
+        ys, xs = at["y"] - y0, at["x"] - x0
         present = np.zeros((y1 - y0, x1 - x0), dtype=bool)
         present[ys, xs] = True
         arrays = {}
         for c in cols:
             a = np.zeros(present.shape)
-            a[ys, xs] = table[c].to_numpy()
+            a[ys, xs] = at[c]
             arrays[c] = a
         cy0, cx0 = ty * tile - y0, tx * tile - x0
         cy1, cx1 = min(height, (ty + 1) * tile) - y0, min(width, (tx + 1) * tile) - x0
@@ -96,28 +94,50 @@ def tile_map(
         core = (slice(cy0, cy1), slice(cx0, cx1))
         result = kernel(Tile(arrays, present, y0, x0, core, missing, height, width))
         if reduce:
-            rows, n = {}, 1
-            values = {o: pa.array([result[o]], type=arrow[t]) for o, t in out.items()}
+            return {o: np.array([result[o]]) for o in out}
+        if emit == "present":
+            keep = present[core]
+        elif emit == "all":
+            keep = np.ones((cy1 - cy0, cx1 - cx0), dtype=bool)
         else:
-            if emit == "present":
-                keep = present[core]
-            elif emit == "all":
-                keep = np.ones((cy1 - cy0, cx1 - cx0), dtype=bool)
-            else:
-                keep = np.asarray(result[next(iter(out))]) != 0
-            py, px = np.nonzero(keep)
-            n = len(py)
-            rows = {
-                "y": pa.array((py + ty * tile).astype(np.int32)), "x": pa.array((px + tx * tile).astype(np.int32)),
-                "height": pa.array(np.full(n, height, np.int32)), "width": pa.array(np.full(n, width, np.int32)),
-            }
-            values = {o: pa.array(np.asarray(result[o])[keep], type=arrow[t]) for o, t in out.items()}
-        head = {k: pa.repeat(key[i], n) for i, k in enumerate(keys)}
-        columns = {**head, **rows, **values}
-        return pa.table({name: columns[name] for name in names})
-
+            keep = np.asarray(result[next(iter(out))]) != 0
+        py, px = np.nonzero(keep)
+        place = {"y": py + ty * tile, "x": px + tx * tile, "height": np.full(len(py), height), "width": np.full(len(py), width)}
+        return {**place, **{o: np.asarray(result[o])[keep] for o in out}}
+
+    def tiles(t: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        ends = np.append(starts[1:], t.num_rows)
+        head = t.take(pa.array(starts))
+        columns = {c: t[c].to_numpy() for c in ("y", "x", *cols)}
+        where = zip(*(head[c].to_pylist() for c in ("_ty", "_tx", "height", "width")))
+        held, done, rows = [], 0, 0
+
+        def made() -> pa.Table:
+            counts = [len(r[next(iter(r))]) for r in held]
+            group = pa.array(np.repeat(np.arange(done, done + len(held)), counts))
+            got = {k: head[k].take(group) for k in keys}
+            for c in held[0]:
+                got[c] = pa.array(np.concatenate([r[c] for r in held]), type=arrow.get(all_types[c]))
+            return pa.table({n: got[n] for n in names})
+
+        for (ty, tx, height, width), a, b in zip(where, starts, ends):
+            held.append(one(ty, tx, height, width, {c: v[a:b] for c, v in columns.items()}))
+            rows += len(next(iter(held[-1].values())))
+            if rows >= tile * tile:
+                yield made()
+                done, held, rows = done + len(held), [], 0
+        if held:
+            yield made()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, group):
+            for made in tiles(t, starts):
+                yield from made.combine_chunks().to_batches()
+
+    group = [*keys, "_ty", "_tx"]
     routed = route_to_tiles(df.select(*keys, "y", "x", "height", "width", *cols), halo, tile)
-    return routed.groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
+    # Small fields are tiles of few pixels: many of them share a batch.
+    return routed.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
 
 
 # ------------------------------------------------------- many groups in a task
