@@ -85,6 +85,8 @@ def ownership_partition(
     """
     pitch = {"y": pixel_um[0], "x": pixel_um[1]}
     area_um2 = pixel_um[0] * pixel_um[1]
+    # Both are read many times below, and neither is made again.
+    cells, extents = cut_lineage(cells), cut_lineage(extents)
     comp = cells.select("field_id", F.col("label_id").alias("component_id"), "y", "x", "height", "width")
     pairs = cut_lineage(ownership_pairs(cells, extents, groups, pixel_um))
     roles = cut_lineage(match.ownership_roles(pairs, params).select(*PART, "nucleus_id", "role"))
