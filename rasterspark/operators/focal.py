@@ -201,9 +201,9 @@ def threshold_sauvola(
 # ------------------------------------------------------------ fibre structure
 
 
-def structural_map(channels: DataFrame, sigma: float = 1.0, keys: list[str] = FIELD, emit: str = "present") -> DataFrame:
+def structural_map(channels: DataFrame, sigma: float = 1.0, keys: list[str] = FIELD, emit: str = "present", small_groups: bool = False) -> DataFrame:
     """Weighted channel mix, smoothed and clipped to 0..1 (column ``s``); ``emit`` as in ``gaussian``."""
-    smooth = gaussian(structural_sum(channels, keys), sigma, "s", keys=keys, emit=emit)
+    smooth = gaussian(structural_sum(channels, keys, small_groups), sigma, "s", keys=keys, emit=emit)
     return smooth.withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))))
 
 

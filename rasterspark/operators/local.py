@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterspark.functions.quantile import exact_quantiles
 from rasterspark.functions.scalar import clip
+from rasterspark.functions.tiles import whole_groups
 from rasterspark.params import CHANNEL_WEIGHTS
 
 FIELD = ["field_id"]
@@ -68,7 +72,7 @@ def requested_weight(channel: Column) -> Column:
     return out
 
 
-def structural_sum(df: DataFrame, keys: list[str] = FIELD) -> DataFrame:
+def structural_sum(df: DataFrame, keys: list[str] = FIELD, small_groups: bool = False) -> DataFrame:
     """Weighted sum of the normalised structural channels, divided by the group maximum."""
     present = (
         df.select(*keys, "channel").distinct().withColumn("requested", requested_weight(F.col("channel")))
@@ -77,7 +81,7 @@ def structural_sum(df: DataFrame, keys: list[str] = FIELD) -> DataFrame:
     total, n = F.sum("requested").over(per_group), F.count(F.lit(1)).over(per_group)
     weights = present.withColumn("weight", F.when(total > 0, F.col("requested") / total).otherwise(1.0 / n)).drop("requested")
     mixed = (
-        robust01(df, [*keys, "channel"])
+        robust01(df, [*keys, "channel"], small_groups=small_groups)
         .join(weights, [*keys, "channel"])
         .groupBy(*keys, "y", "x", "height", "width")
         .agg(F.sum(F.col("norm") * F.col("weight")).alias("mix"))
@@ -116,14 +120,33 @@ def threshold_otsu(df: DataFrame, keys: list[str] = FIELD, value: str = "value",
     group returns its value.
     """
     h = histogram(df, keys, value)
-    up, rest = _cumulative(h, keys)
-    scored = h.select(
-        *keys, "bin", "lo", "center",
-        F.sum("n").over(up).alias("w1"), F.sum(F.col("n") * F.col("center")).over(up).alias("s1"),
-        F.sum("n").over(rest).alias("w2"), F.sum(F.col("n") * F.col("center")).over(rest).alias("s2"),
-    ).withColumn("between", F.col("w1") * F.col("w2") * F.pow(F.col("s1") / F.col("w1") - F.col("s2") / F.col("w2"), 2.0))
-    best = F.max_by("center", F.when(F.col("between").isNotNull(), F.struct(F.col("between"), -F.col("bin"))))
-    return scored.groupBy(*keys).agg(F.coalesce(best, F.min("lo")).alias(name))
+    types = dict(df.dtypes)
+
+    def cut(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        # The bins of many groups side by side, in order; what is above a bin is summed upwards as well.
+        size = np.diff(np.append(starts, t.num_rows))
+        row, column = np.repeat(np.arange(len(starts)), size), np.arange(t.num_rows) - np.repeat(starts, size)
+        n, center = np.zeros((len(starts), size.max()), np.int64), np.zeros((len(starts), size.max()))
+        n[row, column], center[row, column] = t["n"].to_numpy(), t["center"].to_numpy()
+        weight = n * center
+        w1, s1 = np.cumsum(n, axis=1), np.cumsum(weight, axis=1)
+        w2, s2 = w1[:, -1:] - w1, np.zeros(weight.shape)
+        for j in range(1, weight.shape[1]):
+            s2[:, :j] += weight[:, j : j + 1]
+        with np.errstate(all="ignore"):
+            between = np.where((n > 0) & (w2 > 0), w1 * w2 * (s1 / w1 - s2 / w2) ** 2, -np.inf)
+        best = np.argmax(np.where(np.isnan(between), np.inf, between), axis=1)
+        at = np.arange(len(starts))
+        level = np.where(size > 1, center[at, best], t["lo"].to_numpy()[starts])
+        return t.select(keys).take(pa.array(starts)).append_column(name, pa.array(level))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, keys):
+            yield from cut(t, starts).combine_chunks().to_batches()
+
+    bins = h.select(*keys, "bin", F.col("lo").cast("double").alias("lo"), F.col("center").cast("double").alias("center"), F.col("n").cast("long").alias("n"))
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"`{name}` double"])
+    return bins.repartition(*keys).sortWithinPartitions(*keys, "bin").mapInArrow(run, schema)
 
 
 def threshold_yen(df: DataFrame, keys: list[str] = FIELD, value: str = "value", name: str = "yen") -> DataFrame:

@@ -87,17 +87,19 @@ def plane_support(structural: DataFrame) -> DataFrame:
 
 def position_inputs(
     stack: DataFrame, windows: DataFrame, masks: DataFrame, core: DataFrame, extent: DataFrame, pixel_um: tuple[float, float], step_um: float,
-    rails: tuple[float, float], wide_px: float = 10.0, nuclear: str = "DAPI", params: AxialRunParams = AxialRunParams(),
+    rails: tuple[float, float], wide_px: float = 10.0, nuclear: str = "DAPI", params: AxialRunParams = AxialRunParams(), projected: DataFrame | None = None,
 ) -> DataFrame:
     """The fifteen inputs of ``zonal.position_score`` for every window, derived from pixels.
 
     ``stack``: (field_id, channel, z, y, x, height, width, value) of the nuclear and the
     structural channels; ``windows``: (WIN, z0, z1); ``masks``: the best whole mask of each
     position; ``core`` and ``extent``: its nuclear masks (AT, height, width); ``rails``: digital
-    end points. A position without nuclei or mask has zeros and is not valid.
+    end points; ``projected``: ``project_z`` of the stack, where the caller has it. A position
+    without nuclei or mask has zeros and is not valid.
     """
     area = pixel_um[0] * pixel_um[1]
     win = cut_lineage(windows.select(*WIN, "z0", "z1"))
+    masks = cut_lineage(masks.select(*AT, "height", "width"))
     dapi = stack.where(F.col("channel") == nuclear)
     fibres = stack.where(F.col("channel") != nuclear)
     weights = local.channel_weights(fibres.select("field_id", "channel").distinct().withColumn("requested", local.requested_weight(F.col("channel")))).select("field_id", "channel", "weight")
@@ -109,15 +111,22 @@ def position_inputs(
     counts, matched, cores = match_runs(runs, labels, parts, win, area, step_um)
     matched = cut_lineage(matched)
 
-    projected = cut_lineage(depth.project_z(stack, win))
-    smap = cut_lineage(focal.structural_map(projected.where(F.col("channel") != nuclear), keys=WIN, emit="all"))
-    whole = zonal.whole_metrics(masks, smap, local.threshold_otsu(smap, WIN, "s"), matched, wide_px, WIN).drop("area")
-    face = zonal.z_boundary_continuation(plane_support(fibres), masks, win, weights).select(*WIN, "completeness")
-
-    lit = zonal.optical_quality(projected.where(F.col("channel") == nuclear).drop("channel"), labels.join(cores, [*WIN, "label_id"], "left_semi"), *rails, WIN)
-    by_channel = zonal.optical_quality(
-        projected.where(F.col("channel") != nuclear), masks.select(*AT).join(weights.select("field_id", "channel"), "field_id"), *rails, [*WIN, "channel"])
+    projected = cut_lineage(depth.project_z(stack, win)) if projected is None else projected
+    smap = cut_lineage(focal.structural_map(projected.where(F.col("channel") != nuclear), keys=WIN, emit="all", small_groups=True))
+    otsu = cut_lineage(local.threshold_otsu(smap, WIN, "s"))
+    whole = zonal.whole_metrics(masks, smap, otsu, matched, wide_px, WIN, parts).drop("area")
+    # Only the planes on both sides of a window's faces are asked for support.
+    z0, z1 = F.col("z0"), F.col("z1")
+    faces = win.select("field_id", F.explode(F.array(*[c.cast("int") for c in (z0 - 1, z0, z1, z1 + 1)])).alias("z")).distinct()
+    support = cut_lineage(plane_support(fibres.join(faces, ["field_id", "z"], "left_semi")))
+    face = zonal.z_boundary_continuation(support, masks, win, weights).select(*WIN, "completeness")
+
+    # The nuclei of the nuclear channel and the mask of the others, all channels in one pass.
+    nuclei = labels.join(cores, [*WIN, "label_id"], "left_semi").select(*AT, F.lit(nuclear).alias("channel"))
+    shown = nuclei.unionByName(masks.select(*AT).join(weights.select("field_id", "channel"), "field_id"))
+    optics = cut_lineage(zonal.optical_quality(projected, shown, *rails, [*WIN, "channel"], small_groups=True))
     names = ("sharpness", "unclipped", "background")
+    lit, by_channel = optics.where(F.col("channel") == nuclear).drop("channel"), optics.where(F.col("channel") != nuclear)
     mixed = by_channel.join(weights, ["field_id", "channel"]).groupBy(*WIN).agg(*[F.sum(F.col(n) * F.col("weight")).alias(f"_{n}") for n in names])
     optics = lit.join(mixed, WIN, "full_outer").select(*WIN, *[(DAPI_SHARE * F.coalesce(n, F.lit(0.0)) + (1 - DAPI_SHARE) * F.coalesce(f"_{n}", F.lit(0.0))).alias(n) for n in names])
 
