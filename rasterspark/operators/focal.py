@@ -13,6 +13,7 @@ from rasterspark.functions.quantile import exact_quantiles
 from rasterspark.functions.tiles import TILE, Tile, correlate1d, disk_offsets, group_starts, shifted, tile_map, whole_groups
 from rasterspark.operators.local import FIELD, normalize, structural_sum
 from rasterspark.params import StructureParams
+from rasterspark.session import cut_lineage
 
 Offsets = list[tuple[int, int]]
 
@@ -351,20 +352,29 @@ def _envelope_on_lines(d2: np.ndarray, lb: np.ndarray, pitch: float) -> tuple[np
     return best, who
 
 
-def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, side: dict[str, str], names: list[str], first: bool, block_px: int):
+def _line_sweep(
+    keys: list[str], axis: str, others: list[str], pitch: float, side: dict[str, str], names: list[str], first: bool, block_px: int, piece: tuple[int, int] | None = None,
+):
     """Kernel of one sweep: the best (distance, label) along every line.
 
     Rows come sorted by length of the line, keys and line. Lines of any keys are swept together, ``block_px``
-    places at a time; a line that goes on in the next batch waits for it.
+    places at a time; a line that goes on in the next batch waits for it. ``piece``: (length, reach) of pieces
+    of lines, numbered by ``_seg``, whose rows include those within the reach of the piece.
     """
+    line = [side[axis], *keys, *others, *(["_seg"] if piece else [])]
+
+    def places(length: np.ndarray) -> np.ndarray:
+        return np.minimum(length, piece[0] + 2 * piece[1]) if piece else length
 
     def sweep(t: pa.Table, starts: np.ndarray) -> pa.Table:
         row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
         length = t[side[axis]].to_numpy()[starts]
-        lab, at = t["_lab"].to_numpy(), t[axis].to_numpy()
+        begin = t["_seg"].to_numpy()[starts].astype(np.int64) * piece[0] if piece else np.zeros(len(starts), np.int64)
+        origin = np.maximum(begin - piece[1], 0) if piece else begin
+        lab, at = t["_lab"].to_numpy(), t[axis].to_numpy() - origin[row]
         # Lowest label is written last, so it wins where seeds coincide.
         order = np.argsort(-lab, kind="stable")
-        lb = np.full((len(starts), length.max()), np.iinfo(np.int64).max)
+        lb = np.full((len(starts), places(length).max()), np.iinfo(np.int64).max)
         lb[row[order], at[order]] = lab[order]
         if first:
             best, who = _nearest_on_lines(lb, pitch)
@@ -372,10 +382,12 @@ def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, sid
             d2 = np.full(lb.shape, np.inf)
             d2[row[order], at[order]] = t["_d2"].to_numpy()[order]
             best, who = _envelope_on_lines(d2, lb, pitch)
-        r, p = np.nonzero(np.isfinite(best) & (np.arange(lb.shape[1]) < length[:, None]))
+        place = np.arange(lb.shape[1]) + origin[:, None]
+        end = np.minimum(length, begin + piece[0]) if piece else length
+        r, p = np.nonzero(np.isfinite(best) & (place >= begin[:, None]) & (place < end[:, None]))
         out = t.select([*keys, *side.values(), *others]).take(pa.array(starts[r]))
         cols = {c: out[c] for c in out.column_names}
-        cols.update({axis: pa.array(p.astype(np.int32)), "_lab": pa.array(who[r, p]), "_d2": pa.array(best[r, p])})
+        cols.update({axis: pa.array(place[r, p].astype(np.int32)), "_lab": pa.array(who[r, p]), "_d2": pa.array(best[r, p])})
         return pa.table({c: cols[c] for c in names})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +395,7 @@ def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, sid
 
         def lines(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             ends = np.append(starts, t.num_rows)
-            length = t[side[axis]].to_numpy()[starts] if len(starts) else []
+            length = places(t[side[axis]].to_numpy()[starts]) if len(starts) else []
             a = 0
             while a < len(starts):
                 # Lengths rise, so the last line is the longest of its block.
@@ -397,14 +409,14 @@ def _line_sweep(keys: list[str], axis: str, others: list[str], pitch: float, sid
         for batch in batches:
             held.append(batch)
             t = pa.Table.from_batches(held)
-            starts = group_starts(t, [side[axis], *keys, *others])
+            starts = group_starts(t, line)
             if len(starts) > 1:
                 last = int(starts[-1])
                 yield from lines(t.slice(0, last), starts[:-1])
                 held = t.slice(last).combine_chunks().to_batches()
         if held:
             t = pa.Table.from_batches(held)
-            yield from lines(t, group_starts(t, [side[axis], *keys, *others]))
+            yield from lines(t, group_starts(t, line))
 
     return run
 
@@ -416,7 +428,8 @@ def nearest_seed(
     """Exact distance from every pixel to the nearest seed, with that seed's label.
 
     ``pitch_um`` maps each axis (``x``, ``y`` and optionally ``z``) to its
-    spacing; ``max_um`` drops farther pixels after every sweep. Axes are swept one
+    spacing; ``max_um`` drops farther pixels after every sweep, and long lines are swept in pieces
+    that know the seeds within that reach. Axes are swept one
     after the other; a task sweeps lines of any keys, ``block_px`` pixels at a time, so
     it never holds a whole large field, and many small objects cost no group each. Ties
     take the lowest label. Seeds need ``height`` and ``width`` (and ``depth`` for 3D). A
@@ -434,8 +447,16 @@ def nearest_seed(
     )
     for axis in axes:
         others = [a for a in axes if a != axis]
-        sweep = _line_sweep(keys, axis, others, pitch_um[axis], side, names, axis == axes[0], block_px)
         line = [*keys, *others]
+        piece = None
+        if max_um is not None:
+            reach = int(max_um / pitch_um[axis]) + 1
+            piece = max(64, 4 * reach), reach
+            at = lambda move: F.floor((F.col(axis) + move) / piece[0]).cast("int")  # noqa: B023, E731
+            last = F.floor((F.col(side[axis]) - 1) / piece[0]).cast("int")
+            current = current.withColumn("_seg", F.explode(F.sequence(F.greatest(F.lit(0), at(-reach)), F.least(last, at(reach)))))
+            line.append("_seg")
+        sweep = _line_sweep(keys, axis, others, pitch_um[axis], side, names, axis == axes[0], block_px, piece)
         current = current.repartition(*line).sortWithinPartitions(side[axis], *line).mapInArrow(sweep, schema)
         if max_um is not None:
             current = current.where(F.col("_d2") <= F.lit(max_um * max_um * (1 + 1e-12)))
@@ -612,7 +633,6 @@ def extract_structure(stack: DataFrame, pixel_um: tuple[float, float], params: S
 
     from rasterspark.operators.depth import project_percentile_z
     from rasterspark.operators.graph import remove_small
-    from rasterspark.session import cut_lineage
 
     corrected = background_correct(stack, pixel_um, params.background_sigma_um)
     flat = cut_lineage(project_percentile_z(corrected, params.projection_q))
