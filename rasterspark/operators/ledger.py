@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rasterspark.functions.scalar import first_reason, reasons
 from rasterspark.operators import graph
 from rasterspark.operators.local import FIELD
+from rasterspark.session import cut_lineage
 
 AT = ["field_id", "y", "x"]
 CELL = ["field_id", "cell_id"]
@@ -99,17 +100,22 @@ def edit_delete(regions: DataFrame, deletes: DataFrame) -> tuple[DataFrame, Data
 def edit_merge(regions: DataFrame, merges: DataFrame, pixel_um: tuple[float, float], max_gap_um: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Unite cells whose somas form one graph with gaps up to ``max_gap_um``.
 
-    ``merges``: (field_id, merge_id, cell_id). Soma pixels are compared only
-    within the gap radius. The result takes the lowest cell id.
+    ``merges``: (field_id, merge_id, cell_id). Somas are compared run by run: two runs of
+    pixels are as near as their nearest ends. The result takes the lowest cell id.
     """
-    from rasterspark.functions.tiles import disk_offsets
-
     k = ["field_id", "merge_id"]
-    soma = regions.where(F.col("part") == "soma").select(*AT, "cell_id").join(merges, CELL)
-    moves = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i, j in disk_offsets(max_gap_um, *pixel_um, at_least_one=True)]))
-    moved = soma.select(*k, F.col("cell_id").alias("a"), "y", "x", moves.alias("o")).select(
-        *k, "a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
-    pairs = moved.join(soma.select(*k, F.col("cell_id").alias("b"), "y", "x"), [*k, "y", "x"]).where(F.col("a") < F.col("b")).select(*k, "a", "b").distinct()
+    merges = cut_lineage(merges)
+    order = Window.partitionBy(*CELL, "y").orderBy("x")
+    soma = regions.where(F.col("part") == "soma").select(*AT, "cell_id").join(merges.select(*CELL).distinct(), CELL, "left_semi").distinct()
+    runs = soma.withColumn("_g", F.col("x") - F.row_number().over(order)).groupBy(*CELL, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    runs = cut_lineage(runs.drop("_g").join(merges, CELL))
+    (dy_um, dx_um), limit = pixel_um, max_gap_um * max_gap_um * (1 + 1e-12)
+    reach = max(1, int(max_gap_um / dy_um + 1e-9))
+    left = runs.select(*k, F.col("cell_id").alias("a"), F.col("x0").alias("_a0"), F.col("x1").alias("_a1"), "y", F.explode(F.array(*[F.lit(i) for i in range(-reach, reach + 1)])).alias("_dy"))
+    right = runs.select(*k, F.col("cell_id").alias("b"), "y", "x0", "x1")
+    gap = F.greatest(F.lit(0), F.col("x0") - F.col("_a1"), F.col("_a0") - F.col("x1")) * dx_um
+    near = F.col("_dy") * dy_um * (F.col("_dy") * dy_um) + gap * gap <= limit
+    pairs = left.withColumn("y", F.col("y") + F.col("_dy")).join(right, [*k, "y"]).where((F.col("a") < F.col("b")) & near).select(*k, "a", "b").distinct()
     root = graph.label_closure(pairs, k).select(*k, F.col("node").alias("cell_id"), "root")
     g = merges.join(root, [*k, "cell_id"], "left").withColumn("root", F.coalesce("root", "cell_id")).groupBy(*k).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("root").alias("groups"), F.min("cell_id").alias("result_id"), F.array_sort(F.collect_set("cell_id")).alias("source_ids"))

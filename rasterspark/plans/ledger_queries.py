@@ -95,7 +95,7 @@ def i05(spark, d):
     cell = F.when(far, 12 + F.col("event_id") % 3 * 2).otherwise(F.col("target_id") % 4 * 4 + F.col("event_id") % 2 + 1)
     m = e.select("field_id", (F.col("target_id") % 4).alias("merge_id"), cell.cast("long").alias("cell_id")).distinct()
     regions = src.compartments(spark, d)
-    m = m.join(regions.select("field_id").distinct(), "field_id", "left_semi")
+    m = m.join(src.field_ids(spark, d), "field_id", "left_semi")
     # Soma gaps of neighbouring cells are four pixels: within 1 um at 0.2 um, beyond it at two cells' distance.
     return joined(ledger.edit_merge(regions, m, (0.2, 0.2))[1], "source_ids").select("field_id", "merge_id", "result_id", "source_ids", "status")
 
