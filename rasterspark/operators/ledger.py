@@ -132,12 +132,11 @@ def edit_trim(regions: DataFrame, strokes: DataFrame) -> tuple[DataFrame, DataFr
     ``strokes``: (field_id, y, x). A cell is refused with ``empty_processes`` or
     ``new_disconnection`` (a process pixel loses its path to the soma).
     """
-    from rasterspark.session import cut_lineage
-
-    cut = regions.where(F.col("part") == "processes").join(strokes.select(*AT).distinct(), AT, "left_semi").select(*AT, "cell_id")
+    # Written once: the strokes and what they leave are read by both labellings and by the counts.
+    cut = cut_lineage(regions.where(F.col("part") == "processes").join(strokes.select(*AT).distinct(), AT, "left_semi").select(*AT, "cell_id"))
     touched = cut.select(*CELL).distinct()
     base = cut_lineage(regions.join(touched, CELL, "left_semi"))
-    after = base.join(cut, [*AT, "cell_id"], "left_anti")
+    after = cut_lineage(base.join(cut, [*AT, "cell_id"], "left_anti"))
 
     def reachable(px: DataFrame) -> DataFrame:
         lab = graph.components(px.select("field_id", "cell_id", "y", "x", "height", "width"), CELL, dense=False)
