@@ -551,12 +551,12 @@ def edit_split(regions: DataFrame, requests: DataFrame, seeds: DataFrame, smap:
     area = pixel_um[0] * pixel_um[1]
     req = requests.select(*CELL).distinct()
     cells = cut_lineage(regions.join(req, CELL, "left_semi"))
-    inside = seeds.join(cells.select(*AT, "cell_id"), [*AT, "cell_id"], "left_semi")
+    inside = cut_lineage(seeds.join(cells.select(*AT, "cell_id"), [*AT, "cell_id"], "left_semi"))
     n = inside.groupBy(*CELL).agg(F.countDistinct("label_id").alias("_seeds"))
     cost = cells.join(smap.select(*AT, "s"), AT, "left").withColumn("cost", 1.0 - clip(F.coalesce("s", F.lit(0.0)), 0, 1))
     part = cut_lineage(graph.seeded_assign(cost.select(*CELL, "y", "x", "height", "width", "cost"), inside, CELL))
     # Pixels no path reaches go to the nearest seed inside the cell.
-    child = child_gates(cells, part, inside, pixel_um)
+    child = cut_lineage(child_gates(cells, part, inside, pixel_um))
     size = child.groupBy(*CELL, "label_id").agg(F.count(F.lit(1)).alias("_k"), F.count_if(F.col("part") == "processes").alias("_p"))
     g = size.groupBy(*CELL).agg(F.min("_k").alias("_min"), F.sum("_k").alias("_all"), F.min("_p").alias("_proc"), F.count(F.lit(1)).alias("_c"))
     j = req.join(n, CELL, "left").join(g, CELL, "left")
