@@ -268,15 +268,17 @@ def restore_gaps(components: DataFrame, smap: DataFrame, nuclei: DataFrame, pixe
     ranked = cut_lineage(shape.select(*k, "label_id", "area").withColumn("_r", F.row_number().over(order)))
     lab = cut_lineage(lab)
     current = cut_lineage(components.select(*k, "y", "x", "height", "width"))
+    pieces = lambda px, name: graph.components(px, k, dense=False).groupBy(*k).agg(F.countDistinct("label_id").alias(name))
+    whole = cut_lineage(pieces(current, "_w"))
     for r in itertools.count(1):
-        hole = lab.join(ranked.where(F.col("_r") == r).select(*k, "label_id"), [*k, "label_id"], "left_semi").select(*k, "y", "x")
+        hole = cut_lineage(lab.join(ranked.where(F.col("_r") == r).select(*k, "label_id"), [*k, "label_id"], "left_semi").select(*k, "y", "x"))
         if hole.isEmpty():
             break
-        trial = current.join(hole, [*k, "y", "x"], "left_anti")
-        pieces = graph.components(trial, k, dense=False).groupBy(*k).agg(F.countDistinct("label_id").alias("_n"))
-        whole = graph.components(current, k, dense=False).groupBy(*k).agg(F.countDistinct("label_id").alias("_w"))
-        fine = pieces.join(whole, k).where(F.col("_n") <= F.col("_w")).select(*k)
+        # Only components with a valley of this round are tried; the others keep their number of pieces.
+        trial = current.join(hole.select(*k).distinct(), k, "left_semi").join(hole, [*k, "y", "x"], "left_anti")
+        fine = cut_lineage(pieces(trial, "_n").join(whole, k).where(F.col("_n") <= F.col("_w")).select(*k, "_n"))
         current = cut_lineage(current.join(hole.join(fine, k, "left_semi"), [*k, "y", "x"], "left_anti"))
+        whole = cut_lineage(whole.join(fine, k, "left").select(*k, F.coalesce("_n", "_w").alias("_w")))
     return current
 
 
