@@ -197,7 +197,7 @@ def exclusive_structure(soma: DataFrame, structure: DataFrame, smap: DataFrame,
 
         reach = box_distance(markers, pitch, {"y": 8.0, "x": 8.0}).join(z_ranges, k).join(peak_z.select(*AT, "peak_z"), AT)
         zc = F.greatest(F.col("z_min") - F.col("peak_z"), F.col("peak_z") - F.col("z_max"), F.lit(0)) * depth_um
-        claim = reach.withColumns({"_z": zc, "_t": F.col("distance") + 0.65 * zc})
+        claim = cut_lineage(reach.withColumns({"_z": zc, "_t": F.col("distance") + 0.65 * zc}).select(*AT, "label_id", "_z", "_t"))
         best = claim.groupBy(*AT).agg(F.min_by(F.struct("label_id", "_z", "_t"), F.struct("_t", "label_id")).alias("b"))
         mine = owned.join(claim.select(*AT, "label_id", F.col("_z").alias("_mz"), F.col("_t").alias("_mt")), [*AT, "label_id"], "left")
         j = mine.join(best, AT, "left").join(structure.select(*AT, F.lit(True).alias("_in")), AT, "left")
