@@ -255,7 +255,7 @@ def ridge_score(corrected: DataFrame, pixel_um: tuple[float, float], params: Str
 
 def branch_features(smooth_input: DataFrame, background_sigma: float = 7.0, value: str = "value", keys: list[str] = FIELD) -> DataFrame:
     """Fine-branch evidence: smoothed signal, local detail and line response."""
-    smooth = gaussian(smooth_input, 0.8, value, out="smooth", keys=keys)
+    smooth = cut_lineage(gaussian(smooth_input, 0.8, value, out="smooth", keys=keys))
     back = gaussian(smooth, background_sigma, "smooth", out="back", keys=keys)
     line = ridge_response(smooth, [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], "smooth", keys)
     at = [*keys, "y", "x"]
