@@ -312,7 +312,7 @@ def soma_partition(cells: DataFrame, anchors: DataFrame, smap: DataFrame, pixel_
     lab = graph.components(dom, CELL, dense=False)
     hit = lab.join(seeds, [*AT, "cell_id"], "left_semi").select(*CELL, "label_id").distinct()
     grown = graph.pixels_only(lab.join(hit, [*CELL, "label_id"], "left_semi"), CELL)
-    closed = focal.morphology(grown, "close", disk_offsets(2), CELL).join(cells.select(*AT, "cell_id"), [*AT, "cell_id"], "left_semi")
+    closed = cut_lineage(focal.morphology(grown, "close", disk_offsets(2), CELL).join(cells.select(*AT, "cell_id"), [*AT, "cell_id"], "left_semi"))
     size = closed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_k"))
     j2 = scale.join(size, CELL, "left").join(core, CELL, "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
     poor = (F.col("_k") * area < min_area_um2) | (F.col("_k") > max_fraction * F.col("_n"))
