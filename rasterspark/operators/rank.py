@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterspark.functions.quantile import weighted_quantile
-from rasterspark.operators.graph import label_closure
+from rasterspark.operators.graph import group_closure
 from rasterspark.params import SelectionParams
 
 KEYS = ["field_id", "position"]
@@ -54,7 +54,8 @@ def weighted_rank01(value: Column, weight: Column, keys: list[str] = KEYS, highe
     """Weight below plus half the weight of equal values, over the total weight."""
     order = Window.partitionBy(*keys).orderBy(value)
     upto = F.sum(weight).over(order)
-    peers = F.sum(weight).over(Window.partitionBy(*keys, value))
+    # Peers are a frame of the same window: one of their own would be a group for every value.
+    peers = F.sum(weight).over(order.rangeBetween(Window.currentRow, Window.currentRow))
     r = (upto - peers / 2.0) / F.sum(weight).over(Window.partitionBy(*keys))
     return r if higher else 1.0 - r
 
@@ -99,12 +100,12 @@ def rank_eligible(metrics: DataFrame, pairs: DataFrame, keys: list[str] = KEYS)
 
 
 def near_duplicate_clusters(metrics: DataFrame, pairs: DataFrame, keys: list[str] = KEYS, iou: float = 0.995) -> DataFrame:
-    """Representative (lowest number) of every near-duplicate cluster within a family."""
+    """Representative (lowest number) of every near-duplicate cluster within a family; a window's near-duplicate pairs are closed in its task."""
     fam = metrics.select(*keys, "candidate", "family")
     e = pairs.where(F.col("iou") >= iou)
     e = e.join(fam.select(*keys, F.col("candidate").alias("a"), F.col("family").alias("_fa")), [*keys, "a"])
     e = e.join(fam.select(*keys, F.col("candidate").alias("b"), F.col("family").alias("_fb")), [*keys, "b"]).where(F.col("_fa") == F.col("_fb"))
-    root = label_closure(e.select(*keys, "a", "b"), keys).select(*keys, F.col("node").alias("candidate"), F.col("root"))
+    root = group_closure(e.select(*keys, "a", "b"), keys).select(*keys, F.col("node").alias("candidate"), F.col("root"))
     return fam.join(root, [*keys, "candidate"], "left").select(*keys, "candidate", "family", F.coalesce("root", "candidate").alias("representative"))
 
 
@@ -121,9 +122,13 @@ def rank_family_balanced(metrics: DataFrame, pairs: DataFrame, expected: tuple[s
     from rasterspark.session import cut_lineage
 
     weights = cut_lineage(family_balance_weights(near_duplicate_clusters(metrics, pairs, keys), keys))
-    reps = weights.where(F.col("candidate") == F.col("representative")).select(*keys, F.col("candidate").alias("b"), "family")
-    own = weights.select(*keys, F.col("candidate").alias("a"), F.col("representative").alias("_own"))
-    to_rep = symmetric(pairs, keys).join(reps, [*keys, "b"]).join(own, [*keys, "a"]).where(F.col("b") != F.col("_own"))
+    # A window's catalog travels as one map, so its pairs are sent once and not by each of their ends.
+    catalog = F.map_from_entries(F.collect_list(F.struct("candidate", F.struct("family", "representative"))))
+    of = lambda c: F.try_element_at("_of", F.col(c)).alias(f"_{c}")
+    ends = pairs.join(weights.groupBy(*keys).agg(catalog.alias("_of")), keys).select(*keys, "a", "b", "iou", of("a"), of("b"))
+    to = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"_{b}.family"), F.col(f"_{b}.representative").alias("rep"), F.col(f"_{a}.representative").alias("own"))
+    to_rep = ends.select(*keys, F.explode(F.array(to("a", "b"), to("b", "a"))).alias("e"), "iou").where((F.col("e.b") == F.col("e.rep")) & (F.col("e.b") != F.col("e.own")))
+    to_rep = to_rep.select(*keys, "e.a", "e.family", "iou")
     per_cell = to_rep.groupBy(*keys, "a", "family").agg(F.avg("iou").alias("_m"))
     mean = per_cell.groupBy(*keys, F.col("a").alias("candidate")).agg(F.avg("_m").alias("mean_iou"))
     j = metrics.join(weights.select(*keys, "candidate", "weight"), [*keys, "candidate"])

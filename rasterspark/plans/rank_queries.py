@@ -8,6 +8,7 @@ from rasterspark.operators import depth, rank
 from rasterspark.params import SelectionParams
 from rasterspark.plans.depth_queries import windows
 from rasterspark.plans.registry import query, rounded, with_ctes
+from rasterspark.session import cut_lineage
 from rasterspark.sources import adapters as src
 
 K = ["field_id", "position"]
@@ -35,9 +36,9 @@ def candidates(spark, d):
     return windows(spark, d).select(*K, F.explode(F.sequence(F.lit(1), F.lit(18))).alias("candidate"))
 
 
-def metrics(spark, d):
+def metrics(spark, d, px=None):
     """Mask statistics standing in for the full candidate evaluation."""
-    px = projected(spark, d)
+    px = projected(spark, d) if px is None else px
     total = px.groupBy(*K).agg(F.sum("value").alias("_t"))
     m = masks(px)
     share = lambda c: (F.count_if(c) / F.count(F.lit(1)))
@@ -53,8 +54,8 @@ def metrics(spark, d):
     return j.withColumn("family", family_of(F.col("candidate"))).drop("_s", "_t")
 
 
-def pairs(spark, d):
-    return rank.pairwise_iou(masks(projected(spark, d)), candidates(spark, d))
+def pairs(spark, d, px=None):
+    return rank.pairwise_iou(masks(projected(spark, d) if px is None else px), candidates(spark, d))
 
 
 _FAM = "CASE WHEN c <= 12 THEN [" + ", ".join(f"'{f}'" for f in FAMILIES[:6]) + "][(c - 1) % 6 + 1] ELSE 'distributional_threshold' END"
@@ -196,7 +197,8 @@ def h08(spark, d):
 
 @query("h09_select_with_guard")
 def h09(spark, d):
-    r = rank.select_with_guard(metrics(spark, d), pairs(spark, d))
+    px = cut_lineage(projected(spark, d))
+    r = rank.select_with_guard(metrics(spark, d, px), pairs(spark, d, px))
     return rounded(r, "score1", "challenger_score2", "challenger_score3")
 
 
