@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,20 @@ CELL = ["field_id", "cell_id"]
 # ----------------------------------------------------------------- partitions
 
 
+#: Pixels in a partition where pixel tables meet.
+MEET_PIXELS = 500_000
+
+
+def _meeting(*tables: DataFrame) -> int:
+    """Partitions in which pixel tables meet, by their rows.
+
+    The planner doesn't count exploded rows and would broadcast millions of pixels; and it joins
+    partitions by their bytes, and pixel rows compress so well that a task would hold millions.
+    """
+    rows = reduce(DataFrame.union, [t.select(F.lit(1)) for t in tables])
+    return rows.count() // MEET_PIXELS + 1
+
+
 def partition_compartments(whole: DataFrame, soma: DataFrame) -> DataFrame:
     """Processes = whole without soma, as one table with a ``part`` column.
 
@@ -25,15 +41,18 @@ def partition_compartments(whole: DataFrame, soma: DataFrame) -> DataFrame:
     are left out here and reported by :func:`check_partition`.
     """
     k = [*AT, "cell_id"]
-    inner = soma.select(*k).distinct().withColumn("_in", F.lit(True))
-    return whole.select(*k).join(inner, k, "left").select(*k, F.when(F.col("_in"), "soma").otherwise("processes").alias("part"))
+    n = _meeting(whole, soma)
+    inner = soma.select(*k).repartition(n, *k).distinct().withColumn("_in", F.lit(True))
+    inner = inner.hint("merge") if n > 1 else inner
+    return whole.select(*k).repartition(n, *k).join(inner, k, "left").select(*k, F.when(F.col("_in"), "soma").otherwise("processes").alias("part"))
 
 
 def check_partition(whole: DataFrame, soma: DataFrame, processes: DataFrame) -> DataFrame:
     """Violations of whole = soma + processes per cell."""
     k = [*AT, "cell_id"]
-    flag = lambda df, n: df.select(*k, F.lit(True).alias(n))
-    j = flag(whole, "w").join(flag(soma, "s"), k, "full_outer").join(flag(processes, "p"), k, "full_outer")
+    n = _meeting(whole, soma, processes)
+    flag = lambda df, c: df.select(*k, F.lit(True).alias(c)).repartition(n, *k)
+    j = flag(whole, "w").join(flag(soma, "s"), k, "full_outer").repartition(n, *k).join(flag(processes, "p"), k, "full_outer")
     has = lambda c: F.col(c).isNotNull()
     rule = first_reason(
         ("soma_outside_whole", has("s") & ~has("w")), ("processes_outside_whole", has("p") & ~has("w")),
