@@ -69,10 +69,13 @@ def anchor_cleanup(mask: DataFrame, anchors: DataFrame, smap: DataFrame, mode: s
     return new.join(fine, "field_id", "left_semi").select(*PX).unionByName(mask.join(fine, "field_id", "left_anti").select(*PX))
 
 
-def refine_fused(mask: DataFrame, smap: DataFrame, soma: DataFrame, support_q: float = 0.38, half_width: float = 10.0, protect: int = 22) -> DataFrame:
-    """Keep pixels that are supported, thin, or close to a soma."""
+def refine_fused(
+    mask: DataFrame, smap: DataFrame, soma: DataFrame, support_q: float = 0.38, half_width: float = 10.0, protect: int = 22,
+    background: DataFrame | None = None,
+) -> DataFrame:
+    """Keep pixels that are supported, thin, or close to a soma; ``background`` as in ``inside_distance``."""
     support = focal.morphology(_bright(smap, support_q), "dilate", disk_offsets(2))
-    thin = focal.inside_distance(mask, UNIT).where(F.coalesce(F.col("distance"), F.lit(float("inf"))) <= half_width)
+    thin = focal.inside_distance(mask, UNIT, background=background).where(F.coalesce(F.col("distance"), F.lit(float("inf"))) <= half_width)
     near = focal.morphology(soma, "dilate", disk_offsets(protect))
     return _union(_semi(mask, support), thin, _semi(mask, near))
 

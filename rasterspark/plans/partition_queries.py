@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterspark.operators import focal, graph, partition, zonal
-from rasterspark.plans.focal_queries import top_mask, wide_mask
+from rasterspark.plans.focal_queries import top_mask, wide_background, wide_mask
 from rasterspark.plans.graph_queries import comp_sql
 from rasterspark.plans.registry import query, rounded, with_ctes
 from rasterspark.session import cut_lineage
@@ -86,7 +86,8 @@ th AS (SELECT a.field_id, a.y, a.x, min((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS
 nr AS (SELECT DISTINCT field_id, y + dy AS y, x + dx AS x FROM (SELECT field_id, y, x FROM dense WHERE (y % 25 - 12) ** 2 + (x % 32 - 16) ** 2 <= 9), o2)
 SELECT field_id, y, x FROM th WHERE d2 <= 1 UNION SELECT field_id, y, x FROM s SEMI JOIN sp USING (field_id, y, x) WHERE value > -.1 UNION SELECT field_id, y, x FROM s SEMI JOIN nr USING (field_id, y, x) WHERE value > -.1""")
 def g07(spark, d):
-    return partition.refine_fused(wide_mask(spark, d), smap(spark, d), disc(spark, d, 12, 16, 3), 0.9, 1.0, 2).select(*AT)
+    return partition.refine_fused(
+        wide_mask(spark, d), smap(spark, d), disc(spark, d, 12, 16, 3), 0.9, 1.0, 2, wide_background(spark, d)).select(*AT)
 
 
 @query("g07_artifact_filter")
