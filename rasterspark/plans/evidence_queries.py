@@ -225,7 +225,7 @@ def f20(spark, d):
 @query("e03_thickness", with_ctes("dense") + """, a AS (SELECT field_id, y, x, CAST((y // 10) * 8 + x // 8 AS BIGINT) AS l FROM dense WHERE value > -.1), al AS (SELECT d.field_id, d.y, d.x, coalesce(l, -1) AS l FROM dense d LEFT JOIN a USING (field_id, y, x))
 SELECT a.field_id, a.l AS label_id, a.y, a.x, round(sqrt(min((a.y - b.y) ** 2 * .25 + (a.x - b.x) ** 2 * .0625)), 6) + 0.0 AS thickness FROM a JOIN al b ON a.field_id = b.field_id AND b.l <> a.l AND abs(a.y - b.y) <= 10 AND abs(a.x - b.x) <= 16 GROUP BY 1, 2, 3, 4""")
 def e03t(spark, d):
-    px = src.dense_plane(spark, d).where(F.col("value") > -0.1)
-    lab = px.select("field_id", (F.floor(F.col("y") / 10) * 8 + F.floor(F.col("x") / 8)).cast("long").alias("label_id"), "y", "x", "height", "width")
-    return rounded(zonal.thickness(lab, {"y": 0.5, "x": 0.25}), "thickness").select("field_id", "label_id", "y", "x", "thickness")
+    px = src.dense_plane(spark, d)
+    lab = px.where(F.col("value") > -0.1).select("field_id", (F.floor(F.col("y") / 10) * 8 + F.floor(F.col("x") / 8)).cast("long").alias("label_id"), "y", "x", "height", "width")
+    return rounded(zonal.thickness(lab, {"y": 0.5, "x": 0.25}, raster=px), "thickness").select("field_id", "label_id", "y", "x", "thickness")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_cut_fields import compare, cut  # noqa: F401
 
-NAMES = ("g02_fill_holes", "g02_remove_small_holes", "g07_refine_fused",)
+NAMES = ("g02_fill_holes", "g02_remove_small_holes", "g07_refine_fused", "e03_thickness",)
 
 
 @pytest.fixture(scope="module")
