@@ -58,6 +58,11 @@ def pairs(spark, d, px=None):
     return rank.pairwise_iou(masks(projected(spark, d) if px is None else px), candidates(spark, d))
 
 
+def clusters(spark, d):
+    """Near-duplicate clusters of all candidates: those of a window without pixels are empty and alike."""
+    return rank.near_duplicate_clusters(candidates(spark, d).withColumn("family", family_of(F.col("candidate"))), pairs(spark, d))
+
+
 _FAM = "CASE WHEN c <= 12 THEN [" + ", ".join(f"'{f}'" for f in FAMILIES[:6]) + "][(c - 1) % 6 + 1] ELSE 'distributional_threshold' END"
 CAND = f"""cand AS (SELECT field_id, CAST(position AS INT) AS position, CAST(c AS INT) AS candidate, {_FAM} AS family FROM wins, (SELECT unnest(range(1, 19)) AS c)),
 msk AS (SELECT field_id, CAST(position AS INT) AS position, y, x, value, CAST(c AS INT) AS candidate FROM proj, (SELECT unnest(range(1, 19)) AS c) WHERE value > .1 + c * .01),
@@ -146,7 +151,7 @@ cf AS (SELECT cl.*, family FROM cl JOIN cand USING (field_id, position, candidat
 
 @query("h05_near_duplicate_clusters", with_ctes(*_ALL, extra=CAND + "," + _CLUST) + "SELECT field_id, position, candidate, family, rep AS representative FROM cf")
 def h05(spark, d):
-    return rank.near_duplicate_clusters(metrics(spark, d), pairs(spark, d))
+    return clusters(spark, d)
 
 
 _WT = """wt AS (SELECT cf.*, CASE WHEN candidate = rep THEN 1 / cells / k ELSE 0 END AS weight FROM cf

@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 from test_cut_fields import compare, cut  # noqa: F401
 
-NAMES = ("g02_fill_holes", "g02_remove_small_holes", "g07_refine_fused", "e03_thickness",)
+NAMES = (
+    "g02_fill_holes", "g02_remove_small_holes", "g07_refine_fused", "e03_thickness",
+    "h05_near_duplicate_clusters",
+)
 
 
 @pytest.fixture(scope="module")
