@@ -161,7 +161,7 @@ _WT = """wt AS (SELECT cf.*, CASE WHEN candidate = rep THEN 1 / cells / k ELSE 0
 
 @query("h06_family_balance_weights", with_ctes(*_ALL, extra=",".join([CAND, _CLUST, _WT])) + "SELECT field_id, position, candidate, family, rep AS representative, round(weight, 6) + 0.0 AS weight FROM wt")
 def h06(spark, d):
-    return rounded(rank.family_balance_weights(rank.near_duplicate_clusters(metrics(spark, d), pairs(spark, d))), "weight")
+    return rounded(rank.family_balance_weights(clusters(spark, d)), "weight")
 
 
 def _wrank(v):
