@@ -129,7 +129,8 @@ def links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
         .where((F.col("_n") > 1) & ((F.col("_lo") == 2) | (F.col("_lo") != F.col("_hi"))))
         .select("_key", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_g"))
     )
-    met = keyed.join(live, "_key").select("_key", "_g", "fp", F.pmod(F.xxhash64("fp"), F.col("_g")).cast("int").alias("_b"))
+    # The planner doesn't count exploded rows and would collect and broadcast them; so it is for all joins below.
+    met = keyed.join(live.hint("merge"), "_key").select("_key", "_g", "fp", F.pmod(F.xxhash64("fp"), F.col("_g")).cast("int").alias("_b"))
     other = F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("_o")
     dealt = met.select("_key", "_g", "fp", "_b", other).select("_key", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "fp")
     gathered = dealt.groupBy("_key", "_i", "_j").agg(F.collect_list("fp").alias("_fps")).where(F.size("_fps") > 1)
@@ -144,15 +145,15 @@ def components(prints: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFram
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
     edges = written(links(distinct.select("fp"), bits, block))
     roots = label_closure(edges, keys=[]).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = distinct.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "root", "component_id")
 
 
 def simhash_groups(docs: DataFrame, bits: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
     prints = written(fingerprints(docs))
-    return prints.join(components(prints, bits), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(components(prints, bits).hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
