@@ -556,9 +556,10 @@ def edit_split(regions: DataFrame, requests: DataFrame, seeds: DataFrame, smap:
     area = pixel_um[0] * pixel_um[1]
     req = requests.select(*CELL).distinct()
     cells = cut_lineage(regions.join(req, CELL, "left_semi"))
-    inside = cut_lineage(seeds.join(cells.select(*AT, "cell_id"), [*AT, "cell_id"], "left_semi"))
+    # The planner doesn't count exploded rows and would broadcast pixels; here and in child_gates they are shuffled.
+    inside = cut_lineage(seeds.join(cells.select(*AT, "cell_id").hint("merge"), [*AT, "cell_id"], "left_semi"))
     n = inside.groupBy(*CELL).agg(F.countDistinct("label_id").alias("_seeds"))
-    cost = cells.join(smap.select(*AT, "s"), AT, "left").withColumn("cost", 1.0 - clip(F.coalesce("s", F.lit(0.0)), 0, 1))
+    cost = cells.join(smap.select(*AT, "s").hint("merge"), AT, "left").withColumn("cost", 1.0 - clip(F.coalesce("s", F.lit(0.0)), 0, 1))
     part = cut_lineage(graph.seeded_assign(cost.select(*CELL, "y", "x", "height", "width", "cost"), inside, CELL))
     # Pixels no path reaches go to the nearest seed inside the cell.
     child = cut_lineage(child_gates(cells, part, inside, pixel_um))
@@ -572,7 +573,7 @@ def edit_split(regions: DataFrame, requests: DataFrame, seeds: DataFrame, smap:
     ok = d.where(F.col("status") == "applied").select(*CELL)
     top = regions.groupBy("field_id").agg(F.max("cell_id").alias("_top"))
     order = ok.withColumn("_i", F.row_number().over(Window.partitionBy("field_id").orderBy("cell_id"))).join(top, "field_id")
-    out = child.join(order, CELL).withColumn("cell_id", F.when(F.col("label_id") == 1, F.col("cell_id")).otherwise(F.col("_top") + F.col("_i")))
+    out = child.join(order.hint("merge"), CELL).withColumn("cell_id", F.when(F.col("label_id") == 1, F.col("cell_id")).otherwise(F.col("_top") + F.col("_i")))
     return regions.select(*PX, "cell_id", "part").join(ok, CELL, "left_anti").unionByName(out.select(*PX, "cell_id", "part")), d
 
 
@@ -585,12 +586,12 @@ def child_gates(cells: DataFrame, part: DataFrame, seeds: DataFrame, pixel_um: t
     pitch = {"y": pixel_um[0], "x": pixel_um[1]}
     k = [*CELL, "y", "x"]
     dims = cells.select(*k, "height", "width", "part")
-    near = focal.nearest_seed(seeds.join(dims.select(*k, "height", "width"), k), pitch, CELL).select(*k, F.col("label_id").alias("_n"))
-    j = dims.join(part.select(*k, "label_id"), k, "left").join(near, k, "left").withColumn("label_id", F.coalesce("label_id", "_n")).drop("_n")
+    near = focal.nearest_seed(seeds.join(dims.select(*k, "height", "width").hint("merge"), k), pitch, CELL).select(*k, F.col("label_id").alias("_n"))
+    j = dims.join(part.select(*k, "label_id").hint("merge"), k, "left").join(near.hint("merge"), k, "left").withColumn("label_id", F.coalesce("label_id", "_n")).drop("_n")
     j = cut_lineage(j.where(F.col("label_id").isNotNull()))
     zone = zonal.label_distance(seeds.select(*CELL, "label_id", "y", "x"), j, pitch, CELL, "label_id", "_d")
     want = zone.where((F.col("part") == "soma") | (F.col("_d") <= growth_um))
     lab = graph.components(want.withColumnRenamed("label_id", "child").select(*CELL, "child", "y", "x", "height", "width"), [*CELL, "child"], dense=False)
-    hit = lab.join(seeds.select(*CELL, F.col("label_id").alias("child"), "y", "x"), [*CELL, "child", "y", "x"], "left_semi").select(*CELL, "child", "label_id").distinct()
-    soma = lab.join(hit, [*CELL, "child", "label_id"], "left_semi").select(*CELL, F.col("child").alias("label_id"), "y", "x", F.lit(1).alias("_s"))
-    return j.drop("part").join(soma, [*CELL, "label_id", "y", "x"], "left").withColumn("part", F.when(F.col("_s") == 1, "soma").otherwise("processes")).drop("_s")
+    hit = lab.join(seeds.select(*CELL, F.col("label_id").alias("child"), "y", "x").hint("merge"), [*CELL, "child", "y", "x"], "left_semi").select(*CELL, "child", "label_id").distinct()
+    soma = lab.join(hit.hint("merge"), [*CELL, "child", "label_id"], "left_semi").select(*CELL, F.col("child").alias("label_id"), "y", "x", F.lit(1).alias("_s"))
+    return j.drop("part").join(soma.hint("merge"), [*CELL, "label_id", "y", "x"], "left").withColumn("part", F.when(F.col("_s") == 1, "soma").otherwise("processes")).drop("_s")
